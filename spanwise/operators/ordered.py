@@ -64,26 +64,32 @@ def running_sums(
     return out.drop("_bucket", "_all", *[f"_o_{new}" for new in values])
 
 
-def previous(
-    df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], cols: dict[str, str], ahead: bool = False
+def neighbours(
+    df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str],
+    back: dict[str, str] | None = None, ahead: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``lag`` per key (``lead`` with ``ahead``); ``cols`` maps a new column to the column it takes.
+    """``lag`` (``back``) and ``lead`` (``ahead``) per key; both map a new column to the column it takes.
 
-    The new columns are null on the first (last) row of a key.
+    The new columns are null on the first, or last, row of a key.
     """
     rows, keys = _with_key(df.withColumn("_bucket", bucket), by)
-    carried = F.struct(*[F.col(src).alias(new) for new, src in cols.items()])
     pos = F.struct(*order)
-    edge = F.min_by(carried, pos) if ahead else F.max_by(carried, pos)
     across = Window.partitionBy(*keys).orderBy("_bucket")
-    edges = rows.groupBy(*keys, "_bucket").agg(edge.alias("_edge"))
-    step = F.lead("_edge") if ahead else F.lag("_edge")
-    edges = edges.select(*keys, "_bucket", step.over(across).alias("_carry"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    near = (F.lead if ahead else F.lag)(carried).over(inside)
-    out = rows.alias("r").join(edges.alias("e"), _same([*keys, "_bucket"], "r", "e")).select("r.*", "e._carry")
-    out = out.withColumn("_near", F.coalesce(near, F.col("_carry")))
-    return out.select(*df.columns, *[F.col(f"_near.`{new}`").alias(new) for new in cols])
+    edge, step, near = [], [], {}
+    for side, cols, pick, shift in (("_back", back, F.max_by, F.lag), ("_ahead", ahead, F.min_by, F.lead)):
+        if cols:
+            packed = F.struct(*[F.col(src).alias(new) for new, src in cols.items()])
+            edge.append(pick(packed, pos).alias(side))
+            step.append(shift(side).over(across).alias(side))
+            near[side] = (F.coalesce(shift(packed).over(inside), F.col(side)), list(cols))
+    edges = rows.groupBy(*keys, "_bucket").agg(*edge).select(*keys, "_bucket", *step)
+    out = rows.alias("r").join(edges.alias("e"), _same([*keys, "_bucket"], "r", "e")).select(
+        "r.*", *[F.col(f"e.{side}") for side in near])
+    for side, (value, _) in near.items():
+        out = out.withColumn(f"{side}_row", value)
+    new = [F.col(f"{side}_row.`{c}`").alias(c) for side, (_, names) in near.items() for c in names]
+    return out.select(*df.columns, *new)
 
 
 def carried(

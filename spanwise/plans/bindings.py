@@ -117,3 +117,45 @@ anomalies AS (SELECT f.trace_id, f.pattern, f.total_us, f.start_us, f.window_us,
     CASE r.feature WHEN 'op_0' THEN 'srv-a' WHEN 'op_1' THEN 'srv-b' WHEN 'op_2' THEN 'srv-c' END AS service
   FROM flagged f JOIN ranked r ON f.trace_id = r.trace_id AND rn = 1
   WHERE r.feature IN ('op_0', 'op_1', 'op_2'))"""
+
+
+# --- metric samples ---------------------------------------------------------------------------------------------
+
+POD_NAMES = ["srv-rate-x", "srv-recommendation-x", "srv-recommend-x", "memcached-reservation-x", "memcached-reserve-x",
+             "mongodb-geo-x", "frontend-x", "other-x"]
+METRIC_NAMES = ["app_cpu_seconds", "app_memory_bytes", "app_cpu_throttled", "app_target_concurrency"]
+END_S = 1706745600  # 2024-02-01, after the last event
+DAY_S = 86_400
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as metric samples: a gauge in whole cents and a counter that wraps at 500."""
+    ev = table(spark, sf_dir, "events")
+    us = epoch_micros(F.col("ts"))
+    user = F.col("user_id")
+    pods = F.array(*[F.lit(p) for p in POD_NAMES])
+    names = F.array(*[F.lit(m) for m in METRIC_NAMES])
+    return ev.select(
+        "event_id", us.alias("ts_us"), F.floor(us / 1_000_000).alias("ts_s"), F.col("event_type").alias("service"),
+        F.concat(F.lit("pod-"), user.cast("string")).alias("pod"),
+        F.concat(F.lit("node-"), (user % 5).cast("string")).alias("node"),
+        F.concat(F.lit("c"), (user % 3).cast("string")).alias("container"),
+        F.concat(F.element_at(pods, (user % 8 + 1).cast("int")), user.cast("string")).alias("workload_pod"),
+        F.element_at(names, (F.col("event_id") % 4 + 1).cast("int")).alias("metric"),
+        (F.col("event_id") % 4).alias("metric_pos"),
+        F.round(F.col("value") * 100).cast("long").cast("double").alias("value"),
+        (F.col("event_id") % 500).cast("double").alias("counter"),
+    )
+
+
+def _sql_list(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+SAMPLES_SQL = f"""ev AS (
+  SELECT event_id, epoch_us(ts) AS ts_us, epoch_us(ts) // 1000000 AS ts_s, event_type AS service,
+    'pod-' || user_id AS pod, 'node-' || (user_id % 5) AS node, 'c' || (user_id % 3) AS container,
+    {_sql_list(POD_NAMES)}[user_id % 8 + 1] || user_id AS workload_pod,
+    {_sql_list(METRIC_NAMES)}[event_id % 4 + 1] AS metric, event_id % 4 AS metric_pos,
+    CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS value, CAST(event_id % 500 AS DOUBLE) AS counter
+  FROM events)"""

@@ -11,31 +11,27 @@ from spanwise.functions.buckets import log_bucket
 from spanwise.operators.ordered import numbered
 from spanwise.operators.quantiles import quantiles
 
-# Compared metric, snapshot column, factor to the reported unit.
+# Compared metric, snapshot column, multiplier and divisor to the reported unit.
 EFFECT_METRICS = (
-    ("mean_response_time", "mean_response_time", 1 / 1000.0),
-    ("p90_response_time", "p90_response_time", 1 / 1000.0),
-    ("cpu_utilization", "sum_cpu_utilization_cores", 1000.0),
-    ("memory_utilization", "sum_memory_utilization_mb", 1.0),
-    ("anomaly_rate", "anomaly_rate", 1.0),
-    ("deadline_miss_rate", "deadline_miss_rate", 1.0),
+    ("mean_response_time", "mean_response_time", 1.0, 1000.0),
+    ("p90_response_time", "p90_response_time", 1.0, 1000.0),
+    ("cpu_utilization", "sum_cpu_utilization_cores", 1000.0, 1.0),
+    ("memory_utilization", "sum_memory_utilization_mb", 1.0, 1.0),
+    ("anomaly_rate", "anomaly_rate", 1.0, 1.0),
+    ("deadline_miss_rate", "deadline_miss_rate", 1.0, 1.0),
 )
 ROLES = ("before", "during", "after")
 
 
-def _reported(column: str, factor: float) -> Column:
-    value = F.coalesce(F.col(column), F.lit(0.0))
-    return value / (1 / factor) if factor < 1 else value * factor
-
-
 def window_means(roles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per change: size and metric means of its before, during and after windows; changes without one are dropped."""
     out = []
     for role in ROLES:
         mine = F.col("role") == role
         out.append(F.count(F.when(mine, F.lit(1))).alias(f"{role}_snapshots"))
-        for name, column, factor in EFFECT_METRICS:
-            out.append(F.avg(F.when(mine, _reported(column, factor))).alias(f"{role}_{name}"))
+        for name, column, times, over in EFFECT_METRICS:
+            reported = F.coalesce(F.col(column), F.lit(0.0)) * times / over
+            out.append(F.avg(F.when(mine, reported)).alias(f"{role}_{name}"))
     rows = roles.groupBy(*by, "change_index").agg(*out)
     for role in ROLES:
         rows = rows.where(F.col(f"{role}_snapshots") > 0)
@@ -44,7 +40,7 @@ def window_means(roles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def effects(means: DataFrame) -> DataFrame:
     """Effect (after minus before) and toxicity (during minus the middle of both) per change."""
-    for name, _, _ in EFFECT_METRICS:
+    for name, *_ in EFFECT_METRICS:
         before, during, after = (F.col(f"{r}_{name}") for r in ROLES)
         means = means.withColumn(f"effect_{name}", after - before).withColumn(
             f"toxicity_{name}", during - (before + after) / 2.0)
@@ -54,7 +50,7 @@ def effects(means: DataFrame) -> DataFrame:
 def effect_rows(table: DataFrame, kind: str = "effect", by: Sequence[str] = ()) -> DataFrame:
     """Long form: one row per change and metric."""
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{kind}_{n}").alias("value"))
-                      for n, _, _ in EFFECT_METRICS])
+                      for n, *_ in EFFECT_METRICS])
     return table.select(*by, "change_index", F.explode(pairs).alias("_m")).select(*by, "change_index", "_m.*")
 
 

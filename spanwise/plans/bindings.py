@@ -159,3 +159,83 @@ SAMPLES_SQL = f"""ev AS (
     {_sql_list(METRIC_NAMES)}[event_id % 4 + 1] AS metric, event_id % 4 AS metric_pos,
     CAST(CAST(round(value * 100) AS BIGINT) AS DOUBLE) AS value, CAST(event_id % 500 AS DOUBLE) AS counter
   FROM events)"""
+
+
+# --- hourly snapshots -------------------------------------------------------------------------------------------
+
+START_S = 1704067200  # 2024-01-01
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).withColumn("snapshot_no", F.floor((F.col("ts_s") - START_S) / HOUR_S).cast("long"))
+
+
+def _phases(h):
+    phase = F.when(h >= 24, "adaptation").otherwise("initialization")
+    part = h % 12
+    subphase = F.when(part.isin(5, 6), "stabilization").when(part == 7, "configuration_application").otherwise("normal")
+    return phase, subphase
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flat snapshot per hour with its phase; every fourth has only the fallback time stamp."""
+    h = F.col("snapshot_no")
+    phase, subphase = _phases(h)
+    cents = F.col("value")
+
+    def of(kind: str):
+        return F.sum(F.when(F.col("service") == kind, cents).otherwise(0.0))
+
+    rows = hours(spark, sf_dir).groupBy("snapshot_no").agg(
+        F.count(F.lit(1)).alias("total_requests"),
+        (F.sum(cents) * 10.0 / F.count(F.lit(1))).alias("mean_response_time"),
+        F.max(cents * 10.0).alias("p90_response_time"),
+        (F.count(F.when(cents > 10000, 1)) * 100.0 / F.count(F.lit(1))).alias("deadline_miss_rate"),
+        (F.count(F.when(F.col("service") == "error", 1)) * 100.0 / F.count(F.lit(1))).alias("anomaly_rate"),
+        (of("click") / 1000.0).alias("sum_cpu_utilization_cores"),
+        (of("view") / 100.0).alias("sum_memory_utilization_mb"),
+    )
+    end = F.timestamp_seconds((h + 1) * HOUR_S + START_S)
+    text = F.concat(F.date_format(end, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    return rows.select(
+        "*", ((h + 1) * HOUR_S + START_S).alias("ts_s"), phase.alias("phase"), subphase.alias("subphase"),
+        F.when(h % 4 != 0, text).alias("collection_end_time"), text.alias("timestamp"))
+
+
+def snapshot_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per hour a map from service to usage and one from node to its usage and pods per service."""
+    rows = hours(spark, sf_dir)
+    services = rows.groupBy("snapshot_no", "service").agg(
+        (F.sum("value") / 1000.0).alias("cpu"), F.count(F.lit(1)).cast("double").alias("mem"))
+    services = services.groupBy("snapshot_no").agg(F.map_from_entries(F.collect_list(F.struct(
+        "service", F.struct(F.col("cpu").alias("cpu_utilization_cores"), F.col("mem").alias("memory_utilization_mb"))
+    ))).alias("services"))
+    pods = rows.groupBy("snapshot_no", "node", "service").agg(F.countDistinct("pod").cast("double").alias("pods"),
+                                                              F.sum("value").alias("v"))
+    nodes = pods.groupBy("snapshot_no", "node").agg(
+        F.map_from_entries(F.collect_list(F.struct("service", "pods"))).alias("services"), F.sum("v").alias("v"))
+    nodes = nodes.groupBy("snapshot_no").agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct(
+        (F.col("v") / 1000.0).alias("cpu_usage_cores"), F.lit(64.0).alias("cpu_limit_cores"),
+        (F.col("v") / 10.0).alias("memory_usage_mb"), F.lit(4096.0).alias("memory_limit_mb"), "services",
+    )))).alias("nodes"))
+    return services.join(nodes, "snapshot_no")
+
+
+SNAPSHOTS_SQL = SAMPLES_SQL + """,
+hourly AS (SELECT *, (ts_s - 1704067200) // 3600 AS snapshot_no FROM ev),
+snap AS (SELECT snapshot_no, (snapshot_no + 1) * 3600 + 1704067200 AS ts_s, count(*) AS total_requests,
+    sum(value) * 10.0 / count(*) AS mean_response_time, max(value * 10.0) AS p90_response_time,
+    count(*) FILTER (value > 10000) * 100.0 / count(*) AS deadline_miss_rate,
+    count(*) FILTER (service = 'error') * 100.0 / count(*) AS anomaly_rate,
+    coalesce(sum(value) FILTER (service = 'click'), 0) / 1000.0 AS sum_cpu_utilization_cores,
+    coalesce(sum(value) FILTER (service = 'view'), 0) / 100.0 AS sum_memory_utilization_mb,
+    CASE WHEN snapshot_no >= 24 THEN 'adaptation' ELSE 'initialization' END AS phase,
+    CASE WHEN snapshot_no % 12 IN (5, 6) THEN 'stabilization' WHEN snapshot_no % 12 = 7
+      THEN 'configuration_application' ELSE 'normal' END AS subphase
+  FROM hourly GROUP BY 1),
+usage AS (SELECT snapshot_no, service, sum(value) / 1000.0 AS cpu, CAST(count(*) AS DOUBLE) AS mem FROM hourly
+  GROUP BY 1, 2),
+pods AS (SELECT snapshot_no, node, service, CAST(count(DISTINCT pod) AS DOUBLE) AS pods, sum(value) AS v FROM hourly
+  GROUP BY 1, 2, 3),
+node_use AS (SELECT snapshot_no, node, sum(v) AS v FROM pods GROUP BY 1, 2)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.scalars import DAY_US, epoch_micros
 from spanwise.operators import traces as tr
+from spanwise.session import materialize
 
 OPS = ["op_0", "op_1", "op_2", "op_3"]
 # op_3 has no service on purpose: it exercises the drop rule.
@@ -239,3 +240,75 @@ usage AS (SELECT snapshot_no, service, sum(value) / 1000.0 AS cpu, CAST(count(*)
 pods AS (SELECT snapshot_no, node, service, CAST(count(DISTINCT pod) AS DOUBLE) AS pods, sum(value) AS v FROM hourly
   GROUP BY 1, 2, 3),
 node_use AS (SELECT snapshot_no, node, sum(v) AS v FROM pods GROUP BY 1, 2)"""
+
+
+# --- configuration documents ------------------------------------------------------------------------------------
+
+def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as configuration versions of their brand; Service, Deployment and ConfigMap take turns.
+
+    Every fifth version has no application time.
+    """
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    note = "autoscaling.knative.dev/"
+    notes = F.create_map(
+        F.lit(note + "max-scale"), (F.col("p_size") % 10).cast("string"), F.lit(note + "target"),
+        F.concat(size, F.lit(".5")), F.lit(note + "metric"), F.lit("rps"), F.lit(note + "window"),
+        F.concat(size, F.lit("s")), F.lit(note + "stable-window"), F.concat(size, F.lit("m")))
+    notes = F.when(F.col("p_size") % 2 == 0, F.map_concat(
+        notes, F.create_map(F.lit(note + "min-scale"), F.lit("1")))).otherwise(notes)
+    container = F.struct(
+        F.struct(F.struct(F.concat(size, F.lit("m")).alias("cpu"), F.concat(size, F.lit("Mi")).alias("memory"))
+                 .alias("limits"), F.struct(F.lit("1").alias("cpu")).alias("requests")).alias("resources"),
+        F.array(F.struct(F.lit("CACHE_SIZE").alias("name"), size.alias("value")),
+                F.struct(F.lit("RATIO").alias("name"), F.concat(size, F.lit(".25")).alias("value")),
+                F.struct(F.lit("MODE").alias("name"), F.col("p_type").alias("value"))).alias("env"))
+    pod = F.struct(F.struct(F.array(container).alias("containers")).alias("spec"))
+    meta = F.struct(F.col("p_brand").alias("name"))
+    service = F.to_json(F.struct(F.lit("Service").alias("kind"), meta.alias("metadata"), F.struct(F.struct(
+        F.struct(notes.alias("annotations")).alias("metadata"),
+        F.struct(F.array(container).alias("containers")).alias("spec")).alias("template")).alias("spec")))
+    deployment = F.to_json(F.struct(F.lit("Deployment").alias("kind"), meta.alias("metadata"), F.struct(
+        (F.col("p_size") % 5).alias("replicas"), pod.alias("template")).alias("spec")))
+    data = F.create_map(F.lit("rate"), F.concat(size, F.lit(".0")), F.lit("grace"), F.concat(size, F.lit("s")),
+                        F.lit("zero"), F.when(F.col("p_size") % 2 == 0, "true").otherwise("False"),
+                        F.lit("note"), F.col("p_type"))
+    settings = F.to_json(F.struct(F.lit("ConfigMap").alias("kind"), data.alias("data")))
+    turn = F.col("p_partkey") % 3
+    text = F.when(turn == 0, service).when(turn == 1, deployment).otherwise(settings)
+    at = F.timestamp_seconds(F.col("p_partkey") * 3600)
+    docs = part.select(
+        F.col("p_brand").alias("service"), F.col("p_partkey").alias("seq"),
+        F.when(F.col("p_partkey") % 5 != 0, at).alias("applied_at"), F.parse_json(text).alias("doc"))
+    return materialize(docs, "config-docs")
+
+
+CONFIG_SQL = """cfg AS (SELECT p_brand AS service, p_partkey AS seq, p_partkey % 3 AS turn, p_size AS size,
+    p_type AS kind_text, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 3600 END AS applied_s FROM part),
+params AS (
+  SELECT service, seq, 'max-scale' AS param, CAST(size % 10 AS DOUBLE) AS num, NULL AS str FROM cfg WHERE turn = 0
+  UNION ALL SELECT service, seq, 'min-scale', CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END, NULL FROM cfg WHERE turn = 0
+  UNION ALL SELECT service, seq, unnest(['initial-scale', 'activation-scale', 'panic-threshold-percentage',
+    'panic-window-percentage', 'scale-down-delay']), 0, NULL FROM cfg WHERE turn = 0
+  UNION ALL SELECT service, seq, 'target', size + 0.5, NULL FROM cfg WHERE turn = 0
+  UNION ALL SELECT service, seq, 'window', size, NULL FROM cfg WHERE turn = 0
+  UNION ALL SELECT service, seq, 'stable-window', size * 60, NULL FROM cfg WHERE turn = 0
+  UNION ALL SELECT service, seq, 'metric', NULL, 'rps' FROM cfg WHERE turn = 0
+  UNION ALL SELECT service, seq, 'replicas', size % 5, NULL FROM cfg WHERE turn = 1
+  UNION ALL SELECT service, seq, 'cpu-limit', CAST(size AS DOUBLE) / 1000, NULL FROM cfg WHERE turn < 2
+  UNION ALL SELECT service, seq, 'cpu-request', 1, NULL FROM cfg WHERE turn < 2
+  UNION ALL SELECT service, seq, 'memory-limit', size, NULL FROM cfg WHERE turn < 2
+  UNION ALL SELECT service, seq, 'memory-request', 0, NULL FROM cfg WHERE turn < 2
+  UNION ALL SELECT service, seq, 'cache_size', size, NULL FROM cfg WHERE turn < 2
+  UNION ALL SELECT service, seq, 'ratio', size + 0.25, NULL FROM cfg WHERE turn < 2
+  UNION ALL SELECT service, seq, 'mode', NULL, kind_text FROM cfg WHERE turn < 2
+  UNION ALL SELECT service, seq, 'rate', size, NULL FROM cfg WHERE turn = 2
+  UNION ALL SELECT service, seq, 'grace', size, NULL FROM cfg WHERE turn = 2
+  UNION ALL SELECT service, seq, 'zero', CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END, NULL FROM cfg WHERE turn = 2
+  UNION ALL SELECT service, seq, 'note', NULL, kind_text FROM cfg WHERE turn = 2),
+ordered AS (SELECT service, seq, lag(seq) OVER (PARTITION BY service ORDER BY seq) AS prev FROM cfg),
+changed AS (SELECT o.service, o.seq, a.param FROM ordered o
+  JOIN params a ON a.service = o.service AND a.seq = o.seq
+  JOIN params c ON c.service = o.service AND c.seq = o.prev AND c.param = a.param
+  WHERE a.num IS DISTINCT FROM c.num OR a.str IS DISTINCT FROM c.str)"""

@@ -28,96 +28,113 @@ def _get(path: str, kind: str) -> Column:
     return F.try_variant_get("doc", path, kind)
 
 
-def _entry(name: Column | str, num: Column | None = None, text: Column | None = None) -> Column:
-    key = F.lit(name) if isinstance(name, str) else name
-    none = F.lit(None)
-    value = F.struct((none if num is None else num).cast("double").alias("num"),
-                     (none if text is None else text).cast("string").alias("str"))
-    return F.struct(key.alias("key"), value.alias("value"))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _annotations() -> list[Column]:
-    notes = _get("$.spec.template.metadata.annotations", "map<string,string>")
+def _raw(key: Column | str, how: Column | str, text: Column) -> Column:
+    """An entry still to be read: parameter, how to read it, text."""
+    lits = [F.lit(x) if isinstance(x, str) else x for x in (key, how)]
+    return F.struct(lits[0].alias("key"), lits[1].alias("how"), text.alias("text"))
 
-    def raw(name: str, default: str) -> Column:
-        return F.coalesce(F.try_element_at(notes, F.lit(PREFIX + name)), F.lit(default))
 
-    out = [_entry(n, raw(n, "0").try_cast("bigint")) for n in WHOLE_NUMBERS]
-    out += [_entry(n, raw(n, "0").try_cast("double")) for n in FRACTIONS]
-    out += [_entry(n, sc.duration_seconds(raw(n, "0s"))) for n in DURATIONS]
-    return [*out, _entry("metric", text=raw("metric", ""))]
+def _annotations() -> Column:
+    """The autoscaling annotations with their defaults."""
+    ways = {"whole": WHOLE_NUMBERS, "fraction": FRACTIONS, "duration": DURATIONS, "text": ("metric",)}
+    default = {"duration": "0s", "text": ""}
 
+    def read(notes: Column) -> Column:
+        return F.array(*[
+            _raw(n, how, F.coalesce(F.try_element_at(notes, F.lit(PREFIX + n)), F.lit(default.get(how, "0"))))
+            for how, names in ways.items() for n in names])
 
-def _resources() -> Column:
-    """Limits and requests of the first container; nothing without one."""
-    first = "$.spec.template.spec.containers[0]"
-    out = []
-    for what, parse in (("cpu", sc.cpu_cores), ("memory", sc.memory_mib)):
-        for side in ("limit", "request"):
-            text = F.coalesce(_get(f"{first}.resources.{side}s.{what}", "string"), F.lit("0"))
-            out.append(_entry(f"{what}-{side}", parse(text)))
-    found = F.array(*out)
-    return F.when(_get(first, "variant").isNotNull(), found).otherwise(F.slice(found, 1, 0))
+    return _let(_get("$.spec.template.metadata.annotations", "map<string,string>"), read)
 
 
-def typed_text(text: Column) -> tuple[Column, Column]:
-    """Number of a text with type inference (a point makes it a fraction), and the text where it is no number."""
-    num = F.when(text.contains("."), text.try_cast("double")).otherwise(text.try_cast("bigint").cast("double"))
-    return num, F.when(num.isNull(), text)
+CONTAINER = ("struct<resources:struct<limits:map<string,string>,requests:map<string,string>>,"
+             "env:array<struct<name:string,value:string>>>")
 
 
-def _environment() -> Column:
-    pairs = _get("$.spec.template.spec.containers[0].env", "array<struct<name:string,value:string>>")
-    whole = F.filter(pairs, lambda e: e["name"].isNotNull() & e["value"].isNotNull())
+def _container() -> Column:
+    """Resources and environment of the first container; nothing without one."""
+    empty = F.array().cast("array<struct<key:string,how:string,text:string>>")
 
-    def read(e: Column) -> Column:
-        num, text = typed_text(e["value"])
-        return _entry(F.lower(e["name"]), num, text)
+    def read(c: Column) -> Column:
+        sides = []
+        for what in ("cpu", "memory"):
+            for side in ("limit", "request"):
+                text = F.try_element_at(c["resources"][f"{side}s"], F.lit(what))
+                sides.append(_raw(f"{what}-{side}", what, F.coalesce(text, F.lit("0"))))
+        usable = F.filter(c["env"], lambda e: e["name"].isNotNull() & e["value"].isNotNull())
+        env = F.transform(usable, lambda e: _raw(F.lower(e["name"]), "typed", e["value"]))
+        return F.when(c.isNotNull(), F.concat(F.array(*sides), F.coalesce(env, empty))).otherwise(empty)
+
+    return _let(_get("$.spec.template.spec.containers[0]", CONTAINER), read)
 
-    return F.coalesce(F.transform(whole, read), F.transform(F.array().cast("array<struct<name:string,value:string>>"),
-                                                            read))
 
+def typed_text(text: Column) -> Column:
+    """Number of a text with type inference: a point makes it a fraction, else it has to be whole."""
+    return F.when(text.contains("."), text.try_cast("double")).otherwise(text.try_cast("bigint").cast("double"))
 
-def settings_value(text: Column) -> tuple[Column, Column]:
-    """Value of a settings entry: number, duration in seconds, boolean as 1 or 0, else text; in that order."""
-    num, _ = typed_text(text)
+
+def settings_value(text: Column) -> Column:
+    """Value of a settings entry: number, duration in seconds, boolean as 1 or 0; in that order, else null."""
     seconds = F.when(text.endswith("s"), F.left(text, F.length(text) - 1).try_cast("double"))
     flag = F.when(F.lower(text) == "true", 1.0).when(F.lower(text) == "false", 0.0)
-    found = F.coalesce(num, seconds, flag)
-    return found, F.when(found.isNull(), text)
+    return F.coalesce(typed_text(text), seconds, flag)
 
 
 def _settings() -> Column:
     data = F.map_entries(_get("$.data", "map<string,string>"))
+    return F.transform(data, lambda e: _raw(e["key"], "setting", e["value"]))
 
-    def read(e: Column) -> Column:
-        num, text = settings_value(e["value"])
-        return _entry(e["key"], num, text)
 
-    return F.transform(data, read)
+def _number(how: Column, text: Column) -> Column:
+    ways = {
+        "whole": text.try_cast("bigint").cast("double"), "fraction": text.try_cast("double"),
+        "duration": sc.duration_seconds(text), "cpu": sc.cpu_cores(text), "memory": sc.memory_mib(text),
+        "typed": typed_text(text), "setting": settings_value(text),
+    }
+    out = F.lit(None).cast("double")
+    for name, value in ways.items():
+        out = F.when(how == name, value).otherwise(out)
+    return out
 
 
 def with_params(docs: DataFrame) -> DataFrame:
     """Add ``kind`` and ``params``, a map from parameter to (num, str). Of equal names the last one stays."""
     kind = _get("$.kind", "string")
-    replicas = _entry("replicas", F.coalesce(_get("$.spec.replicas", "bigint"), F.lit(0)))
+    replicas = F.array(_raw("replicas", "whole", F.coalesce(_get("$.spec.replicas", "string"), F.lit("0"))))
     entries = (
-        F.when(kind == "Service", F.concat(F.array(*_annotations()), _resources(), _environment()))
-        .when(kind == "Deployment", F.concat(F.array(replicas), _resources(), _environment()))
+        F.when(kind == "Service", F.concat(_annotations(), _container()))
+        .when(kind == "Deployment", F.concat(replicas, _container()))
         .when(kind == "ConfigMap", _settings())
     )
     none = F.create_map().cast("map<string,struct<num:double,str:string>>")
 
+    def read(e: Column) -> Column:
+        text = F.when(e["how"].isin("text", "typed", "setting"), e["text"])
+        value = _let(_number(e["how"], e["text"]),
+                     lambda n: F.struct(n.alias("num"), F.when(n.isNull(), text).alias("str")))
+        return F.struct(e["key"].alias("key"), value.alias("value"))
+
     def put(found: Column, e: Column) -> Column:
         return F.map_concat(F.map_filter(found, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"]))
 
-    return docs.withColumn("kind", kind).withColumn("params", F.aggregate(entries, none, put))
+    def collect(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["key"])
+        pairs = F.transform(es, read)
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(pairs)).otherwise(
+            F.aggregate(pairs, none, put))
+
+    return docs.withColumn("kind", kind).withColumn("params", _let(entries, collect))
 
 
 def flatten(docs: DataFrame) -> DataFrame:
     """One row per document and parameter."""
-    rows = with_params(docs).select("service", "seq", "applied_at", F.explode("params").alias("param", "_v"))
-    return rows.select("service", "seq", "applied_at", "param", F.col("_v.num").alias("value_num"),
+    rows = with_params(docs).select("service", "seq", "applied_at", F.explode_outer("params").alias("param", "_v"))
+    return rows.where(F.col("param").isNotNull()).select("service", "seq", "applied_at", "param", F.col("_v.num").alias("value_num"),
                        F.col("_v.str").alias("value_str"))
 
 

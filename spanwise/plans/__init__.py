@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trace_queries", "metric_queries", "experiment_queries", "config_queries")
+MODULES = ("trace_queries", "metric_queries", "experiment_queries", "config_queries", "forest_queries")
 
 
 def load():

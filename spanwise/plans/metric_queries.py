@@ -13,7 +13,10 @@ from spanwise.plans.registry import query
 
 SERIES = ["service", "pod"]
 RANGE_S = 2 * b.DAY_S
-HOUR = (F.floor(F.col("ts_s") / 3600) * 3600).cast("long")
+def _hour():
+    return (F.floor(F.col("ts_s") / 3600) * 3600).cast("long")
+
+
 HOUR_SQL = "ts_s // 3600 * 3600"
 
 GROWN_SQL = b.SAMPLES_SQL + f""",
@@ -38,13 +41,13 @@ def counter_increase(spark, sf_dir):
 @query("m3_sum_by_node", f"WITH {b.SAMPLES_SQL} SELECT {HOUR_SQL} AS ts_s, node, sum(value) AS value FROM ev "
        "GROUP BY 1, 2")
 def sum_by_node(spark, sf_dir):
-    return m.sum_by(b.samples(spark, sf_dir).withColumn("ts_s", HOUR), ["ts_s", "node"])
+    return m.sum_by(b.samples(spark, sf_dir).withColumn("ts_s", _hour()), ["ts_s", "node"])
 
 
 @query("m4_count_by_node_service", f"WITH {b.SAMPLES_SQL} SELECT {HOUR_SQL} AS ts_s, node, service, count(*) AS value "
        "FROM ev GROUP BY 1, 2, 3")
 def count_by_node_service(spark, sf_dir):
-    return m.count_by(b.samples(spark, sf_dir).withColumn("ts_s", HOUR), ["ts_s", "node", "service"])
+    return m.count_by(b.samples(spark, sf_dir).withColumn("ts_s", _hour()), ["ts_s", "node", "service"])
 
 
 @query("m5_relabel", f"""WITH {b.SAMPLES_SQL} SELECT
@@ -73,7 +76,7 @@ total AS (SELECT {HOUR_SQL} AS ts_s, node, sum(value) AS value FROM ev GROUP BY
 SELECT ts_s, node, used.value * 100.0 / nullif(total.value, 0) AS utilisation_pct
 FROM used JOIN total USING (ts_s, node)""")
 def utilisation(spark, sf_dir):
-    ev = b.samples(spark, sf_dir).withColumn("ts_s", HOUR)
+    ev = b.samples(spark, sf_dir).withColumn("ts_s", _hour())
     used = m.sum_by(m.matching(ev, equal={"service": "click"}), ["ts_s", "node"])
     return m.utilisation(used, m.sum_by(ev, ["ts_s", "node"]), ["ts_s", "node"])
 
@@ -114,7 +117,7 @@ WIDE_SQL = ", ".join(f"max(value) FILTER (metric = '{n}') AS {n}" for n in b.MET
 
 @query("m12_wide_assembly", f"WITH {b.SAMPLES_SQL} SELECT {HOUR_SQL} AS index, {WIDE_SQL} FROM ev GROUP BY 1")
 def wide_assembly(spark, sf_dir):
-    ev = b.samples(spark, sf_dir).withColumn("index", HOUR)
+    ev = b.samples(spark, sf_dir).withColumn("index", _hour())
     return m.wide(ev, "index", F.col("metric"), "value", b.METRIC_NAMES)
 
 
@@ -144,9 +147,9 @@ UNION ALL SELECT service, metric, ts_s, sum(value) FROM base
 def extra_workloads(spark, sf_dir):
     ev = b.samples(spark, sf_dir)
     grown = m.increase(ev, SERIES, RANGE_S, "counter", ["event_id"])
-    pods = [F.col("workload_pod").alias("pod"), HOUR.alias("ts_s")]
+    pods = [F.col("workload_pod").alias("pod"), _hour().alias("ts_s")]
     named = F.when(F.col("service") == "click", F.lit("mongodb-geo")).otherwise(F.col("service"))
-    base = ev.groupBy(named.alias("service"), "metric", HOUR.alias("ts_s")).agg(F.sum("value").alias("value"))
+    base = ev.groupBy(named.alias("service"), "metric", _hour().alias("ts_s")).agg(F.sum("value").alias("value"))
     return m.extra_workloads(ev.select(*pods, "value"), grown.select(*pods, F.col("increase").alias("value")),
                              dims.EXTRA_WORKLOAD_PREFIX, base)
 
@@ -360,7 +363,7 @@ def node_summary(spark, sf_dir):
 counts AS (SELECT {HOUR_SQL} AS ts_s, node, service, count(DISTINCT pod) AS value FROM ev GROUP BY 1, 2, 3)
 SELECT node, service, CAST(sum(value) AS DOUBLE) / count(*) AS avg_pods FROM counts GROUP BY 1, 2""")
 def average_pods(spark, sf_dir):
-    counts = b.samples(spark, sf_dir).groupBy(HOUR.alias("ts_s"), "node", "service").agg(
+    counts = b.samples(spark, sf_dir).groupBy(_hour().alias("ts_s"), "node", "service").agg(
         F.countDistinct("pod").alias("value"))
     return m.average_pods(counts)
 

@@ -40,31 +40,57 @@ def average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, deep))
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """One tree over the rows of ``x``: random feature among the non-constant ones, uniform threshold."""
-    limit = math.ceil(math.log2(max(len(x), 2)))
-    nodes: list[list] = []
-    todo = [(np.arange(len(x)), 0, -1, 0)]
-    while todo:
-        rows, depth, parent, side = todo.pop()
-        here = len(nodes)
-        if parent >= 0:
-            nodes[parent][3 + side] = here
-        part = x[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        open_features = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) < 2 or not len(open_features):
-            nodes.append([here, -1, 0.0, here, here, len(rows), depth + float(average_path(len(rows)))])
-            continue
-        f = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[f], high[f]))
-        if cut >= high[f]:
-            cut = float(low[f])
-        nodes.append([here, f, cut, -1, -1, len(rows), 0.0])
-        down = part[:, f] <= cut
-        todo.append((rows[~down], depth + 1, here, 1))
-        todo.append((rows[down], depth + 1, here, 0))
-    return [tuple(n) for n in nodes]
+def grow_trees(x: np.ndarray, samples: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
+    """Trees over the row samples (one per line of ``samples``), all grown together level by level.
+
+    A node splits at a uniform threshold of a random feature among those that vary in it.
+    """
+    count, size = samples.shape
+    limit = math.ceil(math.log2(max(size, 2)))
+    rows = x[samples.ravel()]
+    owner = np.arange(count)
+    number = np.zeros(count, dtype=np.int64)
+    sizes = np.full(count, size)
+    used = np.ones(count, dtype=np.int64)
+    levels = []
+    for depth in range(limit + 1):
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        low, high = np.minimum.reduceat(rows, first), np.maximum.reduceat(rows, first)
+        varies = high > low
+        split = varies.any(axis=1) & (sizes > 1) & (depth < limit)
+        lot = np.where(varies, rng.random(varies.shape), -1.0)
+        feature = lot.argmax(axis=1)
+        at = np.arange(len(owner))
+        low, high = low[at, feature], high[at, feature]
+        cut = low + rng.random(len(owner)) * (high - low)
+        cut = np.where(cut >= high, low, cut)
+        # Children are numbered per tree in the order of their parents.
+        parents = np.flatnonzero(split)
+        child_owner = np.repeat(owner[parents], 2)
+        if len(parents):
+            start = np.searchsorted(child_owner, child_owner, side="left")
+            child_number = used[child_owner] + np.arange(len(child_owner)) - start
+            np.add.at(used, child_owner, 1)
+        else:
+            child_number = np.zeros(0, dtype=np.int64)
+        lower, upper = number.copy(), number.copy()
+        lower[parents], upper[parents] = child_number[0::2], child_number[1::2]
+        levels.append(pd.DataFrame({
+            "tree": owner, "node": number, "feature": np.where(split, feature, -1),
+            "threshold": np.where(split, cut, 0.0), "lower": lower, "upper": upper, "n": sizes,
+            "path": np.where(split, 0.0, depth + average_path(sizes))}))
+        if not len(parents):
+            break
+        node = np.repeat(at, sizes)
+        keep = split[node]
+        rows, node = rows[keep], node[keep]
+        place = np.cumsum(split) - 1
+        target = 2 * place[node] + (rows[np.arange(len(rows)), feature[node]] > cut[node])
+        order = np.argsort(target, kind="stable")
+        rows = rows[order]
+        sizes = np.bincount(target, minlength=2 * len(parents))
+        owner, number = child_owner, child_number
+    return pd.concat(levels, ignore_index=True)
 
 
 class Trees:
@@ -267,12 +293,13 @@ def fit(
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id)
         x, name, block = pdf[names].to_numpy(float), pdf[key].iloc[0], int(pdf["_block"].iloc[0])
-        out = []
-        for tree in range(block, trees, blocks):
-            rng = np.random.default_rng([seed, zlib.crc32(str(name).encode()), tree])
-            chosen = rng.choice(len(x), size=min(sample, len(x)), replace=False)
-            out += [(name, tree, *node) for node in grow_tree(x[chosen], rng)]
-        return pd.DataFrame(out, columns=[key, "tree", "node", "feature", "threshold", "lower", "upper", "n", "path"])
+        ids = np.arange(block, trees, blocks)
+        rng = np.random.default_rng([seed, zlib.crc32(str(name).encode()), block])
+        samples = np.stack([rng.choice(len(x), size=min(sample, len(x)), replace=False) for _ in ids])
+        grown = grow_trees(x, samples, rng)
+        grown["tree"] = ids[grown["tree"].to_numpy()]
+        grown.insert(0, key, name)
+        return grown
 
     key_type = training.schema[key].dataType.simpleString()
     nodes = materialize(spread.groupBy(key, "_block").applyInPandas(grow, f"{key} {key_type}, {NODE_SCHEMA}"), "forest")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("trace_queries", "metric_queries", "experiment_queries", "config_queries", "forest_queries")
+MODULES = (
+    "trace_queries", "metric_queries", "experiment_queries", "config_queries", "forest_queries", "source_queries",
+    "prompt_queries", "stream_queries",
+)
 
 
 def load():

@@ -103,7 +103,12 @@ def _number(how: Column, text: Column) -> Column:
 
 
 def with_params(docs: DataFrame) -> DataFrame:
-    """Add ``kind`` and ``params``, a map from parameter to (num, str). Of equal names the last one stays."""
+    """Add ``kind`` and ``params``, a map from parameter to (num, str). Of equal names the last one stays.
+
+    Documents that have ``params`` already are left as they are, so a stored result is not read again.
+    """
+    if "params" in docs.columns:
+        return docs
     kind = _get("$.kind", "string")
     replicas = F.array(_raw("replicas", "whole", F.coalesce(_get("$.spec.replicas", "string"), F.lit("0"))))
     entries = (

@@ -102,19 +102,16 @@ def carried(
     edges = rows.groupBy(*keys, "_bucket").agg(
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), pos)).alias(f"_e_{c}") for c in cols]
     )
-    if ahead:
-        across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-        inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        find = F.first
-    else:
-        across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*BEFORE)
-        inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*UP_TO_HERE)
-        find = F.last
+    # Looking ahead is looking back in the reverse order: a growing frame costs one step per row, a shrinking one does
+    # not.
+    turn = F.desc if ahead else F.asc
+    across = Window.partitionBy(*keys).orderBy(turn("_bucket")).rowsBetween(*BEFORE)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*[turn(o) for o in order]).rowsBetween(*UP_TO_HERE)
     edges = edges.select(
-        *keys, "_bucket", *[find(f"_e_{c}", ignorenulls=True).over(across).alias(f"_c_{c}") for c in cols]
+        *keys, "_bucket", *[F.last(f"_e_{c}", ignorenulls=True).over(across).alias(f"_c_{c}") for c in cols]
     )
     out = rows.alias("r").join(edges.alias("e"), _same([*keys, "_bucket"], "r", "e")).select(
         "r.*", *[F.col(f"e.`_c_{c}`") for c in cols]
     )
-    filled = {c: F.coalesce(find(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in cols}
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in cols}
     return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])

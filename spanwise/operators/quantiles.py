@@ -73,9 +73,8 @@ def tail_mean(df: DataFrame, value: str, by: Sequence[str], alpha: float = 0.95,
     """
     keyed, keys = (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
     points = _points(keyed, value, keys)
-    ascending = Window.partitionBy(*keys).orderBy("_b")
-    below, above = ascending.rowsBetween(Window.unboundedPreceding, -1), ascending.rowsBetween(
-        1, Window.unboundedFollowing)
+    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("_size").over(Window.partitionBy(*keys))
     cuts = (
         points.groupBy(*keys, "_b").agg(F.sum("_n").alias("_size"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"))

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 from spanwise import dims
 from spanwise.functions import scalars as sc
 from spanwise.operators import configs as cf
+from spanwise.operators.experiment import names_in
 from spanwise.plans import bindings as b
 from spanwise.plans.registry import query
+from spanwise.session import materialize
+
+
+def _read_docs(spark, sf_dir):
+    """Documents with their parameters, stored since change detection reads them more than once."""
+    rows = cf.with_params(b.config_docs(spark, sf_dir)).select("service", "seq", "applied_at", "params")
+    return materialize(rows, "config-params")
 
 
 def _params(spark, sf_dir, turn):
@@ -70,9 +78,8 @@ def unit_normalisation(spark, sf_dir):
   FROM cfg c CROSS JOIN (SELECT DISTINCT param FROM params) k
   LEFT JOIN params p ON p.service = c.service AND p.seq = c.seq AND p.param = k.param""")
 def parameter_matrix(spark, sf_dir):
-    docs = b.config_docs(spark, sf_dir)
-    names = sorted(r[0] for r in cf.flatten(docs).select("param").distinct().limit(1000).collect())
-    return cf.param_matrix(docs, names).select("service", "seq", "param", "value")
+    docs = _read_docs(spark, sf_dir)
+    return cf.param_matrix(docs, names_in(docs, "params")).select("service", "seq", "param", "value")
 
 
 @query("c7_time_axis", f"""WITH {b.CONFIG_SQL}, first AS (SELECT service, min(applied_s) AS f FROM cfg
@@ -108,12 +115,12 @@ _MATRIX = ["max-scale", "replicas", "mode", "rate"]
     f"CAST(count(*) FILTER (param = '{p}') > 0 AS INT) AS \"{p}\"" for p in _MATRIX)
     + " FROM (SELECT DISTINCT service FROM cfg) c LEFT JOIN changed x ON x.service = c.service GROUP BY 1")
 def change_matrix(spark, sf_dir):
-    return cf.change_matrix(b.config_docs(spark, sf_dir), _MATRIX)
+    return cf.change_matrix(_read_docs(spark, sf_dir), _MATRIX)
 
 
 @query("w10_version_changes", f"WITH {b.CONFIG_SQL} SELECT service, seq, param FROM changed")
 def version_changes(spark, sf_dir):
-    return cf.changes(b.config_docs(spark, sf_dir)).select("service", "seq", "param")
+    return cf.changes(_read_docs(spark, sf_dir)).select("service", "seq", "param")
 
 
 STATS_SQL = b.CONFIG_SQL + """,
@@ -128,7 +135,7 @@ stats AS (SELECT service, versions, versions - 1 AS updates, coalesce(changed, '
   UNION ALL SELECT '(all)', CAST(sum(k) AS BIGINT), CAST(sum(updates) AS BIGINT), '' FROM stats""")
 def change_statistics(spark, sf_dir):
     """The last row counts changed parameters and updates over all services."""
-    stats = cf.change_stats(b.config_docs(spark, sf_dir))
+    stats = cf.change_stats(_read_docs(spark, sf_dir))
     total = cf.change_totals(stats).select(F.lit("(all)").alias("service"), F.col("changed_params").alias("versions"),
                                            "updates", F.lit("").alias("changed"))
     return stats.withColumn("changed", F.array_join("changed", ",")).unionByName(total)

@@ -55,5 +55,5 @@ def counts_by_service(anomalies: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 def slowest_first(anomalies: DataFrame) -> DataFrame:
     """Number the anomalies of each service from the longest response time down."""
-    return numbered(anomalies, ["service"], -log_bucket(F.col("response_time")),
-                    [F.desc("response_time"), F.col("trace_id")], "position")
+    time = F.col("response_time")
+    return numbered(anomalies, ["service"], [-log_bucket(time), -time], [F.col("trace_id")], "position")

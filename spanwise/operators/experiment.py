@@ -115,7 +115,7 @@ def placement_rows(snapshots: DataFrame, at: Sequence[str]) -> DataFrame:
 def by_priority(anomalies: DataFrame, duration: str = "duration_seconds", enqueued: str = "enqueued_at",
                 tie: str = "trace_id", by: Sequence[str] = ()) -> DataFrame:
     """Number anomalies in queue order: shortest first, then oldest."""
-    return numbered(anomalies, by, log_bucket(F.col(duration)), [F.col(duration), F.col(enqueued), F.col(tie)],
+    return numbered(anomalies, by, [log_bucket(F.col(duration)), F.col(duration), F.col(enqueued)], [F.col(tie)],
                     "priority")
 
 

@@ -282,7 +282,8 @@ def fit(
     names = [f"_x{i}" for i in range(len(features))]
     rows = training.select(key, id, *[f.cast("double").alias(n) for f, n in zip(features, names)])
     chance = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    # Stored, so that its true size decides whether the join broadcasts it.
+    sizes = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size")), "sizes")
     drawn = rows.join(sizes, key).where(chance < F.lit(float(pool)) / F.col("_size")).drop("_size")
     blocks = min(TREE_BLOCKS, trees)
     # A fixed partition count: the pools are small but growing trees is not, so they must not be coalesced.

@@ -11,7 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.functions.buckets import chunk
 from spanwise.functions.scalars import longest_prefix
+from spanwise.operators.ordered import neighbours
 
 LOOKBACK_S = 300
 
@@ -47,19 +49,39 @@ def increase(
     spread = samples.withColumn("_own", own).withColumn(
         "_piece", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
     line = Window.partitionBy(*series, "_piece").orderBy("ts_s", *order)
-    before = F.lag(value).over(line)
-    step = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(
-        F.col(value) - before)
-    trailing = Window.partitionBy(*series, "_piece").orderBy("ts_s").rangeBetween(-range_s + 1, 0)
+    grown = spread.withColumn("_step", _step(F.col(value), F.lag(value).over(line))).withColumn(
+        "_grown", F.sum("_step").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Every own sample also looks for the first sample of its range. Read backwards, that is the last one seen, so one
+    # growing frame serves all of them; a sliding frame would read each range again.
+    sides = F.when(F.col("_piece") == F.col("_own"), F.array(F.lit(False), F.lit(True))).otherwise(
+        F.array(F.lit(False)))
+    both = grown.withColumn("_asks", F.explode(sides)).withColumn(
+        "_at", F.when(F.col("_asks"), F.col("ts_s") - range_s + 1).otherwise(F.col("ts_s")))
+    backwards = Window.partitionBy(*series, "_piece").orderBy(
+        F.desc("_at"), "_asks", *[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.last(F.when(~F.col("_asks"), F.col("_grown")), ignorenulls=True).over(backwards)
     return (
-        spread.withColumn("_step", step)
-        .withColumn("_grown", F.sum("_step").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn(name, F.col("_grown") - F.min("_grown").over(trailing))
-        .where(F.col("_piece") == F.col("_own"))
-        .drop("_own", "_piece", "_step", "_grown")
+        both.withColumn(name, F.col("_grown") - first).where("_asks")
+        .drop("_own", "_piece", "_step", "_grown", "_asks", "_at")
     )
 
 
+def _step(value: Column, before: Column) -> Column:
+    """Growth from one sample to the next; after a reset the counter started from zero."""
+    return F.when(before.isNull(), F.lit(0.0)).when(value < before, value).otherwise(value - before)
+
+
+def increase_at(
+    samples: DataFrame, series: Sequence[str], end: int, lookback_s: int, value: str = "value",
+    order: Sequence[str] = (), piece_s: int = 3600,
+) -> DataFrame:
+    """Counter growth of each series over the ``lookback_s`` seconds up to ``end``, corrected for resets."""
+    recent = samples.where((F.col("ts_s") > end - lookback_s) & (F.col("ts_s") <= end)).select(
+        *series, "ts_s", *order, value)
+    near = neighbours(recent, series, chunk(F.col("ts_s"), piece_s), ["ts_s", *order], back={"_before": value})
+    return near.groupBy(*series).agg(F.sum(_step(F.col(value), F.col("_before"))).alias("increase"))
+
+
 def rate(samples: DataFrame, series: Sequence[str], range_s: int, value: str = "value", order: Sequence[str] = (),
          name: str = "rate", piece_s: int | None = None) -> DataFrame:
     """Counter growth per second over the trailing range."""
@@ -217,13 +239,12 @@ def average_pods(counts: DataFrame, by: Sequence[str] = ("node", "service")) ->
     return counts.groupBy(*by).agg(F.avg("value").alias("avg_pods"))
 
 
-def restarts_by_service(grown: DataFrame, prefixes: Mapping[str, str], order: Sequence[str] = ()) -> DataFrame:
-    """Restarts per service from the last increase of each pod, positive ones only, rounded half to even."""
-    last = grown.groupBy("pod").agg(F.max(F.struct("ts_s", *order, "increase")).alias("_at"))
+def restarts_by_service(grown: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
+    """Restarts per service from the increase of each pod at the end, positive ones only, rounded half to even."""
     return (
-        last.withColumn("service", longest_prefix(F.col("pod"), prefixes))
-        .where(F.col("service").isNotNull() & (F.col("_at.increase") > 0))
-        .groupBy("service").agg(F.sum(F.bround("_at.increase")).cast("long").alias("restarts"))
+        grown.withColumn("service", longest_prefix(F.col("pod"), prefixes))
+        .where(F.col("service").isNotNull() & (F.col("increase") > 0))
+        .groupBy("service").agg(F.sum(F.bround("increase")).cast("long").alias("restarts"))
     )
 
 

@@ -27,20 +27,32 @@ def _same(keys: Sequence[str], a: str, b: str) -> Column:
     return cond
 
 
-def numbered(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str = "rn") -> DataFrame:
-    """``row_number`` per key in the order (bucket, order)."""
-    rows, keys = _with_key(df.withColumn("_bucket", bucket), by)
-    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*BEFORE)
-    offsets = (
-        rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_offset", F.coalesce(F.sum("_size").over(across), F.lit(0)))
-        .drop("_size")
-    )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    joined = rows.alias("r").join(offsets.alias("o"), _same([*keys, "_bucket"], "r", "o")).select("r.*", "o._offset")
+def numbered(
+    df: DataFrame, by: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], name: str = "rn"
+) -> DataFrame:
+    """``row_number`` per key in the order (buckets, order).
+
+    ``buckets`` go from coarse to fine, each cutting the rows of the one before; a finer one lets equal values of the
+    coarser be split as well.
+    """
+    levels = [f"_bucket{i}" for i in range(len(buckets))]
+    rows, keys = _with_key(df.withColumns(dict(zip(levels, buckets))), by)
+    sizes = rows.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_size"))
+    offsets, start = sizes, F.lit(0)
+    for depth, level in enumerate(levels):
+        outer = [*keys, *levels[:depth]]
+        across = Window.partitionBy(*outer).orderBy(level).rowsBetween(*BEFORE)
+        totals = sizes if depth == len(levels) - 1 else sizes.groupBy(*outer, level).agg(F.sum("_size").alias("_size"))
+        before = totals.select(*outer, level, F.coalesce(F.sum("_size").over(across), F.lit(0)).alias(f"_o{depth}"))
+        offsets = offsets.alias("a").join(before.alias("b"), _same([*outer, level], "a", "b")).select(
+            "a.*", f"b._o{depth}")
+        start = start + F.col(f"_o{depth}")
+    offsets = offsets.select(*keys, *levels, start.alias("_offset"))
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order)
+    joined = rows.alias("r").join(offsets.alias("o"), _same([*keys, *levels], "r", "o")).select("r.*", "o._offset")
     return (
         joined.withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("long"))
-        .drop("_offset", "_bucket", "_all")
+        .drop("_offset", "_all", *levels)
     )
 
 

@@ -236,7 +236,7 @@ def kept_history(messages: DataFrame, key: str, order: str, most: int = 5, bound
     keeps the last ``most`` instead.
     """
     piece = chunk(F.col(order), 1000)
-    placed = numbered(messages, [key], piece, [F.col(order)], "position")
+    placed = numbered(messages, [key], [piece], [F.col(order)], "position")
     total = messages.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     rows = placed.join(total, key)
     dropped = F.col("_n") - most if bounded else F.floor(F.col("_n") / 2) - (most // 2)

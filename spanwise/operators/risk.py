@@ -37,12 +37,12 @@ def thresholds(live: DataFrame, training: DataFrame | None, alpha: float = 0.95)
 def miss_rates(live: DataFrame, limits: DataFrame, by: Sequence[str] = ("pattern",)) -> DataFrame:
     """Share of traces above their pattern's deadline, in percent, with count, mean and maximum.
 
-    Equal totals are combined before the deadlines are joined in.
+    Equal totals are combined before the deadlines are joined in. A pattern without a deadline has deadline 0.
     """
     keys = list(dict.fromkeys([*by, "pattern"]))
     combined = live.groupBy(*keys, "total_us").agg(F.count(F.lit(1)).alias("_n"))
-    late = F.when(F.col("total_us") > F.col("threshold"), F.col("_n")).otherwise(F.lit(0))
-    out = combined.join(limits, "pattern").groupBy(*by).agg(
+    late = F.when(F.col("total_us") > F.coalesce("threshold", F.lit(0.0)), F.col("_n")).otherwise(F.lit(0))
+    out = combined.join(limits, "pattern", "left").groupBy(*by).agg(
         F.sum(late).alias("miss_count"), F.sum("_n").alias("total_requests"),
         (F.sum(F.col("total_us") * F.col("_n")) / F.sum("_n")).alias("mean_response_time"),
         F.max("total_us").alias("max_response_time"),
@@ -57,5 +57,5 @@ def overall_miss_rate(rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def past_deadline(flagged: DataFrame, limits: DataFrame) -> DataFrame:
     """Outliers that also took longer than their pattern's deadline."""
-    gate = F.col("is_outlier") & (F.col("total_us") > F.col("threshold"))
-    return flagged.where("is_outlier").join(limits, "pattern").where(gate)
+    limit = F.coalesce("threshold", F.lit(0.0))
+    return flagged.where("is_outlier").join(limits, "pattern", "left").where(F.col("total_us") > limit)

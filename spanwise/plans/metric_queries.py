@@ -12,7 +12,8 @@ from spanwise.plans import bindings as b
 from spanwise.plans.registry import query
 
 SERIES = ["service", "pod"]
-RANGE_S = 2 * b.DAY_S
+COUNTERS = ["service"]
+RANGE_S = 4 * 3600
 def _hour():
     return (F.floor(F.col("ts_s") / 3600) * 3600).cast("long")
 
@@ -20,21 +21,21 @@ def _hour():
 HOUR_SQL = "ts_s // 3600 * 3600"
 
 GROWN_SQL = b.SAMPLES_SQL + f""",
-prev AS (SELECT *, lag(counter) OVER (PARTITION BY service, pod ORDER BY ts_s, event_id) AS p FROM ev),
+prev AS (SELECT *, lag(counter) OVER (PARTITION BY service ORDER BY ts_s, event_id) AS p FROM ev),
 stepped AS (SELECT *, sum(CASE WHEN p IS NULL THEN 0 WHEN counter < p THEN counter ELSE counter - p END)
-  OVER (PARTITION BY service, pod ORDER BY ts_s, event_id) AS grown FROM prev),
-inc AS (SELECT *, grown - min(grown) OVER (PARTITION BY service, pod ORDER BY ts_s
+  OVER (PARTITION BY service ORDER BY ts_s, event_id) AS grown FROM prev),
+inc AS (SELECT *, grown - min(grown) OVER (PARTITION BY service ORDER BY ts_s
   RANGE BETWEEN {RANGE_S - 1} PRECEDING AND CURRENT ROW) AS increase FROM stepped)"""
 
 
 @query("m1_counter_rate", f"WITH {GROWN_SQL} SELECT event_id, increase / {RANGE_S}.0 AS rate FROM inc")
 def counter_rate(spark, sf_dir):
-    return m.rate(b.samples(spark, sf_dir), SERIES, RANGE_S, "counter", ["event_id"]).select("event_id", "rate")
+    return m.rate(b.samples(spark, sf_dir), COUNTERS, RANGE_S, "counter", ["event_id"]).select("event_id", "rate")
 
 
 @query("m2_counter_increase", f"WITH {GROWN_SQL} SELECT event_id, increase FROM inc")
 def counter_increase(spark, sf_dir):
-    return m.increase(b.samples(spark, sf_dir), SERIES, RANGE_S, "counter", ["event_id"]).select(
+    return m.increase(b.samples(spark, sf_dir), COUNTERS, RANGE_S, "counter", ["event_id"]).select(
         "event_id", "increase")
 
 
@@ -146,7 +147,7 @@ UNION ALL SELECT service, metric, ts_s, sum(value) FROM base
   WHERE service NOT IN (SELECT service FROM extra) GROUP BY 1, 2, 3""")
 def extra_workloads(spark, sf_dir):
     ev = b.samples(spark, sf_dir)
-    grown = m.increase(ev, SERIES, RANGE_S, "counter", ["event_id"])
+    grown = m.increase(ev, COUNTERS, RANGE_S, "counter", ["event_id"])
     pods = [F.col("workload_pod").alias("pod"), _hour().alias("ts_s")]
     named = F.when(F.col("service") == "click", F.lit("mongodb-geo")).otherwise(F.col("service"))
     base = ev.groupBy(named.alias("service"), "metric", _hour().alias("ts_s")).agg(F.sum("value").alias("value"))
@@ -258,8 +259,8 @@ def _restarts(spark, sf_dir):
     ev = b.samples(spark, sf_dir)
     err = ev.where((F.col("service") == "error") & (F.col("event_id") % 7 != 0)).withColumn(
         "pod", F.col("workload_pod"))
-    grown = m.increase(err, ["pod"], 31 * b.DAY_S, "counter", ["event_id"])
-    return m.restarts_by_service(grown, dims.POD_PREFIX_SERVICE, ["event_id"])
+    grown = m.increase_at(err, ["pod"], b.END_S, 31 * b.DAY_S, "counter", ["event_id"])
+    return m.restarts_by_service(grown, dims.POD_PREFIX_SERVICE)
 
 
 def _health(spark, sf_dir):

@@ -20,16 +20,20 @@ def p90(traces: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return quantiles(traces, "total_us", by, {"p90_response_time": 0.9})
 
 
+def deadlines(training: DataFrame, alpha: float = 0.95) -> DataFrame:
+    """Deadline per training pattern: the mean of its slowest share."""
+    return tail_mean(training, "total_us", ["pattern"], alpha, "threshold")
+
+
 def thresholds(live: DataFrame, training: DataFrame | None, alpha: float = 0.95) -> DataFrame:
     """Deadline per live pattern from the training tail; 0 for a pattern that training lacks.
 
     Without any training table the live traces stand in for it.
     """
     if training is None:
-        return tail_mean(live, "total_us", ["pattern"], alpha, "threshold")
-    known = tail_mean(training, "total_us", ["pattern"], alpha, "threshold")
+        return deadlines(live, alpha)
     return (
-        live.select("pattern").distinct().join(known, "pattern", "left")
+        live.select("pattern").distinct().join(deadlines(training, alpha), "pattern", "left")
         .withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
     )
 

@@ -337,7 +337,7 @@ def assembled(spark, sf_dir):
     """Snapshot of every 30-day window."""
     live, training = b.split(spark, sf_dir)
     live = materialize(live.withColumn("window_us", tr.window_start(F.col("start_us"), b.WINDOW_US)), "live")
-    limits = risk.thresholds(live, training)
+    limits = risk.deadlines(training)
     window = tr.window_start(F.col("start_us"), b.WINDOW_US)
     anomalies = _anomalies(spark, sf_dir).withColumn("window_us", window)
     samples = _span_samples(spark, sf_dir)

@@ -28,7 +28,7 @@ def _features():
 def _labelled(spark, sf_dir):
     live, training = _split(spark, sf_dir)
     model = fo.fit(fo.training_for(live, training), _features())
-    return model, model.label(live), risk.thresholds(live, training)
+    return model, model.label(live), risk.deadlines(training)
 
 
 @query("d1_training_selection", f"""WITH {b.TRACES_SQL}, t AS (SELECT * FROM train WHERE pattern NOT IN ('1111', '0001'))

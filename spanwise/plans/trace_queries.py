@@ -21,7 +21,7 @@ def _wide(df):
 
 def _anomalies(spark, sf_dir):
     live, training = b.split(spark, sf_dir)
-    limits = risk.thresholds(live, training)
+    limits = risk.deadlines(training)
     return at.primary_service(risk.past_deadline(b.attributions(live), limits), b.OP_SERVICE)
 
 
@@ -130,7 +130,7 @@ rates AS (SELECT pattern, count(*) FILTER (total_us > threshold) AS miss_count,
 @query("a6_pattern_miss_rate", f"WITH {MISS_SQL} SELECT * FROM rates")
 def pattern_miss_rate(spark, sf_dir):
     live, training = b.split(spark, sf_dir)
-    return risk.miss_rates(live, risk.thresholds(live, training))
+    return risk.miss_rates(live, risk.deadlines(training))
 
 
 @query("a7_overall_miss_rate", f"WITH {MISS_SQL} SELECT round(avg(miss_rate), 6) AS deadline_miss_rate FROM rates")
@@ -171,7 +171,7 @@ def anomalies_per_service(spark, sf_dir):
 @query("d6_deadline_gate", f"WITH {b.ATTRIBUTED_SQL} SELECT trace_id, pattern, total_us FROM flagged")
 def deadline_gate(spark, sf_dir):
     live, training = b.split(spark, sf_dir)
-    gated = risk.past_deadline(b.attributions(live), risk.thresholds(live, training))
+    gated = risk.past_deadline(b.attributions(live), risk.deadlines(training))
     return gated.select("trace_id", "pattern", "total_us")
 
 

@@ -54,6 +54,6 @@ def counts_by_service(anomalies: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def slowest_first(anomalies: DataFrame) -> DataFrame:
-    """Number the anomalies of each service from the longest response time down."""
-    time = F.col("response_time")
-    return numbered(anomalies, ["service"], [-log_bucket(time), -time], [F.col("trace_id")], "position")
+    """Number the anomalies of each service from the longest response time down; ties go by the text of their id."""
+    time, tie = F.col("response_time"), F.col("trace_id").cast("string")
+    return numbered(anomalies, ["service"], [-log_bucket(time), -time, F.substring(tie, 1, 2)], [tie], "position")

@@ -114,8 +114,9 @@ def placement_rows(snapshots: DataFrame, at: Sequence[str]) -> DataFrame:
 
 def by_priority(anomalies: DataFrame, duration: str = "duration_seconds", enqueued: str = "enqueued_at",
                 tie: str = "trace_id", by: Sequence[str] = ()) -> DataFrame:
-    """Number anomalies in queue order: shortest first, then oldest."""
-    return numbered(anomalies, by, [log_bucket(F.col(duration)), F.col(duration), F.col(enqueued)], [F.col(tie)],
+    """Number anomalies in queue order: shortest first, then oldest, then by the text of their id."""
+    time, last = F.col(duration), F.col(tie).cast("string")
+    return numbered(anomalies, by, [log_bucket(time), time, F.col(enqueued), F.substring(last, 1, 2)], [last],
                     "priority")
 
 

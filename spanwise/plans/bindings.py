@@ -40,7 +40,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All traces with ``training`` set for orders before 1999."""
     role = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("trace_id"),
-        (epoch_micros(F.col("o_orderdate")) < F.lit(915148800000000)).alias("training"),
+        (F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ'1999-01-01 00:00:00'")).alias("training"),
     )
     return tr.summarize(spans(spark, sf_dir), OPS).join(role, "trace_id")
 

@@ -269,7 +269,7 @@ def latest_row(spark, sf_dir):
 
 QUEUE_SQL = b.SAMPLES_SQL + """,
 queued AS (SELECT event_id AS trace_id, service, value / 100.0 AS duration_seconds, ts_us AS enqueued_at,
-  row_number() OVER (ORDER BY value, ts_us, event_id) AS priority FROM ev)"""
+  row_number() OVER (ORDER BY value, ts_us, CAST(event_id AS VARCHAR)) AS priority FROM ev)"""
 
 
 def _queue(spark, sf_dir):

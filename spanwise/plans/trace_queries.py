@@ -189,7 +189,7 @@ def anomaly_record(spark, sf_dir):
 
 
 @query("w7_slowest_first", f"""WITH {b.ATTRIBUTED_SQL} SELECT service, trace_id, total_us AS response_time,
-  row_number() OVER (PARTITION BY service ORDER BY total_us DESC, trace_id) AS position FROM anomalies""")
+  row_number() OVER (PARTITION BY service ORDER BY total_us DESC, CAST(trace_id AS VARCHAR)) AS position FROM anomalies""")
 def slowest_first(spark, sf_dir):
     return at.slowest_first(_anomalies(spark, sf_dir)).select("service", "trace_id", "response_time", "position")
 
@@ -210,9 +210,31 @@ def two_lowest(spark, sf_dir):
                        F.col("col.value").alias("contribution"))
 
 
-@query("s14_dimension_tables", "SELECT event_type, count(*) AS n, CASE event_type WHEN 'click' THEN 'srv-rate' "
-       "WHEN 'view' THEN 'mongodb-geo' END AS service FROM events GROUP BY 1")
+# Events take the known operations and pod prefixes in turn; one more of each is unknown.
+_KNOWN_OPS = [*sorted(dims.OPERATION_SERVICE), "unknown"]
+_KNOWN_PODS = [*sorted(dims.POD_PREFIX_SERVICE), "unknown"]
+
+
+def _values_sql(mapping):
+    return ", ".join(f"('{k}', '{v}')" for k, v in sorted(mapping.items()))
+
+
+@query("s14_dimension_tables", f"""WITH e AS (SELECT {b._sql_list(_KNOWN_OPS)}[event_id % {len(_KNOWN_OPS)} + 1] AS operation,
+  {b._sql_list(_KNOWN_PODS)}[event_id % {len(_KNOWN_PODS)} + 1] AS prefix FROM events),
+ops(operation, service) AS (VALUES {_values_sql(dims.OPERATION_SERVICE)}),
+pods(prefix, pod_service) AS (VALUES {_values_sql(dims.POD_PREFIX_SERVICE)}),
+aliases(pod_service, config_key) AS (VALUES {_values_sql(dims.CONFIG_KEY_ALIAS)})
+SELECT service, pod_service, config_key, count(*) AS n FROM e LEFT JOIN ops USING (operation)
+LEFT JOIN pods USING (prefix) LEFT JOIN aliases USING (pod_service) GROUP BY 1, 2, 3""")
 def dimension_tables(spark, sf_dir):
-    known = dims.mapping_table(spark, {"click": "srv-rate", "view": "mongodb-geo"}, "event_type", "service")
-    events = b.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return events.join(F.broadcast(known), "event_type", "left")
+    def pick(names):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int"))
+
+    events = b.table(spark, sf_dir, "events").groupBy(
+        pick(_KNOWN_OPS).alias("operation"), pick(_KNOWN_PODS).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    ops = dims.mapping_table(spark, dims.OPERATION_SERVICE, "operation", "service")
+    pods = dims.mapping_table(spark, dims.POD_PREFIX_SERVICE, "prefix", "pod_service")
+    keys = dims.mapping_table(spark, dims.CONFIG_KEY_ALIAS, "pod_service", "config_key")
+    rows = events.join(F.broadcast(ops), "operation", "left").join(F.broadcast(pods), "prefix", "left").join(
+        F.broadcast(keys), "pod_service", "left")
+    return rows.groupBy("service", "pod_service", "config_key").agg(F.sum("n").alias("n"))

@@ -62,7 +62,8 @@ def anomaly_batches(stream: DataFrame, n: int) -> DataFrame:
         count, held = (state.get[0], [tuple(r) for r in zip(*state.get[1:])]) if state.exists else (0, [])
         for batch in batches:
             count += len(batch)
-            rows = zip(batch["duration_seconds"], batch["enqueued_at"], batch["trace_id"])
+            order = ["duration_seconds", "enqueued_at", "trace_id"]
+            rows = batch[order].nsmallest(n, order).itertuples(index=False)
             held = heapq.nsmallest(n, [*held, *((float(a), int(b), int(c)) for a, b, c in rows)])
         released = held if count >= n else []
         if released:

@@ -11,6 +11,7 @@ import sys
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -185,12 +186,15 @@ class Trees:
         return out
 
 
-def _evaluate(trees: dict, keys: pd.Series, x: np.ndarray, method: str, empty):
+def _evaluate(nodes: dict, built: dict, keys: pd.Series, x: np.ndarray, method: str, empty):
+    """Apply a method of each row's trees; ``built`` keeps the trees of keys met before."""
     out = [empty] * len(keys)
     for key, where in pd.Series(np.arange(len(keys))).groupby(keys.to_numpy(), sort=False):
-        if key in trees:
+        if key in nodes:
+            if key not in built:
+                built[key] = Trees(pd.DataFrame(nodes[key]))
             at = where.to_numpy()
-            for i, v in zip(at, getattr(trees[key], method)(x[at])):
+            for i, v in zip(at, getattr(built[key], method)(x[at])):
                 out[i] = v
     return out
 
@@ -208,24 +212,28 @@ class Forest:
     max_broadcast_nodes: int = MAX_BROADCAST_NODES
     _shared: object = field(default=None, repr=False)
 
-    def _broadcast(self):
-        """The trees on every executor; only used below the size bound."""
-        if self._shared is None:
-            nodes = self.nodes.toPandas()
-            trees = {k: Trees(g) for k, g in nodes.groupby(self.key)}
-            self._shared = self.nodes.sparkSession.sparkContext.broadcast(trees)
-        return self._shared
+    def _node_arrays(self) -> dict:
+        """Node columns per key on the driver; only used below the size bound."""
+        nodes = self.nodes.toPandas()
+        return {k: {c: g[c].to_numpy() for c in g.columns if c != self.key} for k, g in nodes.groupby(self.key)}
+
+    def trees(self) -> dict:
+        return {k: Trees(pd.DataFrame(v)) for k, v in self._node_arrays().items()}
 
     def _apply(self, rows: DataFrame, method: str, name: str, kind: str) -> DataFrame:
         names = [f"_x{i}" for i in range(len(self.features))]
         vector = F.struct(*[f.cast("double").alias(n) for f, n in zip(self.features, names)])
         empty = None if kind.startswith("array") else float("nan")
         if self.node_count <= self.max_broadcast_nodes:
-            shared = self._broadcast()
+            if self._shared is None:
+                self._shared = rows.sparkSession.sparkContext.broadcast(self._node_arrays())
+            shared = self._shared
 
             @F.pandas_udf(kind)
-            def run(keys: pd.Series, x: pd.DataFrame) -> pd.Series:
-                return pd.Series(_evaluate(shared.value, keys, x.to_numpy(float), method, empty))
+            def run(batches: Iterator[Tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+                built = {}
+                for keys, x in batches:
+                    yield pd.Series(_evaluate(shared.value, built, keys, x.to_numpy(float), method, empty))
 
             # Marked so that the optimizer neither repeats the call nor merges it into a filter that uses it.
             return rows.withColumn(name, run.asNondeterministic()(F.col(self.key), vector))
@@ -242,8 +250,8 @@ class Forest:
 
         def run(part: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
             out = part[columns].copy()
-            trees = {nodes[key].iloc[0]: Trees(nodes)} if len(nodes) else {}
-            out[name] = _evaluate(trees, part[key], part[names].to_numpy(float), method, empty)
+            known = {nodes[key].iloc[0]: nodes} if len(nodes) else {}
+            out[name] = _evaluate(known, {}, part[key], part[names].to_numpy(float), method, empty)
             return out
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", {name} {kind}"
@@ -268,7 +276,7 @@ class Forest:
 
     def base(self) -> dict:
         """Mean depth of the training sample per key, the value contributions add up from."""
-        return {k: t.base_depth() for k, t in self._broadcast().value.items()}
+        return {k: t.base_depth() for k, t in self.trees().items()}
 
 
 def fit(

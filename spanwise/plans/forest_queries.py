@@ -83,8 +83,12 @@ def tree_contributions(spark, sf_dir):
 
 @query("d_detected_anomalies")
 def detected_anomalies(spark, sf_dir):
-    """The whole chain: forest, deadline gate, contributions, responsible service, record."""
+    """The whole chain from forest to responsible service: per pattern the traces past the gate and those attributed.
+
+    A trace whose first candidate has no service (the total, or an unmapped operation) is dropped.
+    """
     model, flagged, limits = _labelled(spark, sf_dir)
-    found = at.primary_service(model.explain(risk.past_deadline(flagged, limits), b.FEATURES), b.OP_SERVICE)
-    return found.select("trace_id", "pattern", "response_time", F.col("start_us").alias("timestamp_us"),
-                        "duration_seconds", "service", "feature")
+    gated = materialize(model.explain(risk.past_deadline(flagged, limits), b.FEATURES).drop("durations"), "gated")
+    found = at.primary_service(gated, b.OP_SERVICE).groupBy("pattern").agg(F.count(F.lit(1)).alias("attributed"))
+    rows = gated.groupBy("pattern").agg(F.count(F.lit(1)).alias("gated"), F.max("total_us").alias("slowest_us"))
+    return rows.join(found, "pattern", "left").na.fill(0, ["attributed"])

@@ -53,7 +53,7 @@ def test_contributions_add_up_to_the_mean_depth(table):
     model = fitted(table, pool=600)
     rows = model.explain(table.limit(40), FEATURES).toPandas()
     base = model.base()
-    trees = model._broadcast().value
+    trees = model.trees()
     for r in rows.itertuples():
         depth = trees[r.pattern].mean_depth(np.array([[r.a, r.b, r.c]]))[0]
         assert sum(x["value"] for x in r.attribution) + base[r.pattern] == pytest.approx(depth, abs=1e-9)
@@ -66,7 +66,7 @@ def test_contributions_equal_the_sum_over_coalitions(table):
     from math import factorial
 
     model = fitted(table, trees=3, sample=32, pool=200)
-    trees = next(iter(model._broadcast().value.values()))
+    trees = next(iter(model.trees().values()))
     x = np.array([130.0, 4.0, 3.0])
 
     def expected(t, node, known):

@@ -15,10 +15,11 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The byte-level pre-token pattern of the vocabulary, and the same for ASCII text.
 PRE_TOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
@@ -26,8 +27,8 @@ PRE_TOKEN_ASCII = re.compile(
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 )
 
-#: Pre-tokens a worker remembers, and the longest that it remembers.
-KEPT, KEPT_CHARS = 400_000, 48
+#: Pre-tokens and pairs a worker remembers, and the longest pre-token that it remembers.
+KEPT, KEPT_CHARS, KEPT_PAIRS = 150_000, 48, 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -74,7 +75,7 @@ class Encoder:
         self.age, self.length = age, [len(e) for e in entries]
         self.id = [vocabulary.ids[e] for e in entries]
         self.shorter = [next((age[e[:n]] for n in range(len(e) - 1, 0, -1) if e[:n] in age), -1) for e in entries]
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.search = ahocorasick.Automaton()
         for k, e in enumerate(entries):
             self.search.add_word(e[::-1].decode("latin-1"), k)
@@ -85,11 +86,12 @@ class Encoder:
 
     def stand(self, left: int, right: int) -> bool:
         """Whether the two entries stay apart when merges are made in order; looked up in a table filled as pairs occur."""
-        known = self.compatible.get((left, right))
+        key = left << 20 | right
+        known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) >= KEPT_PAIRS:
                 self.compatible.clear()
-            known = self.compatible[left, right] = self._stand(left, right)
+            known = self.compatible[key] = self._stand(left, right)
         return known
 
     def _stand(self, left: int, right: int) -> bool:
@@ -117,29 +119,27 @@ class Encoder:
         if whole is not None:
             return [self.id[whole]]
         n = len(data)
-        longest = [-1] * n
-        for end, entry in self.search.iter(data[::-1].decode("latin-1")):
-            start = n - 1 - end
-            if longest[start] < 0:  # of the entries that end here in reversed order, the longest comes first
-                longest[start] = entry
-        dead = bytearray(n + 1)
+        # By end in reversed order; of the entries that end at one place the longest is found first, so it is put last.
+        longest = dict(list(self.search.iter(data[::-1].decode("latin-1")))[::-1])
+        length, shorter, stand = self.length, self.shorter, self.stand
+        dead: set[int] = set()
         out: list[int] = []
-        at, entry = 0, longest[0]
+        at, before, entry = 0, -1, longest[n - 1]
         while at < n:
-            before = out[-1] if out else -1
             while entry >= 0:
-                end = at + self.length[entry]
-                if not dead[end] and (before < 0 or self.stand(before, entry)):
+                end = at + length[entry]
+                if end not in dead and (before < 0 or stand(before, entry)):
                     break
-                entry = self.shorter[entry]
+                entry = shorter[entry]
             if entry >= 0:
                 out.append(entry)
-                at = end
-                entry = longest[at] if at < n else -1
+                at, before = end, entry
+                entry = longest[n - 1 - at] if at < n else -1
             else:
-                dead[at] = 1
+                dead.add(at)
                 entry = out.pop()
-                at -= self.length[entry]
+                at -= length[entry]
+                before = out[-1] if out else -1
         return [self.id[e] for e in out]
 
     def encode(self, text: str) -> np.ndarray:
@@ -155,16 +155,19 @@ class Encoder:
 
 
 class _Known(dict):
-    """Ids of short pre-tokens seen before, within a fixed number."""
+    """Ids of short pre-tokens seen lately: the newest, and the generation before it, each within a fixed number."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.encoder.piece(piece.encode("utf-8", "surrogatepass"))
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encoder.piece(piece.encode("utf-8", "surrogatepass"))
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -194,6 +197,7 @@ class Decoder:
         return b"".join(out).decode("utf-8", "replace")
 
 
+_IDS = T.ArrayType(T.IntegerType())
 _MADE: dict = {}
 
 
@@ -212,13 +216,18 @@ def share(spark: SparkSession, path: str):
     return vocabulary.digest, spark.sparkContext.broadcast(vocabulary)
 
 
+def _id_lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
+
+
 def encode(text: Column, shared) -> Column:
     """Token ids of the texts; none for a null or empty text."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(_IDS)
+    def ids(texts: pa.Array) -> pa.Array:
         encoder = made(Encoder, shared)
-        return pd.Series([encoder.encode(x) if isinstance(x, str) else np.empty(0, np.int32) for x in texts], dtype=object)
+        return _id_lists([encoder.encode(x.as_py() or "") for x in texts])
 
     return ids(text)
 
@@ -226,15 +235,32 @@ def encode(text: Column, shared) -> Column:
 def decode(ids: Column, shared) -> Column:
     """Texts of token ids; unknown ids add nothing, bytes that are no UTF-8 become U+FFFD, null ids give an empty text."""
 
-    @F.pandas_udf("string")
-    def texts(column: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def texts(column: pa.Array) -> pa.Array:
         decoder = made(Decoder, shared)
-        return pd.Series([decoder.decode(x) if x is not None else "" for x in column], dtype=object)
+        return pa.array((decoder.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in column), pa.string())
 
     return texts(ids)
 
 
+def round_trip(text: Column, shared) -> Column:
+    """Token ids of the texts, and the texts decoded from them, in one pass through Python."""
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", _IDS), T.StructField("decoded", T.StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        encoder, decoder = made(Encoder, shared), made(Decoder, shared)
+        rows = [encoder.encode(x.as_py() or "") for x in texts]
+        return pa.StructArray.from_arrays([_id_lists(rows), pa.array(map(decoder.decode, rows), pa.string())], ["ids", "decoded"])
+
+    return both(text)
+
+
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids`` and ``decoded``; columns of these names are replaced. Rows, repeated ones too, stay as they are."""
+    """``docs`` with ``ids`` and ``decoded``; columns of these names are replaced. Rows, repeated ones too, stay as they are.
+
+    A null or empty text has no ids and an empty decoded text.
+    """
     shared = share(docs.sparkSession, path)
-    return docs.withColumn("ids", encode(F.col("text"), shared)).withColumn("decoded", decode(F.col("ids"), shared))
+    return docs.withColumn("__both", round_trip(F.col("text"), shared)).withColumns({
+        "ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")
+    }).drop("__both")

@@ -93,38 +93,47 @@ def edit(tree: Tree, encoder: Encoder, text: str, start: int, end: int, new: str
     return edited, encoded
 
 
-def piece_leaves(text: Column, shared) -> Column:
-    """Characters and tokens of each pre-token of the texts; empty for a null or empty text."""
+def _leaves(text: str, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    pieces = pre_tokens(text)
+    chars = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces))
+    return chars, np.fromiter(map(len, map(encoder.known.__getitem__, pieces)), dtype=np.int32, count=len(pieces))
 
-    @F.pandas_udf(LEAVES)
-    def leaves(texts: pd.Series) -> pd.DataFrame:
-        known = made(Encoder, shared).known
+
+def _edited(encoder: Encoder, text: str, chars, tokens, change) -> tuple:
+    tree, encoded = Tree(chars, tokens), 0
+    for e in sorted(() if change is None else change, key=lambda e: (e["start"], e["end"]), reverse=True):
+        text, more = edit(tree, encoder, text, int(e["start"]), int(e["end"]), e["text"] or "")
+        encoded += more
+    kept = tree.leaves()
+    return int(tree.tokens[1]), encoded, text, {"chars": kept[0], "tokens": kept[1]}
+
+
+def count(text: Column, edits: Column, shared) -> Column:
+    """Leaves of the text's tree, and what :func:`recount` gives for it, in one pass through Python."""
+
+    @F.pandas_udf(T.StructType([T.StructField("leaves", LEAVES), T.StructField("edited", COUNTED)]))
+    def counted(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
+        encoder = made(Encoder, shared)
         rows = []
-        for x in texts:
-            pieces = pre_tokens(x) if isinstance(x, str) else []
-            rows.append((
-                np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)),
-                np.fromiter(map(len, map(known.__getitem__, pieces)), dtype=np.int32, count=len(pieces)),
-            ))
-        return frame(rows, LEAVES.names)
+        for text, change in zip(texts, changes):
+            text = text if isinstance(text, str) else ""
+            chars, tokens = _leaves(text, encoder)
+            rows.append(({"chars": chars, "tokens": tokens}, dict(zip(COUNTED.names, _edited(encoder, text, chars, tokens, change)))))
+        return frame(rows, ["leaves", "edited"])
 
-    return leaves(text)
+    return counted(text, edits)
 
 
 def recount(text: Column, leaves: Column, edits: Column, shared) -> Column:
-    """Apply edits (array of start, end, text in code points of the original, disjoint) from the last to the first."""
+    """Apply edits to stored trees: arrays of start, end, text in code points of the original, disjoint, last one first."""
 
     @F.pandas_udf(COUNTED)
     def counted(texts: pd.Series, trees: pd.DataFrame, changes: pd.Series) -> pd.DataFrame:
         encoder = made(Encoder, shared)
-        rows = []
-        for text, chars, tokens, change in zip(texts, trees["chars"], trees["tokens"], changes):
-            text, tree, encoded = text if isinstance(text, str) else "", Tree(chars, tokens), 0
-            for e in sorted(() if change is None else change, key=lambda e: (e["start"], e["end"]), reverse=True):
-                text, more = edit(tree, encoder, text, int(e["start"]), int(e["end"]), e["text"] or "")
-                encoded += more
-            kept = tree.leaves()
-            rows.append((int(tree.tokens[1]), encoded, text, {"chars": kept[0], "tokens": kept[1]}))
+        rows = [
+            _edited(encoder, text if isinstance(text, str) else "", chars, tokens, change)
+            for text, chars, tokens, change in zip(texts, trees["chars"], trees["tokens"], changes)
+        ]
         return frame(rows, COUNTED.names)
 
     return counted(text, leaves, edits)
@@ -137,7 +146,7 @@ def edited_counts(docs: DataFrame, edits: Column, path: str) -> DataFrame:
     edits beyond its end are cut to it; null edits change nothing; repeated rows are counted each by itself.
     """
     shared = share(docs.sparkSession, path)
-    return docs.withColumn("__edits", edits).withColumn("leaves", piece_leaves(F.col("text"), shared)).withColumns({
-        "n_tokens": F.aggregate("leaves.tokens", F.lit(0).cast("long"), lambda a, x: a + x),
-        "edited": recount(F.col("text"), F.col("leaves"), F.col("__edits"), shared),
-    }).drop("__edits")
+    both = docs.withColumn("__both", count(F.col("text"), edits, shared))
+    return both.withColumns({"leaves": F.col("__both.leaves"), "edited": F.col("__both.edited")}).withColumn(
+        "n_tokens", F.aggregate("leaves.tokens", F.lit(0).cast("long"), lambda a, x: a + x)
+    ).drop("__both")

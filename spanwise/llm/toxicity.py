@@ -34,9 +34,9 @@ IDENTITY_TERMS = (
 FIT_ROWS = 20_000
 #: Distinct words of a training text that are used at most, the smallest by hash.
 FIT_WORDS = 20_000
-FEATURES = 3_000
+FEATURES = 1_000
 HASH_BITS = 22
-RIDGE = 1.0
+RIDGE = 0.1
 COUNTERFACTUAL = 5.0
 
 
@@ -97,40 +97,36 @@ def fit(rows: list) -> tuple[dict[int, float], float]:
     chosen = np.union1d(top[z[top] > 3], [k for k in _SWAPS if seen[k]]).astype(np.int64)
     column = np.full(1 << HASH_BITS, -1)
     column[chosen] = np.arange(len(chosen))
+    n, k = len(y), len(chosen)
     cols = column[flat]
-    flat_cols, flat_rows = cols[cols >= 0], owner[cols >= 0]
-    # Counterfactual rows: what is taken out of and put into the features by each swap.
-    swap_rows, swap_cols, swap_values, n_swaps = [], [], [], 0
+    x = np.zeros((n, k + 1), dtype=np.float32)
+    x[owner[cols >= 0], cols[cols >= 0]] = 1
+    x[:, k] = 1
+    # The penalty's matrix: the ridge, and for each swap the square of the change it makes to the features.
+    penalty = np.diag(np.append(np.full(k, RIDGE), 1e-6))
     for row in sets:
         for word in row:
             for other in _SWAPS.get(int(word), ()):
-                for at, value in ((word, -1.0), (other, 1.0)):
-                    if column[at] >= 0:
-                        swap_rows.append(n_swaps)
-                        swap_cols.append(column[at])
-                        swap_values.append(value)
-                n_swaps += 1
-    swap_rows, swap_cols, swap_values = np.array(swap_rows, int), np.array(swap_cols, int), np.array(swap_values)
-    n, k = len(y), len(chosen)
-    w, v = np.zeros(k + 1), np.zeros(k + 1)
-    best = None
-    scale = np.append(np.sqrt(np.maximum(seen[chosen], 1) / n), 1.0)  # rare words take longer steps
-    for turn in range(400):
-        ahead = w + 0.9 * v
-        margin = np.bincount(flat_rows, weights=ahead[flat_cols], minlength=n) + ahead[k]
-        p = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-        error = p - y
-        slope = np.append(np.bincount(flat_cols, weights=error[flat_rows], minlength=k) + RIDGE * ahead[:k], error.sum())
-        if n_swaps:
-            change = np.bincount(swap_rows, weights=swap_values * ahead[swap_cols], minlength=n_swaps)
-            slope[:k] += COUNTERFACTUAL * np.bincount(swap_cols, weights=swap_values * change[swap_rows], minlength=k)
-        loss = -(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)).sum() + RIDGE / 2 * (ahead[:k] ** 2).sum()
-        if best is None or loss < best[0]:
-            best = (loss, ahead.copy())
-        v = 0.9 * v - 0.5 / n / scale * slope
-        w = w + v
-    weights = best[1]
-    return {int(b): float(x) for b, x in zip(chosen, weights) if x}, float(weights[k])
+                change = {int(column[word]): -1.0, int(column[other]): 1.0}
+                change.pop(-1, None)
+                for i, a in change.items():
+                    for j, b in change.items():
+                        penalty[i, j] += COUNTERFACTUAL * a * b
+    w = np.zeros(k + 1)
+    w[k] = np.log(share / (1 - share))
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30).astype(float)))
+        slope = x.T @ (p - y).astype(np.float32) + penalty @ w
+        weight = np.sqrt(np.maximum(p * (1 - p), 1e-6)).astype(np.float32)
+        curve = penalty.copy()
+        for at in range(0, n, 2048):
+            part = x[at : at + 2048] * weight[at : at + 2048, None]
+            curve += part.T @ part
+        step = np.linalg.solve(curve, slope)
+        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-4:
+            break
+    return {int(b): float(v) for b, v in zip(chosen, w)}, float(w[k])
 
 
 def scored(docs: DataFrame, training: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

@@ -89,7 +89,9 @@ def edit(tree: Tree, encoder: Encoder, text: str, start: int, end: int, new: str
     for touched in range(node + 1, last):
         if tree.chars[touched]:
             tree.put(touched, 0, 0)
-    tree.put(node, at - begin, tokens)
+    # Text put in right before an untouched first leaf joins that leaf.
+    kept = (int(tree.chars[node]), int(tree.tokens[node])) if last == node else (0, 0)
+    tree.put(node, at - begin + kept[0], tokens + kept[1])
     return edited, encoded
 
 

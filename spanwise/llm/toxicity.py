@@ -35,7 +35,7 @@ FIT_ROWS = 20_000
 #: Distinct words of a training text that are used at most, the smallest by hash.
 FIT_WORDS = 20_000
 FEATURES = 1_000
-HASH_BITS = 22
+HASH_BITS = 20
 RIDGE = 0.1
 COUNTERFACTUAL = 5.0
 

@@ -216,7 +216,8 @@ def share(spark: SparkSession, path: str):
     return vocabulary.digest, spark.sparkContext.broadcast(vocabulary)
 
 
-def _id_lists(rows: list[np.ndarray]) -> pa.Array:
+def int_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """A column of integer lists from one array a row."""
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
 
@@ -227,7 +228,7 @@ def encode(text: Column, shared) -> Column:
     @F.arrow_udf(_IDS)
     def ids(texts: pa.Array) -> pa.Array:
         encoder = made(Encoder, shared)
-        return _id_lists([encoder.encode(x.as_py() or "") for x in texts])
+        return int_lists([encoder.encode(x.as_py() or "") for x in texts])
 
     return ids(text)
 
@@ -250,7 +251,7 @@ def round_trip(text: Column, shared) -> Column:
     def both(texts: pa.Array) -> pa.Array:
         encoder, decoder = made(Encoder, shared), made(Decoder, shared)
         rows = [encoder.encode(x.as_py() or "") for x in texts]
-        return pa.StructArray.from_arrays([_id_lists(rows), pa.array(map(decoder.decode, rows), pa.string())], ["ids", "decoded"])
+        return pa.StructArray.from_arrays([int_lists(rows), pa.array(map(decoder.decode, rows), pa.string())], ["ids", "decoded"])
 
     return both(text)
 

@@ -8,13 +8,12 @@ first old pre-token border behind them, and updates the sums above the touched l
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwise.llm.bpe import PRE_TOKEN, PRE_TOKEN_ASCII, Encoder, made, pre_tokens, share
-from spanwise.llm.words import frame
+from spanwise.llm.bpe import PRE_TOKEN, PRE_TOKEN_ASCII, Encoder, int_lists, made, pre_tokens, share
 
 #: A pre-token's extent depends on this many characters behind it at most (a contraction's letters).
 LOOK_AHEAD = 2
@@ -101,27 +100,35 @@ def _leaves(text: str, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     return chars, np.fromiter(map(len, map(encoder.known.__getitem__, pieces)), dtype=np.int32, count=len(pieces))
 
 
-def _edited(encoder: Encoder, text: str, chars, tokens, change) -> tuple:
-    tree, encoded = Tree(chars, tokens), 0
-    for e in sorted(() if change is None else change, key=lambda e: (e["start"], e["end"]), reverse=True):
-        text, more = edit(tree, encoder, text, int(e["start"]), int(e["end"]), e["text"] or "")
-        encoded += more
-    kept = tree.leaves()
-    return int(tree.tokens[1]), encoded, text, {"chars": kept[0], "tokens": kept[1]}
+def _leaf_column(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([int_lists([r[k] for r in rows]) for k in range(2)], LEAVES.names)
+
+
+def _edited_column(encoder: Encoder, texts, leaves, edits) -> pa.StructArray:
+    tokens, encoded, new_texts, new_leaves = [], [], [], []
+    for text, own, change in zip(texts, leaves, edits):
+        tree, again = Tree(*own), 0
+        for e in sorted(change.as_py() or (), key=lambda e: (e["start"], e["end"]), reverse=True):
+            text, more = edit(tree, encoder, text, e["start"], e["end"], e["text"] or "")
+            again += more
+        tokens.append(int(tree.tokens[1]))
+        encoded.append(again)
+        new_texts.append(text)
+        new_leaves.append(tree.leaves())
+    return pa.StructArray.from_arrays(
+        [pa.array(tokens, pa.int64()), pa.array(encoded, pa.int64()), pa.array(new_texts, pa.string()), _leaf_column(new_leaves)], COUNTED.names
+    )
 
 
 def count(text: Column, edits: Column, shared) -> Column:
     """Leaves of the text's tree, and what :func:`recount` gives for it, in one pass through Python."""
 
-    @F.pandas_udf(T.StructType([T.StructField("leaves", LEAVES), T.StructField("edited", COUNTED)]))
-    def counted(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(T.StructType([T.StructField("leaves", LEAVES), T.StructField("edited", COUNTED)]))
+    def counted(texts: pa.Array, changes: pa.Array) -> pa.Array:
         encoder = made(Encoder, shared)
-        rows = []
-        for text, change in zip(texts, changes):
-            text = text if isinstance(text, str) else ""
-            chars, tokens = _leaves(text, encoder)
-            rows.append(({"chars": chars, "tokens": tokens}, dict(zip(COUNTED.names, _edited(encoder, text, chars, tokens, change)))))
-        return frame(rows, ["leaves", "edited"])
+        leaves = [_leaves(x.as_py() or "", encoder) for x in texts]
+        edited = _edited_column(encoder, (x.as_py() or "" for x in texts), leaves, changes)
+        return pa.StructArray.from_arrays([_leaf_column(leaves), edited], ["leaves", "edited"])
 
     return counted(text, edits)
 
@@ -129,14 +136,10 @@ def count(text: Column, edits: Column, shared) -> Column:
 def recount(text: Column, leaves: Column, edits: Column, shared) -> Column:
     """Apply edits to stored trees: arrays of start, end, text in code points of the original, disjoint, last one first."""
 
-    @F.pandas_udf(COUNTED)
-    def counted(texts: pd.Series, trees: pd.DataFrame, changes: pd.Series) -> pd.DataFrame:
-        encoder = made(Encoder, shared)
-        rows = [
-            _edited(encoder, text if isinstance(text, str) else "", chars, tokens, change)
-            for text, chars, tokens, change in zip(texts, trees["chars"], trees["tokens"], changes)
-        ]
-        return frame(rows, COUNTED.names)
+    @F.arrow_udf(COUNTED)
+    def counted(texts: pa.Array, trees: pa.Array, changes: pa.Array) -> pa.Array:
+        own = ((x["chars"].values.to_numpy(), x["tokens"].values.to_numpy()) for x in trees)
+        return _edited_column(made(Encoder, shared), (x.as_py() or "" for x in texts), own, changes)
 
     return counted(text, leaves, edits)
 

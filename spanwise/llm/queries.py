@@ -133,3 +133,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL
+), bi AS (SELECT item_id, least(10, len(w)) AS n, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM b),
+pat AS (
+  SELECT DISTINCT item_id, n, p FROM (
+    SELECT item_id, n, m, i, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS p FROM bi
+  ) WHERE i + n - 1 <= m
+), di AS (SELECT doc_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+dl AS (SELECT doc_id, m, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM di),
+dw AS (SELECT doc_id, n, i, array_to_string(l[1:n], ' ') AS p FROM dl, (SELECT DISTINCT n FROM pat) WHERE i + n - 1 <= m),
+hit AS (SELECT doc_id, item_id, n, i FROM dw JOIN pat USING (n, p)),
+pos AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY 1),
+its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH u AS (
+  SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\n.!?]*[\n.!?]+|[^\n.!?]+$') AS l FROM documents WHERE text IS NOT NULL)
+), o AS (
+  SELECT doc_id, unit, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS "end",
+    trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM u
+), k AS (SELECT doc_id, CAST("end" - length(unit) AS INTEGER) AS start, "end", norm FROM o WHERE len(string_split(norm, ' ')) >= 6),
+r AS (
+  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM k
+  WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)
+)
+SELECT doc_id, start, "end", kept_doc_id, kept_start FROM r WHERE doc_id <> kept_doc_id OR start <> kept_start
+"""

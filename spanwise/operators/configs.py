@@ -269,7 +269,7 @@ def check_bounds(proposed: DataFrame, rules: DataFrame) -> DataFrame:
     above = F.col("low").isNull() | (value >= low)
     below = F.col("high").isNull() | (value <= high)
     enough = F.col("minimum").isNull() | (value >= least)
-    return proposed.join(F.broadcast(rules.select("key", "low", "high", "minimum")), "key").withColumn(
+    return proposed.join(rules.select("key", "low", "high", "minimum"), "key").withColumn(
         "within", above & below & enough)
 
 

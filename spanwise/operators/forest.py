@@ -243,7 +243,9 @@ class Forest:
         """Send trees and rows to the same tasks; a large key is cut into splits, each with its own copy of the trees."""
         key, columns = self.key, rows.columns
         splits = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SPLIT).cast("long").alias("_splits"))
-        spread = rows.withColumn("_x", vector).join(splits, key).withColumn(
+        # Null-safe: rows without a key stay, as they do where the trees are broadcast.
+        sized = splits.withColumnRenamed(key, "_key")
+        spread = rows.withColumn("_x", vector).join(sized, F.col(key).eqNullSafe(F.col("_key"))).withColumn(
             "_split", F.pmod(F.xxhash64(self.id), F.col("_splits"))).select(*columns, "_x.*", "_split")
         copies = self.nodes.join(splits, key).withColumn(
             "_split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_splits") - 1))).drop("_splits")

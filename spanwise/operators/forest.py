@@ -1,7 +1,7 @@
 """Isolation forests per call pattern, trained and applied as Spark jobs (Liu, Ting and Zhou, 2008).
 
-Training draws a bounded pool of rows per key by a seeded hash, so trees never depend on partitioning and no task sees
-more than the pool. Scores and contributions are evaluated where the rows are; the trees travel to them.
+Training deals all rows of a key into slices of about twice a sample by a seeded hash; each tree samples its own slice, so
+trees come from the whole key, never depend on partitioning, and no task sees more than a slice. Scores and contributions are evaluated where the rows are; the trees travel to them.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from spanwise.session import materialize
 # Workers get these helpers with the task, whether or not the package is installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-POOL = 4096
 TREE_BLOCKS = 10
 ROWS_PER_SPLIT = 50_000
 # About 50 bytes a node: beyond this the trees are shuffled to the rows instead of broadcast.
@@ -252,6 +251,7 @@ class Forest:
 
         def run(part: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
             out = part[columns].copy()
+            out[key] = out[key].astype(object)
             known = {nodes[key].iloc[0]: nodes} if len(nodes) else {}
             out[name] = _evaluate(known, {}, part[key], part[names].to_numpy(float), method, empty)
             return out
@@ -283,29 +283,34 @@ class Forest:
 
 def fit(
     training: DataFrame, features: Sequence[Column], key: str = "pattern", id: str = "trace_id", trees: int = 100,
-    sample: int = 256, contamination: float = 0.01, seed: int = 42, pool: int = POOL,
+    sample: int = 256, contamination: float = 0.01, seed: int = 42,
     max_broadcast_nodes: int = MAX_BROADCAST_NODES,
 ) -> Forest:
     """Grow ``trees`` isolation trees per key and set the outlier offset at the ``contamination`` quantile of the
-    training scores. Runs Spark jobs; the fitted nodes are stored in the shared folder.
+    training scores. Every row has the same chance to be drawn; trees share slices only where a key has too few rows for
+    a slice each. Runs Spark jobs; the fitted nodes are stored in the shared folder.
     """
     names = [f"_x{i}" for i in range(len(features))]
     rows = training.select(key, id, *[f.cast("double").alias(n) for f, n in zip(features, names)])
-    chance = F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     # Stored, so that its true size decides whether the join broadcasts it.
     sizes = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size")), "sizes")
-    drawn = rows.join(sizes, key).where(chance < F.lit(float(pool)) / F.col("_size")).drop("_size")
-    blocks = min(TREE_BLOCKS, trees)
-    # A fixed partition count: the pools are small but growing trees is not, so they must not be coalesced.
+    slices = F.greatest(F.floor(F.col("_size") / (2 * sample)), F.lit(1)).cast("long")
+    drawn = rows.join(sizes.withColumn("_slices", slices).drop("_size"), key).withColumn(
+        "_slice", F.pmod(F.xxhash64(F.col(id), F.lit(seed)), F.col("_slices"))).where(F.col("_slice") < trees)
+    # Trees that share a slice grow in several tasks, each with a copy of the slice.
+    blocks = F.ceil(F.lit(min(TREE_BLOCKS, trees)) / F.col("_slices")).cast("int")
+    # A fixed partition count: the slices are small but growing trees is not, so they must not be coalesced.
     tasks = training.sparkSession.sparkContext.defaultParallelism
-    spread = drawn.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(
-        tasks, key, "_block")
+    spread = drawn.withColumn("_blocks", blocks).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where(
+        F.col("_slice") + F.col("_slices") * F.col("_block") < trees).repartition(tasks, key, "_slice", "_block")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id)
-        x, name, block = pdf[names].to_numpy(float), pdf[key].iloc[0], int(pdf["_block"].iloc[0])
-        ids = np.arange(block, trees, blocks)
-        rng = np.random.default_rng([seed, zlib.crc32(str(name).encode()), block])
+        pdf = pdf.sort_values([id, *names])
+        x, name = pdf[names].to_numpy(float), pdf[key].iloc[0]
+        part, slice_, of, parts = (int(pdf[c].iloc[0]) for c in ("_block", "_slice", "_slices", "_blocks"))
+        ids = np.arange(slice_, trees, of)[part::parts]
+        rng = np.random.default_rng([seed, zlib.crc32(str(name).encode()), slice_, part])
         samples = np.stack([rng.choice(len(x), size=min(sample, len(x)), replace=False) for _ in ids])
         grown = grow_trees(x, samples, rng)
         grown["tree"] = ids[grown["tree"].to_numpy()]
@@ -313,7 +318,7 @@ def fit(
         return grown
 
     key_type = training.schema[key].dataType.simpleString()
-    nodes = materialize(spread.groupBy(key, "_block").applyInPandas(grow, f"{key} {key_type}, {NODE_SCHEMA}"), "forest")
+    nodes = materialize(spread.groupBy(key, "_slice", "_block").applyInPandas(grow, f"{key} {key_type}, {NODE_SCHEMA}"), "forest")
     model = Forest(nodes, key, list(features), id, nodes.count(), max_broadcast_nodes=max_broadcast_nodes)
     scored = model.score(training)
     model.offsets = materialize(quantiles(scored, "score", [key], {"offset": contamination}), "offsets")

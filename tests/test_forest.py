@@ -50,7 +50,7 @@ def test_shuffled_trees_score_like_broadcast_ones(table):
 
 
 def test_contributions_add_up_to_the_mean_depth(table):
-    model = fitted(table, pool=600)
+    model = fitted(table)
     rows = model.explain(table.limit(40), FEATURES).toPandas()
     base = model.base()
     trees = model.trees()
@@ -65,7 +65,7 @@ def test_contributions_equal_the_sum_over_coalitions(table):
     from itertools import combinations
     from math import factorial
 
-    model = fitted(table, trees=3, sample=32, pool=200)
+    model = fitted(table, trees=3, sample=32)
     trees = next(iter(model.trees().values()))
     x = np.array([130.0, 4.0, 3.0])
 
@@ -93,3 +93,23 @@ def test_contributions_equal_the_sum_over_coalitions(table):
 def test_unseen_key_has_no_outliers(table):
     model = fitted(table.where("pattern = '1'"))
     assert model.label(table).where("pattern = '0' and is_outlier").count() == 0
+
+
+def test_trees_are_drawn_from_all_rows(spark):
+    """A key far larger than a slice: each tree has its own rows, and values from the whole key appear in the splits."""
+    rows = spark.range(60_000).select(F.lit("p").alias("pattern"), F.col("id").alias("trace_id"), F.col("id").cast("double").alias("v"))
+    model = fo.fit(rows, [F.col("v")], trees=20, sample=64)
+    nodes = model.nodes.where("feature >= 0").toPandas()
+    assert nodes["tree"].nunique() == 20
+    assert nodes["threshold"].min() < 6_000 and nodes["threshold"].max() > 54_000
+    assert model.nodes.where("lower < 0 OR lower IS NULL OR n > 0").groupBy("tree").count().count() == 20
+
+
+def test_rows_without_key_stay_on_both_paths(spark):
+    rows = spark.createDataFrame(
+        [("p" if k % 50 else None, k, float(k * 37 % 101)) for k in range(300)], "pattern string, trace_id long, v double")
+    near = fo.fit(rows, [F.col("v")], trees=5, sample=32)
+    far = fo.fit(rows, [F.col("v")], trees=5, sample=32, max_broadcast_nodes=0)
+    key = lambda r: r.trace_id
+    a, b = (sorted(m.score(rows).collect(), key=key) for m in (near, far))
+    assert [(r.trace_id, repr(r.score)) for r in a] == [(r.trace_id, repr(r.score)) for r in b] and len(a) == 300

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions import scalars as sc
 from spanwise.functions.buckets import chunk
+from spanwise.operators.experiment import at_every_name
 from spanwise.operators.ordered import neighbours
 
 PREFIX = "autoscaling.knative.dev/"
@@ -143,9 +144,9 @@ def flatten(docs: DataFrame) -> DataFrame:
                        F.col("_v.str").alias("value_str"))
 
 
-def param_matrix(docs: DataFrame, params: Sequence[str]) -> DataFrame:
-    """Every parameter at every version; missing and textual values are null. Versions expand in place."""
-    rows = with_params(docs).withColumn("param", F.explode(F.array(*[F.lit(p) for p in params])))
+def param_matrix(docs: DataFrame, params: DataFrame) -> DataFrame:
+    """Every parameter (``name``) at every version; missing and textual values are null."""
+    rows = at_every_name(with_params(docs), params, "param")
     value = F.try_element_at("params", F.col("param"))["num"]
     return rows.select("service", "seq", "applied_at", "param", value.alias("value"))
 

@@ -21,6 +21,7 @@ EFFECT_METRICS = (
     ("deadline_miss_rate", "deadline_miss_rate", 1.0, 1.0),
 )
 ROLES = ("before", "during", "after")
+NAMES_PER_SLOT = 1000
 
 
 def window_means(roles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -47,10 +48,10 @@ def effects(means: DataFrame) -> DataFrame:
     return means
 
 
-def effect_rows(table: DataFrame, kind: str = "effect", by: Sequence[str] = ()) -> DataFrame:
-    """Long form: one row per change and metric."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{kind}_{n}").alias("value"))
-                      for n, *_ in EFFECT_METRICS])
+def effect_rows(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Long form: one row per change, kind (effect or toxicity) and metric."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("metric"), F.col(f"{k}_{n}").alias("value"))
+                      for k in ("effect", "toxicity") for n, *_ in EFFECT_METRICS])
     return table.select(*by, "change_index", F.explode(pairs).alias("_m")).select(*by, "change_index", "_m.*")
 
 
@@ -68,19 +69,29 @@ def zscore(rows: DataFrame, value: str, by: Sequence[str], name: str = "z") -> D
     return rows.join(stats, list(by)).withColumn(name, z).drop("_mean", "_sd")
 
 
-def names_in(maps: DataFrame, column: str, most: int = 10_000) -> list[str]:
-    """All keys of a map column, sorted. More than ``most`` is an error."""
-    keys = maps.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(most + 1)
-    found = [r[0] for r in keys.collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} names in {column}")
-    return sorted(found)
+def names_in(maps: DataFrame, column: str) -> DataFrame:
+    """All keys of a map column, one ``name`` a row."""
+    return maps.select(F.explode(F.map_keys(column)).alias("name")).distinct()
 
 
-def dense(snapshots: DataFrame, column: str, names: Sequence[str], key: str, fields: Sequence[str] | None = None,
+def at_every_name(rows: DataFrame, names: DataFrame, key: str, per_slot: int = NAMES_PER_SLOT) -> DataFrame:
+    """Each row once for every name, in column ``key``.
+
+    Names are dealt to slots of about ``per_slot``, each an array; a row joins the slots by number and expands there.
+    A name list of few slots is small enough for a broadcast; one that is not has slots enough to spread the rows.
+    """
+    slots = max(1, -(-names.count() // per_slot))
+    listed = names.groupBy(F.pmod(F.xxhash64("name"), F.lit(slots).cast("long")).alias("_slot")).agg(
+        F.collect_list("name").alias("_names"))
+    at = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
+    return rows.withColumn("_slot", F.explode(at)).join(listed, "_slot").withColumn(key, F.explode("_names")).drop(
+        "_slot", "_names")
+
+
+def dense(snapshots: DataFrame, column: str, names: DataFrame, key: str, fields: Sequence[str] | None = None,
           name: str = "value") -> DataFrame:
-    """Every name at every snapshot, 0 where the map lacks it. Each snapshot expands in place, without a join."""
-    rows = snapshots.withColumn(key, F.explode(F.array(*[F.lit(n) for n in names])))
+    """Every name at every snapshot, 0 where the map lacks it."""
+    rows = at_every_name(snapshots, names, key)
     found = F.try_element_at(F.col(column), F.col(key))
     if fields is None:
         return rows.withColumn(name, F.coalesce(found, F.lit(0.0))).drop(column)

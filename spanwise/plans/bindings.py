@@ -278,10 +278,9 @@ def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("p_partkey") % 3
     text = F.when(turn == 0, service).when(turn == 1, deployment).otherwise(settings)
     at = F.timestamp_seconds(F.col("p_partkey") * 3600)
-    docs = part.select(
+    return part.select(
         F.col("p_brand").alias("service"), F.col("p_partkey").alias("seq"),
         F.when(F.col("p_partkey") % 5 != 0, at).alias("applied_at"), F.parse_json(text).alias("doc"))
-    return materialize(docs, "config-docs")
 
 
 CONFIG_SQL = """cfg AS (SELECT p_brand AS service, p_partkey AS seq, p_partkey % 3 AS turn, p_size AS size,

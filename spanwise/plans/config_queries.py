@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanwise import dims
 from spanwise.functions import scalars as sc
 from spanwise.operators import configs as cf
-from spanwise.operators.experiment import names_in
+from spanwise.operators import experiment as ex
 from spanwise.plans import bindings as b
 from spanwise.plans.registry import query
 from spanwise.session import materialize
@@ -79,7 +79,7 @@ def unit_normalisation(spark, sf_dir):
   LEFT JOIN params p ON p.service = c.service AND p.seq = c.seq AND p.param = k.param""")
 def parameter_matrix(spark, sf_dir):
     docs = _read_docs(spark, sf_dir)
-    return cf.param_matrix(docs, names_in(docs, "params")).select("service", "seq", "param", "value")
+    return cf.param_matrix(docs, ex.names_in(docs, "params")).select("service", "seq", "param", "value")
 
 
 @query("c7_time_axis", f"""WITH {b.CONFIG_SQL}, first AS (SELECT service, min(applied_s) AS f FROM cfg
@@ -108,7 +108,11 @@ def parameter_category(spark, sf_dir):
         "param", cf.category(F.col("param")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_MATRIX = ["max-scale", "replicas", "mode", "rate"]
+_MATRIX = [
+    "max-scale", "min-scale", "initial-scale", "activation-scale", "target", "metric", "window", "stable-window",
+    "panic-threshold-percentage", "panic-window-percentage", "scale-down-delay", "replicas", "cpu-limit", "cpu-request",
+    "memory-limit", "memory-request", "cache_size", "ratio", "mode", "rate", "grace", "zero", "note",
+]
 
 
 @query("c10_change_matrix", f"WITH {b.CONFIG_SQL} SELECT c.service, " + ", ".join(

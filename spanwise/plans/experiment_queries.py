@@ -82,7 +82,8 @@ EFFECT_SQL = ", ".join(
     [f"after_{n} - before_{n} AS effect_{n}" for n, *_ in ex.EFFECT_METRICS]
     + [f"during_{n} - (before_{n} + after_{n}) / 2.0 AS toxicity_{n}" for n, *_ in ex.EFFECT_METRICS])
 EFFECT_LONG_SQL = " UNION ALL ".join(
-    f"SELECT change_index, '{n}' AS metric, effect_{n} AS value FROM effects" for n, *_ in ex.EFFECT_METRICS)
+    f"SELECT change_index, '{k}' AS kind, '{n}' AS metric, {k}_{n} AS value FROM effects"
+    for k in ("effect", "toxicity") for n, *_ in ex.EFFECT_METRICS)
 
 
 def _means(spark, sf_dir):
@@ -103,35 +104,38 @@ def effect_and_toxicity(spark, sf_dir):
 
 @query("a18_effect_spread", f"""WITH {MEANS_SQL}, effects AS (SELECT change_index, {EFFECT_SQL} FROM means),
 long AS ({EFFECT_LONG_SQL})
-SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low,
+SELECT kind, metric, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low,
   round(max(value), 6) AS high, round(quantile_cont(value, 0.25), 6) AS q25,
-  round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75 FROM long GROUP BY 1""")
+  round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75 FROM long GROUP BY 1, 2""")
 def effect_spread(spark, sf_dir):
     rows = ex.effect_rows(ex.effects(_means(spark, sf_dir)))
-    return _rounded(ex.spread(rows, "value", ["metric"]), ["mean", "low", "high", "q25", "median", "q75"])
+    return _rounded(ex.spread(rows, "value", ["kind", "metric"]), ["mean", "low", "high", "q25", "median", "q75"])
 
 
 @query("w12_effect_zscore", f"""WITH {MEANS_SQL}, effects AS (SELECT change_index, {EFFECT_SQL} FROM means),
 long AS ({EFFECT_LONG_SQL}),
-stats AS (SELECT metric, avg(value) AS mu, stddev_pop(value) AS sd FROM long GROUP BY 1)
-SELECT change_index, metric, round(CASE WHEN sd > 0 THEN (value - mu) / sd ELSE 0 END, 6) AS z
-FROM long JOIN stats USING (metric)""")
+stats AS (SELECT kind, metric, avg(value) AS mu, stddev_pop(value) AS sd FROM long GROUP BY 1, 2)
+SELECT change_index, kind, metric, round(CASE WHEN sd > 0 THEN (value - mu) / sd ELSE 0 END, 6) AS z
+FROM long JOIN stats USING (kind, metric)""")
 def effect_zscore(spark, sf_dir):
-    rows = ex.zscore(ex.effect_rows(ex.effects(_means(spark, sf_dir))), "value", ["metric"])
-    return rows.select("change_index", "metric", F.round("z", 6).alias("z"))
+    rows = ex.zscore(ex.effect_rows(ex.effects(_means(spark, sf_dir))), "value", ["kind", "metric"])
+    return rows.select("change_index", "kind", "metric", F.round("z", 6).alias("z"))
+
+
+_BOXES_SQL = " UNION ALL ".join(
+    f"SELECT role, '{n}' AS metric, {column} * {times} / {over} AS value FROM roles"
+    for n, column, times, over in ex.EFFECT_METRICS)
 
 
 @query("a19_role_boxes", f"""WITH {BLOCKS_SQL},
-long AS (SELECT role, 'mean_response_time' AS metric, mean_response_time / 1000.0 AS value FROM roles
-  UNION ALL SELECT role, 'anomaly_rate', anomaly_rate FROM roles)
+long AS ({_BOXES_SQL})
 SELECT metric, role, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS low,
   round(max(value), 6) AS high, round(quantile_cont(value, 0.25), 6) AS q25,
   round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75 FROM long GROUP BY 1, 2""")
 def role_boxes(spark, sf_dir):
     roles = isl.change_roles(_snapshots(spark, sf_dir), "ts_s")
-    pairs = F.array(F.struct(F.lit("mean_response_time").alias("metric"),
-                             (F.col("mean_response_time") / 1000.0).alias("value")),
-                    F.struct(F.lit("anomaly_rate").alias("metric"), F.col("anomaly_rate").alias("value")))
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), (F.col(column) * times / over).alias("value"))
+                      for n, column, times, over in ex.EFFECT_METRICS])
     rows = roles.select("role", F.explode(pairs).alias("_m")).select("role", "_m.*")
     return _rounded(ex.spread(rows, "value", ["metric", "role"]), ["mean", "low", "high", "q25", "median", "q75"])
 

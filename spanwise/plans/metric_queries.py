@@ -243,7 +243,7 @@ def evaluation_window(spark, sf_dir):
 
 
 RESTART_SQL = b.SAMPLES_SQL + f""",
-err AS (SELECT * FROM ev WHERE service = 'error' AND event_id % 7 <> 0),
+err AS (SELECT * FROM ev WHERE service = 'error'),
 prev AS (SELECT *, lag(counter) OVER (PARTITION BY workload_pod ORDER BY ts_s, event_id) AS p FROM err),
 grown AS (SELECT workload_pod, sum(CASE WHEN p IS NULL THEN 0 WHEN counter < p THEN counter ELSE counter - p END)
   AS increase FROM prev GROUP BY 1),
@@ -257,8 +257,7 @@ health AS (SELECT r.service, restarts, o.service IS NOT NULL AS oom_killed FROM
 
 def _restarts(spark, sf_dir):
     ev = b.samples(spark, sf_dir)
-    err = ev.where((F.col("service") == "error") & (F.col("event_id") % 7 != 0)).withColumn(
-        "pod", F.col("workload_pod"))
+    err = ev.where(F.col("service") == "error").withColumn("pod", F.col("workload_pod"))
     grown = m.increase_at(err, ["pod"], b.END_S, 31 * b.DAY_S, "counter", ["event_id"])
     return m.restarts_by_service(grown, dims.POD_PREFIX_SERVICE)
 
@@ -280,12 +279,12 @@ def oom_semi_join(spark, sf_dir):
 
 
 @query("j8_service_health", f"""WITH {RESTART_SQL},
-services AS (SELECT {PREFIX_CASE} AS service, count(*) AS n FROM ev WHERE user_id_even GROUP BY 1)
+services AS (SELECT {PREFIX_CASE} AS service, count(*) AS n FROM ev GROUP BY 1)
 SELECT s.service, n, CAST(restarts AS DOUBLE) AS restart_count, oom_killed FROM services s LEFT JOIN health h ON h.service = s.service
-WHERE s.service IS NOT NULL""".replace("WHERE user_id_even", "WHERE node IN ('node-0', 'node-2')"))
+WHERE s.service IS NOT NULL""")
 def service_health(spark, sf_dir):
     service = sc.longest_prefix(F.col("workload_pod"), dims.POD_PREFIX_SERVICE).alias("service")
-    services = b.samples(spark, sf_dir).where(F.col("node").isin("node-0", "node-2")).groupBy(service).agg(
+    services = b.samples(spark, sf_dir).groupBy(service).agg(
         F.count(F.lit(1)).alias("n")).where(F.col("service").isNotNull())
     health = _health(spark, sf_dir).select("service", F.col("restarts").cast("double").alias("restart_count"),
                                            "oom_killed")

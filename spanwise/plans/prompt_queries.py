@@ -22,11 +22,11 @@ def placement_text(spark, sf_dir):
 
 HEALTH_SQL = b.SNAPSHOTS_SQL + """,
 health AS (SELECT snapshot_no, service, count(*) FILTER (value > 15000) AS restarts, max(value) > 25000 AS oom_killed
-  FROM hourly WHERE service <> 'view' GROUP BY 1, 2)"""
+  FROM hourly GROUP BY 1, 2)"""
 
 
 def _health(spark, sf_dir):
-    return b.hours(spark, sf_dir).where(F.col("service") != "view").groupBy("snapshot_no", "service").agg(
+    return b.hours(spark, sf_dir).groupBy("snapshot_no", "service").agg(
         F.count(F.when(F.col("value") > 15000, 1)).alias("restarts"), (F.max("value") > 25000).alias("oom_killed"))
 
 
@@ -44,21 +44,22 @@ def root_cause_text(spark, sf_dir):
     return _health_maps(spark, sf_dir).select("snapshot_no", pr.root_cause_text(F.col("pod_health")).alias("root_cause"))
 
 
-# Event types stand for services; each has a deployment among the parts, found by alias.
-ALIASES = {"click": "Brand#1", "error": "Brand#2", "purchase": "Brand#3", "signup": "Brand#4"}
+# Event types stand for services; each has its configuration among the parts, found by alias.
+ALIASES = {"click": "Brand#1", "error": "Brand#2", "purchase": "Brand#3", "signup": "Brand#4", "view": "Brand#5"}
 
 
 @query("x3_root_cause_configs", f"""WITH {HEALTH_SQL},
-latest AS (SELECT p_brand, arg_max(p_size % 5, p_partkey) AS replicas FROM part WHERE p_partkey % 3 = 1 GROUP BY 1)
+latest AS (SELECT p_brand, arg_max(CASE p_partkey % 3 WHEN 0 THEN 'kind: Service' WHEN 1 THEN 'kind: Deployment'
+  || chr(10) || 'replicas: ' || p_size % 5 ELSE 'kind: ConfigMap' END, p_partkey) AS config FROM part GROUP BY 1)
 SELECT snapshot_no, string_agg('# Current configuration for ' || service
-    || ' (root cause; suggest changes to fix restarts/OOM):' || chr(10) || 'replicas: ' || replicas, chr(10) || chr(10)
+    || ' (root cause; suggest changes to fix restarts/OOM):' || chr(10) || config, chr(10) || chr(10)
     ORDER BY service) AS root_cause_configs
 FROM health JOIN latest ON p_brand = 'Brand#' || CASE service WHEN 'click' THEN 1 WHEN 'error' THEN 2
-  WHEN 'purchase' THEN 3 ELSE 4 END WHERE restarts > 0 OR oom_killed GROUP BY 1""")
+  WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END WHERE restarts > 0 OR oom_killed GROUP BY 1""")
 def root_cause_configs(spark, sf_dir):
-    docs = b.config_docs(spark, sf_dir).where(F.col("seq") % 3 == 1)
-    small = cf.latest_config(docs).select("service", F.parse_json(F.to_json(F.struct(
-        F.try_variant_get("doc", "$.spec.replicas", "int").alias("replicas")))).alias("doc"))
+    field = lambda path, kind, name: F.try_variant_get("doc", path, kind).alias(name)
+    small = cf.latest_config(b.config_docs(spark, sf_dir)).select("service", F.parse_json(F.to_json(F.struct(
+        field("$.kind", "string", "kind"), field("$.spec.replicas", "int", "replicas")))).alias("doc"))
     return pr.root_cause_configs(_health(spark, sf_dir), small, ["snapshot_no"], ALIASES)
 
 
@@ -95,14 +96,14 @@ def snapshot_text(spark, sf_dir):
     return rows.select("snapshot_no", pr.snapshot_text(["total_requests", "phase", "rate", "subphase"]).alias("snapshot"))
 
 
-# Letters and blanks of each assistant turn, as YAML in one of four wrappings.
-RESPONSES_SQL = """responses AS (SELECT conv_id, turn, 'note: x' || regexp_replace(text, '[^A-Za-z ]', '', 'g') || 'x'
-  AS body FROM conversations WHERE role = 'assistant')"""
+# Each assistant turn, whole, as a YAML block in one of four wrappings.
+RESPONSES_SQL = """responses AS (SELECT conv_id, turn, 'note: |2-' || chr(10) || '  '
+  || replace(text, chr(10), chr(10) || '  ') AS body FROM conversations WHERE role = 'assistant')"""
 
 
 def _responses(spark, sf_dir):
     turns = b.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    body = F.concat(F.lit("note: x"), F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit("x"))
+    body = F.concat(F.lit("note: |2-\n  "), F.replace("text", F.lit("\n"), F.lit("\n  ")))
     wrap = [("Here:\n```YAML\n", "\n```\ndone"), ("```\n", "\n```"), ("<yaml>\n", "\n</yaml>"), ("", "")]
     text = F.lit(None).cast("string")
     for i, (start, end) in enumerate(wrap):
@@ -113,7 +114,7 @@ def _responses(spark, sf_dir):
 
 
 @query("x6_block_extraction", f"""WITH {RESPONSES_SQL} SELECT conv_id, turn,
-  CASE WHEN (turn // 2 + conv_id) % 4 = 3 THEN body ELSE body || chr(10) END AS yaml FROM responses""")
+  CASE WHEN (turn // 2 + conv_id) % 4 = 3 THEN body ELSE regexp_replace(body, '\\s+$', '') || chr(10) END AS yaml FROM responses""")
 def block_extraction(spark, sf_dir):
     return pr.extract_blocks(_responses(spark, sf_dir)).select("conv_id", "turn", "yaml")
 

@@ -234,6 +234,20 @@ def test_zscore_without_spread_is_zero(spark):
     assert rows(ex.zscore(df, "v", ["m"]).select("m", "z")) == [("a", 0.0), ("a", 0.0), ("b", -1.0), ("b", 1.0)]
 
 
+def test_every_name_at_every_snapshot_beyond_one_slot(spark):
+    maps = spark.range(12_000).groupBy(F.pmod("id", F.lit(2)).alias("no")).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat(F.lit("n"), F.col("id").cast("string")), F.lit(1.0)))).alias("m"))
+    out = ex.dense(maps, "m", ex.names_in(maps, "m"), "name")
+    assert rows(out.groupBy("no").agg(F.count("*"), F.countDistinct("name"), F.sum("value"))) == [
+        (0, 12_000, 12_000, 6000.0), (1, 12_000, 12_000, 6000.0)]
+
+
+def test_no_names_no_rows(spark):
+    maps = spark.createDataFrame([(1, {})], "no int, m map<string,double>")
+    out = ex.dense(maps, "m", ex.names_in(maps, "m"), "name")
+    assert (out.columns, rows(out)) == (["no", "name", "value"], [])
+
+
 def test_one_change_per_service_once_applied(spark):
     df = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("a", 3, True), ("b", 4, True), ("b", 9, True)],
                                "service string, priority bigint, ok boolean")

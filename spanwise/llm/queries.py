@@ -163,12 +163,17 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 ORACLES["op9_substring_dedup"] = r"""
 WITH u AS (
-  SELECT doc_id, unnest(l) AS unit, generate_subscripts(l, 1) AS i
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^\n.!?]*[\n.!?]+|[^\n.!?]+$') AS l FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, grain, unnest(l) AS unit, generate_subscripts(l, 1) AS i FROM (
+    SELECT doc_id, 1 AS grain, regexp_extract_all(text, '[^\n.!?]*[\n.!?]+|[^\n.!?]+$') AS l FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, 2, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+$') FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, 3, regexp_extract_all(text, '[^\n.!?,;:]*[\n.!?,;:]+|[^\n.!?,;:]+$') FROM documents WHERE text IS NOT NULL)
 ), o AS (
-  SELECT doc_id, unit, CAST(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS "end",
+  SELECT doc_id, grain, unit, CAST(sum(length(unit)) OVER (PARTITION BY doc_id, grain ORDER BY i) AS INTEGER) AS "end",
     trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM u
-), k AS (SELECT doc_id, CAST("end" - length(unit) AS INTEGER) AS start, "end", norm FROM o WHERE len(string_split(norm, ' ')) >= 6),
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, norm, "end" - length(regexp_replace(unit, '^\s+', '')) ORDER BY grain) AS nth
+  FROM o WHERE len(string_split(norm, ' ')) >= 6
+), k AS (SELECT doc_id, CAST("end" - length(unit) AS INTEGER) AS start, "end", norm FROM g WHERE nth = 1),
 r AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM k
   WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)

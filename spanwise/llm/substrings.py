@@ -1,4 +1,4 @@
-"""Substring dedup: lines and sentences are normalised and hashed, digests grouped globally, the earliest occurrence stays."""
+"""Substring dedup: lines, sentences and clauses are normalised and hashed, digests grouped globally, the earliest stays."""
 
 from __future__ import annotations
 
@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 
 from spanwise.session import materialize
 
-#: A unit ends with a line or a sentence; units tile the text.
-UNIT = re.compile(r"[^\n.!?]*[\n.!?]+|[^\n.!?]+\Z")
+#: Units of three grains, each tiling the text: sentences cut at line ends, sentences across lines, clauses. A passage pasted
+#: into running text is cut off in the middle of a sentence at both ends, and lines may be broken anew; finer grains reach
+#: what the first one cannot.
+GRAINS = (
+    re.compile(r"[^\n.!?]*[\n.!?]+|[^\n.!?]+\Z"),
+    re.compile(r"[^.!?]*[.!?]+|[^.!?]+\Z"),
+    re.compile(r"[^\n.!?,;:]*[\n.!?,;:]+|[^\n.!?,;:]+\Z"),
+)
 #: Units of fewer words are common speech, not copied passages.
 MIN_WORDS = 6
 _LAST = (1 << 63) - 1
+_COLUMNS = ["doc", "start", "end", "high", "low"]
 
 
 def _units(min_words: int):
@@ -24,15 +31,22 @@ def _units(min_words: int):
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                for m in UNIT.finditer(text):
-                    words = m[0].lower().split()
-                    if len(words) >= min_words:
+                # A unit that two grains share counts once: by where its words start, and its digest.
+                known = set()
+                for grain in GRAINS:
+                    for m in grain.finditer(text):
+                        words = m[0].lower().split()
+                        if len(words) < min_words:
+                            continue
                         d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        rows.append((doc, m.start(), m.end(), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
+                        key = (m.end() - len(m[0].lstrip()), d)
+                        if key not in known:
+                            known.add(key)
+                            rows.append((doc, m.start(), m.end(), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
                 if len(rows) > 200_000:
-                    yield pd.DataFrame(rows, columns=["doc", "start", "end", "high", "low"])
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
                     rows = []
-            yield pd.DataFrame(rows, columns=["doc", "start", "end", "high", "low"])
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return units
 
@@ -40,8 +54,8 @@ def _units(min_words: int):
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Units to remove: ``doc_id``, ``start``, ``end`` (code points of the original), ``kept_doc_id``, ``kept_start``.
 
-    A unit ends behind a run of line ends, full stops, exclamation or question marks; it is compared lower-cased, white
-    space aside. Of equal units the one of the smallest doc_id stays, within a document the first; documents without an
+    A unit is a sentence, within a line or across lines, or a clause (see ``GRAINS``), so reported spans may hold one another;
+    it is compared lower-cased, white space aside. Of equal units the one of the smallest doc_id stays, within a document the first; documents without an
     id come last. Null and empty texts have no units. Rows that repeat an id count as one document: equal units at equal
     offsets in them are one occurrence. Digests have 128 bits. Grouping counts before it shuffles, and the join back is on
     digests that occur more than once, so one very common unit is spread by adaptive skew handling.
@@ -71,8 +85,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 continue
             at, parts = 0, []
             for s in cuts:
-                parts.append(text[at : s["start"]])
-                at = s["end"]
+                parts.append(text[at : max(at, s["start"])])
+                at = max(at, s["end"])
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 

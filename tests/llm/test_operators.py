@@ -309,13 +309,17 @@ def test_token_count_edges(spark, odd, none):
 def test_substrings_match_plain(spark):
     seen, want = {}, set()
     for doc, text in sorted(texts(spark).items()):
-        for m in substrings.UNIT.finditer(text or ""):
-            words = m[0].lower().split()
-            if len(words) >= substrings.MIN_WORDS:
-                if " ".join(words) in seen:
-                    want.add((doc, m.start(), m.end(), *seen[" ".join(words)]))
-                else:
-                    seen[" ".join(words)] = (doc, m.start())
+        units = {}
+        for grain in substrings.GRAINS:
+            for m in grain.finditer(text or ""):
+                words = m[0].lower().split()
+                if len(words) >= substrings.MIN_WORDS:
+                    units.setdefault((" ".join(words), m.end() - len(m[0].lstrip())), (m.start(), m.end()))
+        for (words, _), (start, end) in sorted(units.items(), key=lambda x: x[1]):
+            if words in seen:
+                want.add((doc, start, end, *seen[words]))
+            else:
+                seen[words] = (doc, start)
     found = {tuple(r) for r in QUERIES["op9_substring_dedup"](spark, SF).collect()}
     assert found == want and want
 
@@ -328,6 +332,15 @@ def test_substring_edges(spark, odd, none):
     assert substrings.without_repeats(odd).count() == odd.count()
 
 
+def test_a_passage_pasted_into_sentences_or_broken_anew_is_found(spark):
+    passage = "end of one, the second part has seven words in it, and here begins. The whole sentence of this passage stands alone. Then the last"
+    rows = [(1, f"Some start {passage} goes on."), (2, f"Another one {passage} stops."), (3, passage.replace("whole sentence", "whole\nsentence"))]
+    found = {r.doc_id: r.cleaned for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == rows[0][1]
+    assert found[2] == "Another one end of one, and here begins. Then the last stops."
+    assert "seven words" not in found[3] and "stands alone" not in found[3]
+
+
 def test_licenses(spark, odd, none):
     filler = " ".join(f"word{k}" for k in range(100))
     rows = [(k, f"{filler} {text} {filler}") for k, text in enumerate(licenses.TEMPLATES.values())] + [(50, filler), (51, None), (52, "Released under the MIT License.")]

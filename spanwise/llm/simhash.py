@@ -35,18 +35,21 @@ _BLOCKS = (5, 5, 5, 5, 6, 6)
 
 def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
     """The signed 64-bit fingerprint; zero for a text without words."""
-    total, ones = 0, np.zeros(64, dtype=np.int64)
-    for base, part in word_pieces(utf8(text).lower(), words - 1):
+    total, ones, short = 0, np.zeros(64, dtype=np.int64), []
+    for _, part in word_pieces(utf8(text).lower(), words - 1):
         if len(part) >= words:
             runs = map(b" ".join, zip(*(part[k:] for k in range(words))))
-        elif part and not base:
-            runs = [b" ".join(part)]
         else:
+            short = part
             continue
         h = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64)
         total += len(h)
         for at in range(0, len(h), 1 << 16):
             ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    if short and not total:
+        # Pieces overlap, so the last one holds all words of a text that has fewer than a shingle.
+        total, whole = 1, np.array([xxhash.xxh64_intdigest(b" ".join(short), SEED)], dtype=np.uint64)
+        ones += np.unpackbits(whole.view(np.uint8))
     return int(np.packbits(ones * 2 > total).view(np.int64)[0]) if total else 0
 
 

@@ -364,3 +364,10 @@ def test_licenses_match_plain(spark):
                 want.add((doc, name))
     found = {(r.doc_id, r.license) for r in QUERIES["op10_license_scan"](spark, SF).collect()}
     assert found >= want and want
+
+
+def test_fingerprint_of_few_words_of_which_one_fills_a_piece():
+    import xxhash
+
+    text = "x" * (5 << 20) + " b"
+    assert simhash.fingerprint_of(text) & (1 << 64) - 1 == xxhash.xxh64_intdigest(text, 42)

@@ -9,10 +9,15 @@ least three blocks. Each of the 20 choices of three blocks is a grid; a cell hol
 Inside a cell not all pairs are compared. Members within ``bits`` of the cell's hub (its most frequent fingerprint) are
 linked to the hub alone; only members further away are compared with the others. Links lost that way join two members
 that the hub already connects, so components stay exact.
+
+A cell of more than ``HOT`` members is cut again before anything in it is compared: the coordinates its grid left open fall
+into four classes, at most three of them can differ, so a link shows in the finer cell of a class that agrees. Finer cells
+have hubs of their own, and are cut once more by other classes where they are still large. The cuts keep every link.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -31,6 +36,8 @@ SEED = 42
 _LOW = 0x5555555555555555
 #: Segments of each of the six blocks.
 _BLOCKS = (5, 5, 5, 5, 6, 6)
+#: Cells with more members are cut again.
+HOT = 256
 
 
 def fingerprint_of(text: str | None, words: int = SHINGLE) -> int:
@@ -81,27 +88,53 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints (``fp``, ``n`` copies) that connect what lies within ``bits``."""
-    if bits > 3:
-        raise ValueError("the grids are whole for up to three differing bits")
-    grids = F.array(*(_long(m) for m in _grids()))
-    cells = fps.select("fp", "n", embedding(F.col("fp")).alias("seg"), F.posexplode(grids).alias("grid", "mask")).select(
-        "fp", "n", "seg", "grid", F.col("seg").bitwiseAND(F.col("mask")).alias("cell")
-    )
-    hubs = cells.groupBy("grid", "cell").agg(
-        F.max_by("fp", F.struct("n", "fp")).alias("hub"), F.count("*").alias("size")
-    ).where("size > 1").drop("size")
-    members = materialize(cells.drop("n").join(hubs, ["grid", "cell"]), "simhash-cells")
-    near_hub = members.where((F.col("fp") != F.col("hub")) & (_apart("fp", "hub") <= bits)).select(
-        F.col("fp").alias("a"), F.col("hub").alias("b")
-    )
-    far = members.where(_apart("fp", "hub") > bits).select("grid", "cell", F.col("fp").alias("a"), F.col("seg").alias("seg_a"))
-    others = members.select("grid", "cell", F.col("fp").alias("b"), F.col("seg").alias("seg_b"))
-    checked = far.join(others, ["grid", "cell"]).where(
+def _cuts() -> list[list[int]]:
+    """Four classes of coordinates for each further cut: by segment number, then across those."""
+    by_number = [sum(3 << 2 * s for s in range(k, 32, 4)) for k in range(4)]
+    across = [sum(3 << 2 * s for s in range(32) if (s + s // 4) % 4 == k) for k in range(4)]
+    return [by_number, across]
+
+
+def _in_cells(rows: DataFrame, masks: Column) -> DataFrame:
+    """Rows (``fp``, ``n``, ``seg``) once for each mask of coordinates, with the coordinates themselves as ``cell``."""
+    return rows.select("fp", "n", "seg", F.explode(masks).alias("mask")).withColumn("cell", F.col("seg").bitwiseAND(F.col("mask")))
+
+
+def _compared(far: DataFrame, members: DataFrame, bits: int) -> DataFrame:
+    """Links of members far from their hub with any member of their cell."""
+    far = far.select("mask", "cell", F.col("fp").alias("a"), F.col("seg").alias("seg_a"))
+    others = members.select("mask", "cell", F.col("fp").alias("b"), F.col("seg").alias("seg_b"))
+    return far.join(others, ["mask", "cell"]).where(
         (F.col("a") != F.col("b")) & (_apart("seg_a", "seg_b") <= bits) & (_apart("a", "b") <= bits)
     ).select("a", "b")
-    return near_hub.unionByName(checked).select(
+
+
+def links(fps: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """Links ``a``, ``b`` between distinct fingerprints (``fp``, ``n`` copies) that connect what lies within ``bits``.
+
+    ``hot`` only chooses where cells are cut again; the components are the same for any value.
+    """
+    if bits > 3:
+        raise ValueError("the grids are whole for up to three differing bits")
+    rows = fps.select("fp", "n", embedding(F.col("fp")).alias("seg"))
+    cells, found, cuts = _in_cells(rows, F.array(*(_long(m) for m in _grids()))), [], _cuts()
+    while True:
+        hubs = cells.groupBy("mask", "cell").agg(
+            F.max_by("fp", F.struct("n", "fp")).alias("hub"), F.count("*").alias("size")
+        ).where("size > 1")
+        members = materialize(cells.join(hubs, ["mask", "cell"]), "simhash-cells")
+        far = members.where(_apart("fp", "hub") > bits)
+        found.append(members.where((F.col("fp") != F.col("hub")) & (_apart("fp", "hub") <= bits)).select(
+            F.col("fp").alias("a"), F.col("hub").alias("b")
+        ))
+        small = F.col("size") <= hot if cuts else F.lit(True)
+        found.append(_compared(far.where(small), members.where(small), bits))
+        large_far = far.where(~small).select("mask", "cell").distinct() if cuts else None
+        if large_far is None or large_far.isEmpty():
+            break
+        large = members.where(~small).join(large_far, ["mask", "cell"], "left_semi")
+        cells = _in_cells(large, F.array(*(F.col("mask").bitwiseOR(_long(m)) for m in cuts.pop(0))))
+    return reduce(DataFrame.unionByName, found).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
 

@@ -140,7 +140,8 @@ def test_simhash_matches_plain(spark):
         assert found[doc].component_id == component[fp]
 
 
-def test_simhash_links_of_dense_groups(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 5])
+def test_simhash_links_of_dense_groups(spark, hot):
     chance = random.Random(7)
     fps = set()
     for _ in range(6):
@@ -150,7 +151,7 @@ def test_simhash_links_of_dense_groups(spark):
                 at ^= 1 << b
             fps.add(at)
     signed = [(f - (1 << 64) if f >> 63 else f, 1) for f in fps]
-    edges = simhash.links(spark.createDataFrame(signed, "fp long, n long"))
+    edges = simhash.links(spark.createDataFrame(signed, "fp long, n long"), hot=hot)
     roots = {r.node % (1 << 64): r.root for r in simhash.components(edges).collect()}
     want = plain.simhash_components([(k, f) for k, f in enumerate(sorted(fps))])
     groups = {}
@@ -160,6 +161,15 @@ def test_simhash_links_of_dense_groups(spark):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_simhash_cuts_are_whole():
+    """Four classes share out all coordinates, and each narrows every grid."""
+    first, second = simhash._cuts()
+    for cut in (first, second):
+        assert sum(cut) == (1 << 64) - 1 and not any(a & b for a in cut for b in cut if a != b)
+    for grid in simhash._grids():
+        assert all(a & ~grid for a in first) and all(b & ~(grid | a) for a in first for b in second)
+
+
 def test_one_of_each(spark, odd, none):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns

@@ -2,49 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanwise.operators import risk
-from spanwise.operators import traces as tr
-
-
-def window_snapshots(spans: DataFrame, limits: DataFrame, ops: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Batch step of the loop: spans of closed windows to one row per window."""
-    rows = spans.groupBy(*by, "trace_id", "operation").agg(
-        F.min("start_us").alias("start_us"), F.sum("duration_us").alias("_sum"),
-        F.max_by("duration_us", "span_pos").alias("_last"))
-    last = [F.coalesce(F.max(F.when(F.col("operation") == op, F.col("_last"))), F.lit(0)).alias(f"_d{i}")
-            for i, op in enumerate(sorted(ops))]
-    traces = rows.groupBy(*by, "trace_id").agg(F.sum("_sum").cast("long").alias("total_us"), *last)
-    digits = [F.when(F.col(f"_d{i}") > 0, "1").otherwise("0") for i in range(len(ops))]
-    traces = traces.select(*by, "trace_id", "total_us", F.concat(*digits).alias("pattern"))
-    rates = risk.miss_rates(traces, limits, [*by, "pattern"])
-    overall = risk.overall_miss_rate(rates, by)
-    return risk.response_summary(traces, by).join(overall, list(by), "left").na.fill(0.0)
-
-
-def monitor(
-    spans: DataFrame, limits: DataFrame, ops: Sequence[str], out: str, checkpoint: str, width_us: int = 60_000_000,
-    pad_us: int = 5_000_000, process: Callable[[DataFrame], DataFrame] | None = None,
-) -> StreamingQuery:
-    """Start the loop over a span stream: per micro-batch, padded windows are summarised and appended to ``out``.
-
-    A micro-batch should hold whole windows, as a fetch per window does. Its number is kept with its rows, so a
-    repeated batch overwrites what it wrote before. ``process`` replaces the default window step.
-    """
-
-    def default(batch: DataFrame) -> DataFrame:
-        padded = tr.padded_windows(batch, "start_us", width_us, pad_us)
-        return window_snapshots(padded, limits, ops, ["window_us"])
+from spanwise.streaming.windows import padded
 
-    step = process or default
 
-    def handle(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("overwrite").json(f"{out}/batch={number}")
+def window_snapshots(spans: DataFrame, limits: DataFrame, ops: Sequence[str], at: str = "start_us", width_s: int = 60,
+                     pad_s: int = 5, late: str = "5 seconds") -> DataFrame:
+    """One row per window, on streams and on tables: requests, mean response time and deadline miss rate.
 
-    return (spans.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    ``at`` is the start of the span's trace, so a trace is whole in its window. Spans fold into their trace, traces into
+    their pattern and patterns into the window, each with partial aggregation. On a stream a window is given out once,
+    when the watermark has passed its padded end; how its spans were spread over micro-batches does not matter, and
+    state holds the traces of open windows only.
+    """
+    timed = spans.withColumn("_ts", F.timestamp_micros(at)).withWatermark("_ts", late)
+    mine = [F.col("operation") == F.lit(op) for op in sorted(ops)]
+    last = [F.max_by(F.when(m, F.col("duration_us")), F.when(m, F.col("span_pos"))).alias(f"_d{i}")
+            for i, m in enumerate(mine)]
+    traces = timed.groupBy(padded(F.col("_ts"), width_s, pad_s).alias("window"), "trace_id").agg(
+        F.sum("duration_us").alias("total_us"), *last)
+    digits = [F.when(F.col(f"_d{i}") > 0, "1").otherwise("0") for i in range(len(mine))]
+    traces = traces.select("window", "total_us", F.concat(*digits).alias("pattern")).join(limits, "pattern", "left")
+    missed = F.col("total_us") > F.coalesce("threshold", F.lit(0.0))
+    patterns = traces.groupBy("window", "pattern").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("total_us").alias("_sum"),
+        (F.count(F.when(missed, 1)) / F.count(F.lit(1)) * 100).alias("_rate"))
+    out = patterns.groupBy("window").agg(
+        F.sum("_n").alias("total_requests"), (F.sum("_sum") / F.sum("_n")).alias("mean_response_time"),
+        F.avg("_rate").alias("deadline_miss_rate"))
+    start = F.unix_micros("window.start") + pad_s * 1_000_000
+    return out.select(start.alias("window_us"), "total_requests", "mean_response_time", "deadline_miss_rate")
+
+
+def monitor(spans: DataFrame, limits: DataFrame, ops: Sequence[str], out: str, checkpoint: str, at: str = "start_us",
+            width_s: int = 60, pad_s: int = 5, late: str = "5 seconds") -> StreamingQuery:
+    """Start the loop over a span stream: closed windows are appended to ``out``, each exactly once."""
+    rows = window_snapshots(spans, limits, ops, at, width_s, pad_s, late)
+    return (rows.writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())

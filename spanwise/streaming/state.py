@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import sys
 
 import pandas as pd
@@ -29,12 +28,13 @@ def tag_phases(stream: DataFrame) -> DataFrame:
     """Stream form over rows (run, seq, kind, phase, subphase) with kind ``phase`` or ``window``.
 
     Each window takes at most one waiting message; what it takes stays in force. Messages that wait are kept in state in
-    the order of ``seq``.
+    the order of ``seq``. Batches arrive in that order; where they are cut does not matter. A run sends a row per window
+    and message, so its batch is small whatever its traffic.
     """
 
     def step(key, batches, state):
         current, waiting = (state.get[0], list(state.get[1])) if state.exists else ("/".join(INITIAL_PHASE), [])
-        rows = pd.concat(list(batches)).sort_values("seq")
+        rows = pd.concat(list(batches)).sort_values(["seq", "phase", "subphase"])
         out = []
         for row in rows.itertuples():
             if row.kind == "phase":
@@ -52,27 +52,26 @@ def tag_phases(stream: DataFrame) -> DataFrame:
 
 
 def anomaly_batches(stream: DataFrame, n: int) -> DataFrame:
-    """Stream form over anomalies (run, trace_id, duration_seconds, enqueued_at): when ``n`` or more wait at the end of
-    an input batch, the first ``n`` in queue order are released and the backlog is dropped.
+    """Stream form over anomalies (run, trace_id, duration_seconds, enqueued_at): each time ``n`` wait, in the order of
+    ``enqueued_at`` and ``trace_id``, they are released, the shortest first.
 
-    Only ``n`` anomalies per run can ever be released from what waits, so state holds no more than these and a count.
+    Batches arrive in that order; where they are cut does not matter. State holds fewer than ``n`` anomalies of a run.
     """
+    order = ["enqueued_at", "trace_id", "duration_seconds"]
 
     def step(key, batches, state):
-        count, held = (state.get[0], [tuple(r) for r in zip(*state.get[1:])]) if state.exists else (0, [])
-        for batch in batches:
-            count += len(batch)
-            order = ["duration_seconds", "enqueued_at", "trace_id"]
-            rows = batch[order].nsmallest(n, order).itertuples(index=False)
-            held = heapq.nsmallest(n, [*held, *((float(a), int(b), int(c)) for a, b, c in rows)])
-        released = held if count >= n else []
-        if released:
-            count, held = 0, []
-        columns = [list(c) for c in zip(*held)] if held else [[], [], []]
-        state.update((count, *columns))
-        yield pd.DataFrame([(key[0], t, d, i + 1) for i, (d, _, t) in enumerate(released)],
-                           columns=["run", "trace_id", "duration_seconds", "priority"])
+        rows = pd.concat([b[order] for b in batches]).sort_values(order)
+        if state.exists and len(state.get[0]):
+            rows = pd.concat([pd.DataFrame(dict(zip(order, map(list, state.get)))), rows])
+        rows = rows.reset_index(drop=True)
+        whole = len(rows) // n * n
+        done, rest = rows[:whole], rows[whole:]
+        state.update(tuple(rest[c].tolist() for c in order))
+        done = done.assign(lot=done.index // n).sort_values(["lot", "duration_seconds", "enqueued_at", "trace_id"])
+        yield pd.DataFrame({
+            "run": key[0], "trace_id": done["trace_id"], "duration_seconds": done["duration_seconds"],
+            "priority": done.groupby("lot").cumcount() + 1})
 
     return stream.groupBy("run").applyInPandasWithState(
         step, "run string, trace_id bigint, duration_seconds double, priority int",
-        "n bigint, duration array<double>, enqueued array<bigint>, trace array<bigint>", "append", "NoTimeout")
+        "enqueued array<bigint>, trace array<bigint>, duration array<double>", "append", "NoTimeout")

@@ -15,8 +15,12 @@ def tumbling(rows: DataFrame, us: str, width_us: int, start_us: int, deadline_us
 
 
 def padded(ts: Column, width_s: int = 60, pad_s: int = 5) -> Column:
-    """Windows every ``width_s`` seconds that also read ``pad_s`` seconds before and after, end excluded."""
-    return F.window(ts, f"{width_s + 2 * pad_s} seconds", f"{width_s} seconds", f"{(width_s - pad_s) % width_s} seconds")
+    """Windows every ``width_s`` seconds that also read ``pad_s`` seconds before and after, both ends included.
+
+    Without padding they tile the time, and an instant on a border belongs to the later one.
+    """
+    length = f"{width_s + 2 * pad_s} seconds" + (" 1 microsecond" if pad_s else "")
+    return F.window(ts, length, f"{width_s} seconds", f"{(width_s - pad_s) % width_s} seconds")
 
 
 def closed_windows(stream: DataFrame, ts: str, aggregates: list[Column], width_s: int = 60, pad_s: int = 5,

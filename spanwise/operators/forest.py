@@ -260,7 +260,7 @@ class Forest:
         return spread.groupBy(key, "_split").cogroup(copies.groupBy(key, "_split")).applyInPandas(run, schema)
 
     def score(self, rows: DataFrame, name: str = "score") -> DataFrame:
-        """Anomaly score in (-1, 0), lower is more isolated; NaN for a key without trees."""
+        """Anomaly score in (-1, 0), lower is more isolated; null for a key without trees."""
         return self._apply(rows, "score", name, "double")
 
     def label(self, rows: DataFrame) -> DataFrame:

@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.functions.buckets import log_bucket
 from spanwise.functions.scalars import base_name, lookup, us_to_s
-from spanwise.operators.ordered import numbered
+from spanwise.operators.ordered import numbered_by_range
 
 SKIPPED_FEATURES = ("mongo_rate",)
 
@@ -56,4 +55,4 @@ def counts_by_service(anomalies: DataFrame, by: Sequence[str] = ()) -> DataFrame
 def slowest_first(anomalies: DataFrame) -> DataFrame:
     """Number the anomalies of each service from the longest response time down; ties go by the text of their id."""
     time, tie = F.col("response_time"), F.col("trace_id").cast("string")
-    return numbered(anomalies, ["service"], [-log_bucket(time), -time, F.substring(tie, 1, 2)], [tie], "position")
+    return numbered_by_range(anomalies, ["service"], [-time, tie], "position")

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwise.functions.buckets import log_bucket
-from spanwise.operators.ordered import numbered
+from spanwise.operators.ordered import numbered_by_range
 from spanwise.operators.quantiles import quantiles
 
 # Compared metric, snapshot column, multiplier and divisor to the reported unit.
@@ -127,8 +126,14 @@ def by_priority(anomalies: DataFrame, duration: str = "duration_seconds", enqueu
                 tie: str = "trace_id", by: Sequence[str] = ()) -> DataFrame:
     """Number anomalies in queue order: shortest first, then oldest, then by the text of their id."""
     time, last = F.col(duration), F.col(tie).cast("string")
-    return numbered(anomalies, by, [log_bucket(time), time, F.col(enqueued), F.substring(last, 1, 2)], [last],
-                    "priority")
+    return numbered_by_range(anomalies, by, [time, F.col(enqueued), last], "priority")
+
+
+def head_of_queue(anomalies: DataFrame, n: int, duration: str = "duration_seconds", enqueued: str = "enqueued_at",
+                  tie: str = "trace_id") -> DataFrame:
+    """The first ``n`` in queue order with their ``priority``; each task keeps ``n`` rows at most, nothing else is ranked."""
+    order = [F.col(duration), F.col(enqueued), F.col(tie).cast("string")]
+    return anomalies.orderBy(*order).limit(n).withColumn("priority", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def first_per_service(queued: DataFrame, n: int, applied: Column | None = None) -> DataFrame:

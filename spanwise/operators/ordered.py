@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanwise.session import materialize
+
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -56,6 +58,25 @@ def numbered(
     )
 
 
+def numbered_by_range(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
+    """``row_number`` per key, or over the whole table, in an order without ties.
+
+    The rows are range-partitioned by key and full order, so no key is one task's, and stored with their partition; a
+    count per key and partition gives the offsets, and the numbers are counted inside each.
+    """
+    rows, keys = _with_key(df, by)
+    ranks = {f"_k{i}": c for i, c in enumerate(order)}
+    stored = materialize(rows.withColumns(ranks).repartitionByRange(*keys, *ranks).withColumn(
+        "_part", F.spark_partition_id()), "ranged")
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*BEFORE)
+    offsets = stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size")).select(
+        *keys, "_part", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_offset"))
+    joined = stored.alias("r").join(offsets.alias("o"), _same([*keys, "_part"], "r", "o")).select("r.*", "o._offset")
+    inside = Window.partitionBy(*keys, "_part").orderBy(*ranks)
+    return joined.withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("long")).drop(
+        "_offset", "_part", "_all", *ranks)
+
+
 def running_sums(
     df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], values: dict[str, str]
 ) -> DataFrame:

@@ -276,16 +276,15 @@ queued AS (SELECT event_id AS trace_id, service, value / 100.0 AS duration_secon
   row_number() OVER (ORDER BY value, ts_us, CAST(event_id AS VARCHAR)) AS priority FROM ev)"""
 
 
-def _queue(spark, sf_dir):
-    rows = b.samples(spark, sf_dir).select(
+def _waiting(spark, sf_dir):
+    return b.samples(spark, sf_dir).select(
         F.col("event_id").alias("trace_id"), "service", (F.col("value") / 100.0).alias("duration_seconds"),
         F.col("ts_us").alias("enqueued_at"))
-    return ex.by_priority(rows)
 
 
 @query("w5_priority_order", f"WITH {QUEUE_SQL} SELECT trace_id, priority FROM queued")
 def priority_order(spark, sf_dir):
-    return _queue(spark, sf_dir).select("trace_id", "priority")
+    return ex.by_priority(_waiting(spark, sf_dir)).select("trace_id", "priority")
 
 
 @query("w6_one_per_service", f"""WITH {QUEUE_SQL},
@@ -293,7 +292,7 @@ batch AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY priority) A
 SELECT service, count(*) FILTER (rn = 1) AS chosen, count(*) FILTER (rn > 1) AS skipped, min(trace_id)
   FILTER (rn = 1) AS trace_id FROM batch GROUP BY 1""")
 def one_per_service(spark, sf_dir):
-    rows = ex.first_per_service(_queue(spark, sf_dir), 100)
+    rows = ex.first_per_service(ex.head_of_queue(_waiting(spark, sf_dir), 100), 100)
     return rows.groupBy("service").agg(
         F.count(F.when(~F.col("skipped"), 1)).alias("chosen"), F.count(F.when(F.col("skipped"), 1)).alias("skipped"),
         F.min(F.when(~F.col("skipped"), F.col("trace_id"))).alias("trace_id"))

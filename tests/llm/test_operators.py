@@ -381,3 +381,23 @@ def test_fingerprint_of_few_words_of_which_one_fills_a_piece():
 
     text = "x" * (5 << 20) + " b"
     assert simhash.fingerprint_of(text) & (1 << 64) - 1 == xxhash.xxh64_intdigest(text, 42)
+
+
+def test_pipeline_keeps_what_a_plain_version_keeps(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert clean.columns == docs.columns
+    kept = {r.doc_id: r.text for r in clean.collect()}
+    prints = [(d, plain.simhash(t)) for d, t in kept.items()]
+    component = plain.simhash_components(prints)
+    firsts = {d for d, fp in prints if component[fp] == d}
+    windows = plain.item_windows([(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    want = {d for d in firsts if plain.contamination(kept[d], windows)[1] == 0}
+    left = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(left) == want and len(want) < len(firsts) < len(kept)
+    library = Tokenizer.from_file(VOCABULARY)
+    untouched = {r.doc_id for r in secrets.redacted(clean).collect() if r.text == kept[r.doc_id]}
+    for d in want & untouched:
+        assert left[d].n_tokens == len(library.encode(kept[d] or "", add_special_tokens=False).ids)

@@ -130,6 +130,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_units(table(spark, sf_dir, "documents"))
 
 
+@query("op9_passage_dedup")
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, paragraphs and whole texts as units too; the query above has the grains of its SQL counterpart."""
+    return substrings.repeated_units(table(spark, sf_dir, "documents"), grains=substrings.GRAINS + substrings.WHOLES)
+
+
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))

@@ -1,4 +1,4 @@
-"""Substring dedup: lines, sentences and clauses are normalised and hashed, digests grouped globally, the earliest stays."""
+"""Substring dedup: paragraphs, lines, sentences and clauses are normalised and hashed, digests grouped globally, the earliest stays."""
 
 from __future__ import annotations
 
@@ -20,20 +20,27 @@ GRAINS = (
     re.compile(r"[^.!?]*[.!?]+|[^.!?]+\Z"),
     re.compile(r"[^\n.!?,;:]*[\n.!?,;:]+|[^\n.!?,;:]+\Z"),
 )
+#: Units that no stop cuts: lines, paragraphs between blank lines, whole texts. They hold short sentences, lists and shouted
+#: text, none of whose sentences has words enough by itself.
+WHOLES = (
+    re.compile(r"[^\n]*\n+|[^\n]+\Z"),
+    re.compile(r".+?(?:\n[ \t\r]*\n\s*|\Z)", re.S),
+    re.compile(r".+", re.S),
+)
 #: Units of fewer words are common speech, not copied passages.
 MIN_WORDS = 6
 _LAST = (1 << 63) - 1
 _COLUMNS = ["doc", "start", "end", "high", "low"]
 
 
-def _units(min_words: int):
+def _units(min_words: int, grains: tuple[re.Pattern, ...]):
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 # A unit that two grains share counts once: by where its words start, and its digest.
                 known = set()
-                for grain in GRAINS:
+                for grain in grains:
                     for m in grain.finditer(text):
                         words = m[0].lower().split()
                         if len(words) < min_words:
@@ -51,17 +58,17 @@ def _units(min_words: int):
     return units
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, grains: tuple[re.Pattern, ...] = GRAINS) -> DataFrame:
     """Units to remove: ``doc_id``, ``start``, ``end`` (code points of the original), ``kept_doc_id``, ``kept_start``.
 
-    A unit is a sentence, within a line or across lines, or a clause (see ``GRAINS``), so reported spans may hold one another;
-    it is compared lower-cased, white space aside. Of equal units the one of the smallest doc_id stays, within a document the first; documents without an
+    A unit is a sentence, within a line or across lines, or a clause (see ``GRAINS``); with ``WHOLES`` among the grains also a
+    line, a paragraph or a text. Reported spans may hold one another; a unit is compared lower-cased, white space aside. Of equal units the one of the smallest doc_id stays, within a document the first; documents without an
     id come last. Null and empty texts have no units. Rows that repeat an id count as one document: equal units at equal
     offsets in them are one occurrence. Digests have 128 bits. Grouping counts before it shuffles, and the join back is on
     digests that occur more than once, so one very common unit is spread by adaptive skew handling.
     """
     named = docs.where("text IS NOT NULL AND text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
-    units = materialize(named.mapInPandas(_units(min_words), "doc long, start int, end int, high long, low long"), "units")
+    units = materialize(named.mapInPandas(_units(min_words, grains), "doc long, start int, end int, high long, low long"), "units")
     first = units.groupBy("high", "low").agg(
         F.min(F.struct("doc", "start")).alias("kept"), F.count("*").alias("n")
     ).where("n > 1").select("high", "low", F.col("kept.doc").alias("kept_doc"), F.col("kept.start").alias("kept_start"))
@@ -71,8 +78,11 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``cleaned`` and ``removed`` (the spans cut out, original offsets). Columns of these names are replaced."""
-    cut = repeated_units(docs, min_words).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+    """``docs`` with ``cleaned`` and ``removed`` (the spans cut out, original offsets). Columns of these names are replaced.
+
+    Units of all grains are cut out, lines, paragraphs and whole texts too.
+    """
+    cut = repeated_units(docs, min_words, GRAINS + WHOLES).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cut")
     )
 

@@ -1,6 +1,7 @@
 """Each training-data operator against a plain version, and its edge cases."""
 
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -351,6 +352,43 @@ def test_a_passage_pasted_into_sentences_or_broken_anew_is_found(spark):
     assert "seven words" not in found[3] and "stands alone" not in found[3]
 
 
+def test_lines_and_paragraphs_of_short_sentences_are_found(spark):
+    shouted = "TO.!! EDHEEA!! ONLYND!! WE.!! GO.!! HOME NOW!!"
+    items = "- red\n- blue\n- green\n- black"
+    short = "He came. She left.\n\nIt rained. They ran."
+    rows = [
+        (1, f"First one.\n{shouted}\nIts end."), (2, f"Second one.\n{shouted}\nAnother end."), (3, f"Top.\n\n{items}\n\nDone."),
+        (4, f"Head.\n \n{items}\n\nOver."), (5, short), (6, short),
+    ]
+    found = {r.doc_id: r.cleaned for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[k] == dict(rows)[k] for k in (1, 3, 5))
+    assert (found[2], found[4], found[6]) == ("Second one.\nAnother end.", "Head.\n \nOver.", "")
+
+
+def test_passages_match_plain(spark):
+    seen, want = {}, set()
+    for doc, text in sorted(texts(spark).items()):
+        text, units = text or "", {}
+        cuts = {(m.start(), m.end()) for g in substrings.GRAINS for m in g.finditer(text)} | {(0, len(text))}
+        for border in (r"\n+", r"\n[ \t\r]*\n\s*"):
+            ends = [m.end() for m in re.finditer(border, text)]
+            cuts |= {(a, b) for a, b in zip([0, *ends], [*ends, len(text)]) if a < b}
+        for start, end in sorted(cuts):
+            words = text[start:end].lower().split()
+            if len(words) >= substrings.MIN_WORDS:
+                units.setdefault((" ".join(words), end - len(text[start:end].lstrip())), set()).add((start, end))
+        for (words, at), spans in units.items():
+            seen.setdefault(words, []).append((doc, at, spans))
+    for words, places in seen.items():
+        want |= {(doc, at, words) for doc, at, _ in sorted(places, key=lambda p: (p[0], min(p[2])))[1:]}
+    text = texts(spark)
+    found = set()
+    for r in QUERIES["op9_passage_dedup"](spark, SF).collect():
+        unit = text[r.doc_id][r.start : r.end]
+        found.add((r.doc_id, r.end - len(unit.lstrip()), " ".join(unit.lower().split())))
+    assert found == want and want
+
+
 def test_licenses(spark, odd, none):
     filler = " ".join(f"word{k}" for k in range(100))
     rows = [(k, f"{filler} {text} {filler}") for k, text in enumerate(licenses.TEMPLATES.values())] + [(50, filler), (51, None), (52, "Released under the MIT License.")]

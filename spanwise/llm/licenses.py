@@ -10,13 +10,15 @@ retrieved window is verified by the exact share of the template's shingles it ho
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwise.llm.sketch import shingle_hashes
 
-# License notices, by name.
+# License notices and texts, by name.
 TEMPLATES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
@@ -39,7 +41,49 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
         " the following conditions are met"
     ),
+    # Siblings that differ in a name or version are short: one differing shingle keeps them under the containment.
+    "mit-name": "under the MIT License",
+    "isc": "under the ISC License",
+    "0bsd": "under the 0BSD License",
+    "zlib": "under the zlib License",
+    "bsd-2-clause": "BSD 2-Clause License",
+    "bsd-3-clause": "BSD 3-Clause License",
+    "bsl-1.0": "Boost Software License, Version 1.0",
+    "mpl-1.1": "Mozilla Public License, Version 1.1",
+    "mpl-2.0": "Mozilla Public License, Version 2.0",
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+        " distributed with this file, You can obtain one at"
+    ),
+    "epl-1.0": "Eclipse Public License, Version 1.0",
+    "epl-2.0": "Eclipse Public License, Version 2.0",
+    "gpl-2.0": "GNU General Public License, version 2",
+    "gpl-3.0-name": "GNU General Public License, version 3",
+    "gpl-2.0-short": "GNU General Public License v2.0",
+    "gpl-3.0-short": "GNU General Public License v3.0",
+    "lgpl-2.1": "Lesser General Public License, version 2.1",
+    "lgpl-3.0": "Lesser General Public License, version 3",
+    "lgpl-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "agpl-3.0": "Affero General Public License, version 3",
+    "agpl-notice": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "artistic-2.0": "Artistic License, Version 2.0",
+    "gfdl-1.3": "GNU Free Documentation License, Version 1.3",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0-1.0": "CC0 1.0 Universal",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "cc-by-4.0": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-sa-3.0": "Licensed under CC BY-SA 3.0.",
+    "cc-by-3.0": "Licensed under CC BY 3.0.",
+    "cc-by-4.0-name": "Creative Commons Attribution 4.0 International",
+    "cc-by-sa-4.0-name": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "cc-by-nc-4.0-name": "Creative Commons Attribution-NonCommercial 4.0 International",
 }
+# Whole texts of common licenses.
+TEMPLATES |= {f"{p.stem}-text": p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 SHINGLE = 3
 BANDS = 64
 CONTAINMENT = 0.8
@@ -58,10 +102,13 @@ def _band_keys(hashes: Column) -> Column:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """License, length class, distinct shingle hashes and band keys of each template."""
     rows = spark.createDataFrame(sorted((k, t) for k, t in templates.items() if any(map(str.isalnum, t))), "license string, text string")
-    rows = rows.withColumn("words", word_list(F.col("text")))
+    # Each step is collected, else the optimizer puts it into the lambdas of the next one and it runs for every word.
+    rows = spark.createDataFrame(rows.select("license", word_list(F.col("text")).alias("words")).collect(), "license string, words array<string>")
     length = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size("words"), F.lit(4))))).cast("int")
-    rows = rows.withColumn("shingles", F.array_distinct(shingle_hashes(F.col("words"), SHINGLE)))
-    return rows.select("license", length.alias("length"), "shingles", F.size("words").alias("n_words")).withColumn("keys", _band_keys(F.col("shingles")))
+    shingles = F.array_distinct(shingle_hashes(F.col("words"), SHINGLE))
+    rows = rows.select("license", length.alias("length"), shingles.alias("shingles"), F.size("words").alias("n_words"))
+    rows = spark.createDataFrame(rows.collect(), "license string, length int, shingles array<bigint>, n_words int")
+    return rows.withColumn("keys", _band_keys(F.col("shingles")))
 
 
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -75,26 +122,29 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     templates = TEMPLATES if templates is None else templates
     if sum(len(t.split()) for t in templates.values()) > MOST_WORDS:
         raise ValueError(f"templates of more than {MOST_WORDS} words")
-    known = template_table(docs.sparkSession, templates).collect()
+    known = template_table(docs.sparkSession, templates)
     # The shingles that some band's smallest hash comes from.
-    bases = template_table(docs.sparkSession, templates).select(F.explode(F.transform(
+    bases = known.select("length", F.explode(F.transform(
         F.sequence(F.lit(1), F.lit(BANDS)),
         lambda j: F.array_min(F.transform("shingles", lambda h: F.struct(F.xxhash64(h, j).alias("key"), h.alias("shingle"))))["shingle"],
     )).alias("shingle")).distinct().collect()
-    anchors = sorted(r.shingle for r in bases)
-    lengths = sorted({r.length for r in known})
+    anchors = sorted({r.shingle for r in bases})
+    of_class = {n: sorted(r.shingle for r in bases if r.length == n) for n in {r.length for r in bases}}
+    lengths = sorted(of_class)
     out = "doc_id", "license", "word_start", "word_end", "containment"
-    bands = template_table(docs.sparkSession, templates).select(
-        "license", "length", F.col("shingles").alias("wanted"), F.posexplode("keys").alias("band", "key")
+    bands = known.select(
+        "license", "length", F.posexplode("keys").alias("band", "key")
     )
+    wanted = known.select("license", F.col("shingles").alias("wanted"))
     df = docs.select("doc_id", F.xxhash64("text").alias("__hash"), word_list(F.col("text")).alias("__words"))
     df = df.withColumn("__shingles", shingle_hashes(F.col("__words"), SHINGLE)).drop("__words")
     df = df.withColumn("__at", F.filter(
-        F.transform("__shingles", lambda h, i: F.when(h.isin(anchors) if anchors else F.lit(False), i)), lambda i: i.isNotNull()
+        F.transform("__shingles", lambda h, i: F.when(h.isin(anchors) if anchors else F.lit(False), F.struct(i.alias("i"), h.alias("h")))),
+        lambda a: a.isNotNull(),
     ))
 
     def around(length: int) -> Column:
-        k = F.transform("__at", lambda i: F.floor(i / length).cast("int"))
+        k = F.transform(F.filter("__at", lambda a: a["h"].isin(of_class[length])), lambda a: F.floor(a["i"] / length).cast("int"))
         both = F.array_distinct(F.concat(k, F.transform(k, lambda x: F.greatest(x - 1, F.lit(0)))))
         return F.transform(both, lambda x: F.struct(F.lit(length).alias("length"), x.alias("k")))
 
@@ -105,7 +155,10 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
         "__shingles", F.col("__k") * F.col("length") + 1, F.greatest(2 * F.col("length") - SHINGLE + 1, F.lit(1))
     ).alias("__window"))
     keyed = windows.select("*", F.posexplode(_band_keys(F.col("__window"))).alias("band", "key"))
-    met = keyed.join(F.broadcast(bands), ["length", "band", "key"])
+    # A window meets a template in many bands, and is compared with it once.
+    met = keyed.join(F.broadcast(bands), ["length", "band", "key"]).groupBy("doc_id", "__hash", "length", "__from", "license").agg(
+        F.first("__window").alias("__window")
+    ).join(F.broadcast(wanted), "license")
     share = F.size(F.array_intersect("wanted", "__window")) / F.size("wanted")
     at = F.filter(F.transform("__window", lambda h, i: F.when(F.array_contains(F.col("wanted"), h), i)), lambda i: i.isNotNull())
     met = met.withColumn("containment", share).where(F.col("containment") >= containment).withColumn("__hits", at)

@@ -400,6 +400,17 @@ def test_licenses(spark, odd, none):
     assert licenses.find_licenses(odd).count() == 0 and licenses.find_licenses(none).count() == 0
 
 
+def test_notices_and_bodies_of_common_licenses(spark):
+    filler = " ".join(f"word{k}" for k in range(50))
+    body = " ".join(licenses.TEMPLATES["gpl-3.0-text"].split())
+    rows = ["Licensed under CC BY-SA 4.0.", "the Mozilla Public License, Version 2.0", "under the ISC License", "CC0 1.0 Universal", body, "GNU General Public License, version 2"]
+    df = spark.createDataFrame([(k, f"{filler} {x} {filler}") for k, x in enumerate(rows)], "doc_id long, text string")
+    found = licenses.find_licenses(df).collect()
+    names = {k: {r.license for r in found if r.doc_id == k} for k in range(len(rows))}
+    assert [names[k] for k in (0, 1, 2, 3, 5)] == [{"cc-by-sa-4.0"}, {"mpl-2.0"}, {"isc"}, {"cc0-1.0"}, {"gpl-2.0"}]
+    assert [(r.word_start, r.containment) for r in found if r.license == "gpl-3.0-text"] == [(50, 1.0)]
+
+
 def test_licenses_match_plain(spark):
     import re
 

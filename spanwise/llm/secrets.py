@@ -87,16 +87,22 @@ def _up_to(starts: Column, x: Column) -> Column:
 
 
 def _near(part: Column, others: str, reach: int) -> Column:
-    """Whether a span of ``others`` lies in the part's scope, at most ``reach`` characters from it."""
+    """Whether a span of ``others`` lies in the part's scope, at most ``reach`` characters from it and outside it.
+
+    Text is no complement of itself: a span that overlaps the part does not count. Spans of a kind do not overlap, so of
+    those before the part only the last two can be the nearest outside, and the first that starts at or after its end.
+    """
     spans, starts = F.col(others), F.col(f"__s_{others}")
     at = _up_to(starts, part["start"])
 
     def close(o: Column) -> Column:
         return F.coalesce(
-            (o["scope"] == part["scope"]) & (o["end"] + reach >= part["start"]) & (o["start"] <= part["end"] + reach), F.lit(False)
+            (o["scope"] == part["scope"]) & (o["end"] + reach >= part["start"]) & (o["start"] <= part["end"] + reach)
+            & ((o["end"] <= part["start"]) | (o["start"] >= part["end"])), F.lit(False)
         )
 
-    return close(F.get(spans, at - 1)) | close(F.get(spans, at))
+    after = _up_to(starts, part["end"] - 1)
+    return close(F.get(spans, at - 1)) | close(F.get(spans, at - 2)) | close(F.get(spans, after))
 
 
 def _overlaps(part: Column, others: str) -> Column:

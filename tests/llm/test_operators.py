@@ -72,6 +72,15 @@ def test_secret_spans(spark):
     assert [len(found[k].ident) for k in (3, 4, 5, 6)] == [0, 1, 0, 0]
 
 
+def test_text_is_no_complement_of_itself(spark):
+    url, mixed = "https://example.com/Blog/2024/SomeArticleTitle", "Ab3dE" * 6
+    rows = [f"see {url} for more", f"user = {mixed}", f"see {url} and {mixed} there", f"login = someone {url}", f"{mixed} and {url}"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: [len(r.ident), len(r.weak), len(r.endpoint)] for r in secrets.scan(df).collect()}
+    assert found == {0: [0, 0, 0], 1: [0, 0, 0], 2: [0, 1, 1], 3: [1, 1, 0], 4: [0, 1, 1]}
+    assert secrets.redacted(df.where("doc_id = 0")).first().text == rows[0]
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "a token = 0123456789abcdef0123 b password: abcdefghijklmnop", 5), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     found = {r.doc_id: r for r in secrets.redacted(df).collect()}

@@ -16,9 +16,9 @@ from spanwise.session import materialize
 #: into running text is cut off in the middle of a sentence at both ends, and lines may be broken anew; finer grains reach
 #: what the first one cannot.
 GRAINS = (
-    re.compile(r"[^\n.!?]*[\n.!?]+|[^\n.!?]+\Z"),
-    re.compile(r"[^.!?]*[.!?]+|[^.!?]+\Z"),
-    re.compile(r"[^\n.!?,;:]*[\n.!?,;:]+|[^\n.!?,;:]+\Z"),
+    re.compile(r"[^\n.!?。！？．｡]*[\n.!?。！？．｡]+|[^\n.!?。！？．｡]+\Z"),
+    re.compile(r"[^.!?。！？．｡]*[.!?。！？．｡]+|[^.!?。！？．｡]+\Z"),
+    re.compile(r"[^\n.!?。！？．｡,;:，、；：､]*[\n.!?。！？．｡,;:，、；：､]+|[^\n.!?。！？．｡,;:，、；：､]+\Z"),
 )
 #: Units that no stop cuts: lines, paragraphs between blank lines, whole texts. They hold short sentences, lists and shouted
 #: text, none of whose sentences has words enough by itself.
@@ -29,6 +29,9 @@ WHOLES = (
 )
 #: Units of fewer words are common speech, not copied passages.
 MIN_WORDS = 6
+#: Scripts without spaces have no such words; so many of their letters make a unit too.
+MIN_LETTERS = 20
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _LAST = (1 << 63) - 1
 _COLUMNS = ["doc", "start", "end", "high", "low"]
 
@@ -43,7 +46,7 @@ def _units(min_words: int, grains: tuple[re.Pattern, ...]):
                 for grain in grains:
                     for m in grain.finditer(text):
                         words = m[0].lower().split()
-                        if len(words) < min_words:
+                        if len(words) < min_words and (m[0].isascii() or len(UNSPACED.findall(m[0])) < MIN_LETTERS):
                             continue
                         d = xxhash.xxh3_128_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
                         key = (m.end() - len(m[0].lstrip()), d)
@@ -63,7 +66,8 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, grains: tuple[re
 
     A unit is a sentence, within a line or across lines, or a clause (see ``GRAINS``); with ``WHOLES`` among the grains also a
     line, a paragraph or a text. Reported spans may hold one another; a unit is compared lower-cased, white space aside. Of equal units the one of the smallest doc_id stays, within a document the first; documents without an
-    id come last. Null and empty texts have no units. Rows that repeat an id count as one document: equal units at equal
+    id come last. Null and empty texts, and
+    texts of fewer than six words and fewer than 20 letters of a script without spaces, have no units. Rows that repeat an id count as one document: equal units at equal
     offsets in them are one occurrence. Digests have 128 bits. Grouping counts before it shuffles, and the join back is on
     digests that occur more than once, so one very common unit is spread by adaptive skew handling.
     """

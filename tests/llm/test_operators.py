@@ -361,6 +361,14 @@ def test_a_passage_pasted_into_sentences_or_broken_anew_is_found(spark):
     assert "seven words" not in found[3] and "stands alone" not in found[3]
 
 
+def test_scripts_without_spaces_have_units(spark):
+    chinese = "这是一个没有空格的句子用来测试重复的段落是否会被发现"
+    thai = "ข้อความภาษาไทยนี้ไม่มีช่องว่างระหว่างคำ"
+    rows = [(1, f"前面。{chinese}。后面"), (2, f"别的！{chinese}。不同"), (3, thai), (4, thai), (5, "短句。"), (6, "短句。")]
+    found = {(r.doc_id, r.kept_doc_id) for r in substrings.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(2, 1), (4, 3)}
+
+
 def test_lines_and_paragraphs_of_short_sentences_are_found(spark):
     shouted = "TO.!! EDHEEA!! ONLYND!! WE.!! GO.!! HOME NOW!!"
     items = "- red\n- blue\n- green\n- black"

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanwise.llm import bpe, decontaminate, language, licenses, secrets, simhash, sketch, substrings, token_counts, toxicity
+from spanwise.llm import bpe, decontaminate, language, licenses, merkle, secrets, sharding, simhash, sketch, substrings, token_counts, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def query(name: str):
@@ -141,6 +142,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op11_merkle_manifest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document's text, by the CRC-32 of its id, is tampered with: its capital letters are made small."""
+    docs = table(spark, sf_dir, "documents")
+    small = F.translate("text", UPPER, UPPER.lower())
+    parts = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.when(remainder(5) == 0, merkle.leaf_digest(*parts, small))
+    found = merkle.manifest(docs, "doc_id", "source", merkle.leaf_digest(*parts, F.col("text")), changed)
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_sharding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    return found.select(
+        "doc_id", sharding.record_size().alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.usable(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    fitted = whitening.fit(rows, "embedding")
+    if fitted is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    found = whitening.whitened(rows, "embedding", fitted, 32)
+    error = whitening.identity_error(found)
+    explained = F.array(*(F.lit(float(e) / fitted.trace if fitted.trace else 0.0) for e in fitted.values[:32]))
+    return found.select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened")).select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(fitted.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("k")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 ORACLES["op4_decontamination"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -186,3 +222,53 @@ r AS (
 )
 SELECT doc_id, start, "end", kept_doc_id, kept_start FROM r WHERE doc_id <> kept_doc_id OR start <> kept_start
 """
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels over leaves (s, pos, digest), roots with heights, and what lies beside each leaf's path, by level."""
+    return f"""{name}_nodes AS (
+  SELECT s, 0 AS level, pos, digest FROM {leaves}
+  UNION ALL SELECT s, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM (SELECT *, max(pos) OVER (PARTITION BY s) AS last FROM {name}_nodes) WHERE last > 0 GROUP BY s, level, pos // 16
+), {name}_root AS (SELECT s, arg_max(digest, level) AS root, max(level) AS height FROM {name}_nodes GROUP BY s),
+{name}_run AS (SELECT s, level, pos // 16 AS up, string_agg(digest, '' ORDER BY pos) AS run FROM {name}_nodes GROUP BY ALL),
+{name}_path AS (
+  SELECT l.s, l.pos, level, substr(run, 1, 64 * (l.pos // pow16 % 16)) AS before, substr(run, 64 * (l.pos // pow16 % 16 + 1) + 1) AS behind
+  FROM (SELECT *, CAST(pow(16, level) AS BIGINT) AS pow16 FROM {name}_run) r JOIN {leaves} l ON l.s = r.s AND up = l.pos // (pow16 * 16)
+  JOIN {name}_root h ON h.s = r.s AND level < height)"""
+
+
+ORACLES["op11_merkle_manifest"] = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT range AS b, range AS v, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_table WHERE k < 8
+), crc AS (
+  SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, CAST(4294967295 AS BIGINT) AS c, 0 AS i FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT id, xor(c >> 8, v), i + 1 FROM crc JOIN crc_table ON k = 8 AND b = xor(c, CAST(ascii(substr(id, i + 1, 1)) AS BIGINT)) & 255
+  WHERE i < length(id)
+), changes AS (SELECT CAST(id AS BIGINT) AS id FROM crc WHERE i = length(id) AND xor(c, 4294967295) % 5 = 0),
+parts AS (
+  SELECT doc_id, source, id IS NOT NULL AS hit, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body,
+    coalesce(strlen(text) || ':' || translate(text, '{UPPER}', '{UPPER.lower()}'), '-') AS small
+  FROM documents LEFT JOIN changes ON doc_id = id
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos
+  FROM (SELECT doc_id, source, sha256(head || body) AS digest, sha256(head || CASE WHEN hit THEN small ELSE body END) AS new FROM parts)
+), {_tree_sql("low", "leaves")},
+tops AS (SELECT 0 AS s, s AS pos, root AS digest FROM low_root),
+{_tree_sql("top", "tops")},
+steps AS (
+  SELECT s, pos, level, before, behind FROM low_path
+  UNION ALL SELECT l.s, l.pos, height + level, before, behind FROM leaves l JOIN low_root h ON h.s = l.s JOIN top_path p ON p.pos = l.s
+), folded AS (
+  SELECT s, pos, 0 AS level, new AS digest FROM leaves
+  UNION ALL SELECT s, pos, level + 1, sha256(before || digest || behind) FROM folded JOIN steps USING (s, pos, level)
+), ends AS (SELECT s, pos, arg_max(digest, level) AS folded_root FROM folded GROUP BY ALL),
+proofs AS (SELECT s, pos, string_agg(before || behind, '' ORDER BY level) AS beside FROM steps GROUP BY ALL)
+SELECT doc_id, l.digest AS leaf, h.root AS subroot, t.root, sha256(coalesce(beside, '')) AS proof_sha256, folded_root, folded_root = t.root AS verified
+FROM leaves l JOIN low_root h USING (s) JOIN ends USING (s, pos) LEFT JOIN proofs USING (s, pos), (SELECT root FROM top_root) t
+"""

@@ -70,9 +70,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         change(at(0.5), F.lit(0), F.concat(F.lit(" edited for "), F.coalesce("source", F.lit("nobody")), F.lit("'s 2nd copy "))),
         change(at(0.8), F.least(at(0.05), F.lit(60)), F.upper(F.substring(F.coalesce("text", F.lit("")), at(0.8) + 1, F.least(at(0.05), F.lit(60))))),
     )
-    found = token_counts.edited_counts(docs, edits, vocabulary_path())
+    found = token_counts.edited_counts(docs, edits, vocabulary_path(), trees=False)
     return found.select(
-        "doc_id", "n_tokens", F.size("leaves.chars").cast("long").alias("n_pieces"), F.col("edited.n_tokens").alias("n_tokens_edited"),
+        "doc_id", "n_tokens", "n_pieces", F.col("edited.n_tokens").alias("n_tokens_edited"),
         F.col("edited.n_encoded").alias("n_encoded_again"), sha(F.col("edited.text")).alias("edited_sha256"),
     )
 

@@ -21,6 +21,8 @@ from spanwise.session import materialize, scratch_path
 BUCKET_BYTES = 32 << 20
 #: Rows of one key that may lie in one bucket; of a key with more rows, each is dealt by itself.
 SPLIT = 1000
+#: Tasks of the second pass; beyond it a task takes several buckets, one after the other.
+MOST_TASKS = 50_000
 #: Bytes that a record counts besides its text.
 OVERHEAD = 16
 
@@ -78,6 +80,8 @@ def sharded(docs: DataFrame, shards: int, path: str | None = None, key: str = "d
         return pa.table({"row": records["row"].combine_chunks().take(pa.array(order)), "shard": pa.array(shard, pa.int32()), "slot": slot})
 
     rows = rows.withColumn("crc", F.coalesce("crc", F.lit(-1)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets, MOST_TASKS))
+    rows = rows.repartition(tasks, "bucket")
     out = rows.groupBy("bucket").cogroup(starts.groupBy("of")).applyInArrow(shuffled, schema).select("row.*", "shard", "slot")
     path = path or scratch_path(docs.sparkSession, "shards")
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -30,3 +30,8 @@ def log_bucket(value: Column) -> Column:
 def chunk(value: Column, width: float) -> Column:
     """Fixed-width bucket of a number."""
     return F.floor(value / F.lit(width)).cast("long")
+
+
+def floor_div(value: Column, width: int) -> Column:
+    """Whole division of a long by a positive width, rounded down, without going through doubles."""
+    return ((value - F.pmod(value, F.lit(width).cast("long"))) / width).cast("long")

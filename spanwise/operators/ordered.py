@@ -58,16 +58,25 @@ def numbered(
     )
 
 
+def ranged(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """Rows range-partitioned by key and full order, stored with their partition as ``_part``; and the order's columns.
+
+    No key is one task's: a window over (key, ``_part``) sees a run of consecutive rows, and one row per key and
+    partition carries the state across.
+    """
+    ranks = {f"_k{i}": c for i, c in enumerate(order)}
+    stored = materialize(df.withColumns(ranks).repartitionByRange(*by, *ranks).withColumn(
+        "_part", F.spark_partition_id()), "ranged")
+    return stored, list(ranks)
+
+
 def numbered_by_range(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
     """``row_number`` per key, or over the whole table, in an order without ties.
 
-    The rows are range-partitioned by key and full order, so no key is one task's, and stored with their partition; a
-    count per key and partition gives the offsets, and the numbers are counted inside each.
+    The rows lie in ranges; a count per key and range gives the offsets, and the numbers are counted inside each.
     """
     rows, keys = _with_key(df, by)
-    ranks = {f"_k{i}": c for i, c in enumerate(order)}
-    stored = materialize(rows.withColumns(ranks).repartitionByRange(*keys, *ranks).withColumn(
-        "_part", F.spark_partition_id()), "ranged")
+    stored, ranks = ranged(rows, keys, order)
     across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*BEFORE)
     offsets = stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size")).select(
         *keys, "_part", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_offset"))
@@ -77,6 +86,31 @@ def numbered_by_range(df: DataFrame, by: Sequence[str], order: Sequence[Column],
         "_offset", "_part", "_all", *ranks)
 
 
+def queue_turns(line: DataFrame, by: Sequence[str], order: Sequence[Column], comes: Column) -> DataFrame:
+    """First in, first out: each consumer on the line takes at most one of what has come before it.
+
+    ``comes`` marks what enters the queue, all other rows are consumers. Added is ``turn``: for what comes its number
+    per key, for a consumer the number of the last thing taken up to and including its own turn, 0 before any. With m
+    things come and k consumers so far that number is k + min(0, the least m - k so far): a prefix minimum, taken inside
+    each range and carried across ranges.
+    """
+    rows, keys = _with_key(line.withColumn("_comes", comes), by)
+    stored, ranks = ranged(rows, keys, order)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*ranks).rowsBetween(*UP_TO_HERE)
+    come, here = F.sum(F.col("_comes").cast("long")), F.sum((~F.col("_comes")).cast("long"))
+    local = stored.withColumns({"_m": come.over(inside), "_w": here.over(inside)})
+    local = local.withColumn("_low", F.min(F.when(~F.col("_comes"), F.col("_m") - F.col("_w"))).over(inside))
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*BEFORE)
+    parts = local.groupBy(*keys, "_part").agg(come.alias("_am"), here.alias("_aw"), F.min("_low").alias("_al")).select(
+        *keys, "_part", "_al", F.coalesce(F.sum("_am").over(across), F.lit(0)).alias("_om"),
+        F.coalesce(F.sum("_aw").over(across), F.lit(0)).alias("_ow"))
+    parts = parts.select(*keys, "_part", "_om", "_ow", F.min(F.col("_al") + F.col("_om") - F.col("_ow")).over(across).alias("_ol"))
+    joined = local.alias("r").join(parts.alias("p"), _same([*keys, "_part"], "r", "p")).select("r.*", "p._om", "p._ow", "p._ol")
+    least = F.least(F.lit(0), F.col("_ol"), F.col("_low") + F.col("_om") - F.col("_ow"))
+    turn = F.when(F.col("_comes"), F.col("_om") + F.col("_m")).otherwise(F.col("_ow") + F.col("_w") + least)
+    return joined.withColumn("turn", turn).select(*line.columns, "turn")
+
+
 def running_sums(
     df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], values: dict[str, str]
 ) -> DataFrame:

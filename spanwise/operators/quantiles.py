@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from spanwise.functions.buckets import log_bucket
 
 
-def _points(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+def _points(df: DataFrame, value: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
     """Distinct values with their counts; rows without a value or a key are left out."""
     number = F.col(value).cast("double")
     kept = df.where(number.isNotNull() & ~F.isnan(number))
     for k in by:
         kept = kept.where(F.col(k).isNotNull())
-    return kept.groupBy(*by, log_bucket(number).alias("_b"), number.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    many = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return kept.groupBy(*by, log_bucket(number).alias("_b"), number.alias("_v")).agg(many.alias("_n"))
 
 
 def _quantiles(points: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
@@ -58,12 +59,17 @@ def _quantiles(points: DataFrame, by: list[str], probs: dict[str, float]) -> Dat
     return hits.groupBy(*by).agg(*picks)
 
 
-def quantiles(df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """One row per key with a linearly interpolated quantile per entry of ``probs`` (name to probability)."""
+def quantiles(
+    df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float], weight: str | None = None
+) -> DataFrame:
+    """One row per key with a linearly interpolated quantile per entry of ``probs`` (name to probability).
+
+    ``weight`` names a column that says how many rows a row stands for.
+    """
     if not by:
         whole = df.withColumn("_all", F.lit(0))
-        return _quantiles(_points(whole, value, ["_all"]), ["_all"], probs).drop("_all")
-    return _quantiles(_points(df, value, by), list(by), probs)
+        return _quantiles(_points(whole, value, ["_all"], weight), ["_all"], probs).drop("_all")
+    return _quantiles(_points(df, value, by, weight), list(by), probs)
 
 
 def tail_mean(df: DataFrame, value: str, by: Sequence[str], alpha: float = 0.95, name: str = "cvar") -> DataFrame:

@@ -16,8 +16,8 @@ def response_summary(traces: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("total_requests"), F.avg("total_us").alias("mean_response_time"))
 
 
-def p90(traces: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return quantiles(traces, "total_us", by, {"p90_response_time": 0.9})
+def p90(traces: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    return quantiles(traces, "total_us", by, {"p90_response_time": 0.9}, weight)
 
 
 def deadlines(training: DataFrame, alpha: float = 0.95) -> DataFrame:
@@ -38,13 +38,17 @@ def thresholds(live: DataFrame, training: DataFrame | None, alpha: float = 0.95)
     )
 
 
-def miss_rates(live: DataFrame, limits: DataFrame, by: Sequence[str] = ("pattern",)) -> DataFrame:
+def miss_rates(live: DataFrame, limits: DataFrame, by: Sequence[str] = ("pattern",), weight: str | None = None) -> DataFrame:
     """Share of traces above their pattern's deadline, in percent, with count, mean and maximum.
 
-    Equal totals are combined before the deadlines are joined in. A pattern without a deadline has deadline 0.
+    Equal totals are combined before the deadlines are joined in; with ``weight`` they are, and it names their number. A
+    pattern without a deadline has deadline 0.
     """
     keys = list(dict.fromkeys([*by, "pattern"]))
-    combined = live.groupBy(*keys, "total_us").agg(F.count(F.lit(1)).alias("_n"))
+    if weight is None:
+        combined = live.groupBy(*keys, "total_us").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        combined = live.withColumn("_n", F.col(weight))
     late = F.when(F.col("total_us") > F.coalesce("threshold", F.lit(0.0)), F.col("_n")).otherwise(F.lit(0))
     out = combined.join(limits, "pattern", "left").groupBy(*by).agg(
         F.sum(late).alias("miss_count"), F.sum("_n").alias("total_requests"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwise.operators import metrics, risk
 from spanwise.operators.attribution import counts_by_service
+from spanwise.session import materialize
 
 
 def _as_map(rows: DataFrame, by: Sequence[str], key: str, fields: Sequence[str], name: str) -> DataFrame:
@@ -16,21 +17,21 @@ def _as_map(rows: DataFrame, by: Sequence[str], key: str, fields: Sequence[str],
     return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
 
 
-def pattern_map(traces: DataFrame, rates: DataFrame, by: Sequence[str]) -> DataFrame:
+def pattern_map(traces: DataFrame, rates: DataFrame, by: Sequence[str], weight: str | None = None) -> DataFrame:
     """Per window a map from pattern to miss rate, mean and P90."""
     keys = [*by, "pattern"]
-    rows = rates.join(risk.p90(traces, keys), keys).withColumnRenamed("miss_rate", "deadline_miss_rate")
+    rows = rates.join(risk.p90(traces, keys, weight), keys).withColumnRenamed("miss_rate", "deadline_miss_rate")
     return _as_map(rows, by, "pattern", ["deadline_miss_rate", "mean_response_time", "p90_response_time"], "patterns")
 
 
 def service_map(usage: DataFrame, anomalies: DataFrame, requests: DataFrame, health: DataFrame | None,
                 by: Sequence[str]) -> DataFrame:
-    """Per window a map from measured service to usage, anomalies and health.
+    """Per window a map from measured service to usage, anomalies (counted per service) and health.
 
     Anomalies and health of services without metrics are not in the map.
     """
     keys = [*by, "service"]
-    rows = usage.join(counts_by_service(anomalies, by), keys, "left").join(requests, list(by), "left")
+    rows = usage.join(anomalies, keys, "left").join(requests, list(by), "left")
     rows = rows.withColumn("anomaly_count", F.coalesce("anomaly_count", F.lit(0))).withColumn(
         "anomaly_rate", F.coalesce(F.try_divide(F.col("anomaly_count") * 100.0, "total_requests"), F.lit(0.0)))
     if health is None:
@@ -47,29 +48,74 @@ def assemble(
     windows: DataFrame, traces: DataFrame, limits: DataFrame, anomalies: DataFrame, samples: DataFrame,
     health: DataFrame | None, nodes: DataFrame | None, placement: DataFrame | None, by: Sequence[str] = ("window_us",),
 ) -> DataFrame:
-    """Snapshot rows for every row of ``windows`` (key, phase, subphase); a window without traces keeps its row."""
+    """Snapshot rows for every row of ``windows`` (key, phase, subphase); a window without traces keeps its row.
+
+    Traces, samples and anomalies are combined once, to distinct totals, means and counts, and stored; all parts come from
+    these, and meet in one aggregation by window.
+    """
     keys = list(by)
-    requests = risk.response_summary(traces, keys)
-    rates = risk.miss_rates(traces, limits, [*keys, "pattern"])
-    usage = metrics.usage_by_service(samples, [*keys, "service"])
-    found = anomalies.groupBy(*keys).agg(F.count(F.lit(1)).alias("anomaly_count"))
+    totals = materialize(traces.groupBy(*keys, "pattern", "total_us").agg(F.count(F.lit(1)).alias("_w")), "totals")
+    means = materialize(samples.groupBy(*keys, "service", "metric").agg(
+        F.min("metric_pos").alias("metric_pos"), F.avg("value").alias("value")), "means")
+    found = materialize(counts_by_service(anomalies, keys), "found")
+    requests = totals.groupBy(*keys).agg(F.sum("_w").alias("total_requests"), (
+        F.sum(F.col("total_us") * F.col("_w")) / F.sum("_w")).alias("mean_response_time"))
+    rates = risk.miss_rates(totals, limits, [*keys, "pattern"], "_w")
+    usage = metrics.usage_by_service(means, [*keys, "service"])
     parts = [
-        requests, risk.p90(traces, keys), risk.overall_miss_rate(rates, keys), pattern_map(traces, rates, keys),
-        metrics.cluster_totals(samples, keys), found, service_map(usage, anomalies, requests, health, keys),
+        requests, risk.p90(totals, keys, "_w"), risk.overall_miss_rate(rates, keys), pattern_map(totals, rates, keys, "_w"),
+        metrics.cluster_totals(means, keys), found.groupBy(*keys).agg(F.sum("anomaly_count").alias("anomaly_count")),
+        service_map(usage, found, requests, health, keys),
     ]
     if health is not None:
         parts.append(_as_map(health, keys, "service", ["restarts", "oom_killed"], "pod_health"))
     if nodes is not None or placement is not None:
         parts.append(node_map(nodes, placement, keys))
-    out = windows
+    together = windows.withColumn("_known", F.lit(True))
     for part in parts:
-        out = out.join(part, keys, "left")
+        together = together.unionByName(part, allowMissingColumns=True)
+    named = [c for c in together.columns if c not in keys]
+    out = together.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in named]).where("_known").drop("_known")
     zero = {c: 0 for c in ("total_requests", "mean_response_time", "p90_response_time", "deadline_miss_rate",
                            "sum_cpu_utilization_cores", "sum_memory_utilization_mb", "anomaly_count")}
     return out.na.fill(zero).withColumn("anomaly_rate", F.coalesce(
         F.try_divide(F.col("anomaly_count") * 100.0, "total_requests"), F.lit(0.0)))
 
 
+MAP_FIELDS = {
+    "patterns": ("deadline_miss_rate", "mean_response_time", "p90_response_time"),
+    "services": ("anomaly_count", "anomaly_rate", "cpu_utilization_cores", "memory_utilization_mb", "restart_count", "oom_killed"),
+    "pod_health": ("restarts", "oom_killed"),
+    "nodes": ("cpu_utilization_pct", "memory_utilization_pct", "cpu_usage_cores", "cpu_limit_cores", "memory_usage_mb",
+              "memory_limit_mb"),
+}
+
+
+def flattened(snapshots: DataFrame, keep: Sequence[str], scalars: Sequence[str]) -> DataFrame:
+    """Every number of a snapshot as a row: ``keep``, ``part``, ``key``, ``field`` and ``value``; nulls have none.
+
+    Scalars are of the part ``window``, entries of a map of the part with its name; pods of a service on a node are of the
+    part ``placement`` with the key ``node/service``.
+    """
+
+    def cell(part: str, key, field: str, value):
+        return F.struct(F.lit(part).alias("part"), key.alias("key"), F.lit(field).alias("field"), value.cast("double").alias("value"))
+
+    def entries(name: str):
+        return F.flatten(F.transform(F.map_entries(name), lambda e: F.array(
+            *[cell(name, e["key"], f, e["value"][f]) for f in MAP_FIELDS[name]])))
+
+    cells = [F.array(*[cell("window", F.lit(""), c, F.col(c)) for c in scalars])]
+    cells += [entries(name) for name in MAP_FIELDS if name in snapshots.columns]
+    if "nodes" in snapshots.columns:
+        cells.append(F.flatten(F.transform(F.map_entries("nodes"), lambda e: F.transform(
+            F.map_entries(e["value"]["services"]), lambda s: cell(
+                "placement", F.concat_ws("/", e["key"], s["key"]), "avg_pods", s["value"])))))
+    held = F.concat(*[F.coalesce(c, F.filter(cells[0], lambda _: F.lit(False))) for c in cells])
+    rows = snapshots.select(*keep, F.explode(held).alias("_c"))
+    return rows.select(*keep, "_c.part", "_c.key", "_c.field", F.col("_c.value").alias("value")).where(F.col("value").isNotNull())
+
+
 def node_map(nodes: DataFrame | None, placement: DataFrame | None, by: Sequence[str]) -> DataFrame:
     """Per window a map from node to its means and pods per service; a node known to one side only is kept."""
     keys = [*by, "node"]

@@ -12,7 +12,7 @@ from spanwise.operators import snapshot as sn
 from spanwise.operators import traces as tr
 from spanwise.plans import bindings as b
 from spanwise.plans.registry import query
-from spanwise.plans.trace_queries import _anomalies
+from spanwise.plans.trace_queries import anomalies_of
 from spanwise.session import materialize
 
 
@@ -325,27 +325,21 @@ totals AS (SELECT window_us, coalesce(sum(mean) FILTER (metric LIKE '%cpu%' AND
   coalesce(sum(mean) FILTER (metric LIKE '%memory%' AND mean > 0), 0) / 1048576 AS mem FROM means GROUP BY 1)"""
 
 
-def _span_samples(spark, sf_dir):
+def span_samples(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in b.METRIC_NAMES])
     service = F.concat(F.lit("srv-"), F.translate(F.substring("operation", 4, 1), "0123", "abcd"))
     pos = F.col("span_pos")
     return b.spans(spark, sf_dir).select(
-        tr.window_start(F.col("start_us"), b.WINDOW_US).alias("window_us"), service.alias("service"),
+        tr.window_start(F.col("start_us"), b.WINDOW_US).alias("window_us"), F.col("start_us").alias("at_us"), service.alias("service"),
         F.element_at(names, (pos % 4 + 1).cast("int")).alias("metric"), (pos % 4).alias("metric_pos"),
         F.col("duration_us").cast("double").alias("value"),
         F.concat(F.lit("node-"), (pos % 5).cast("string")).alias("node"))
 
 
-def assembled(spark, sf_dir):
-    """Snapshot of every 30-day window."""
-    live, training = b.split(spark, sf_dir)
-    live = materialize(live.withColumn("window_us", tr.window_start(F.col("start_us"), b.WINDOW_US)), "live")
-    limits = risk.deadlines(training)
-    window = tr.window_start(F.col("start_us"), b.WINDOW_US)
-    anomalies = _anomalies(spark, sf_dir).withColumn("window_us", window)
-    samples = _span_samples(spark, sf_dir)
+def snapshot_of(live, samples, limits, windows):
+    """Snapshots of ``windows`` from their traces and samples; both carry ``window_us``."""
     even = F.col("window_us") / b.WINDOW_US % 2 == 0
-    windows = samples.select("window_us").distinct().select(
+    windows = windows.select(
         "window_us", F.when(even, "adaptation").otherwise("initialization").alias("phase"),
         F.when(even, "normal").otherwise("collection_start").alias("subphase"))
     health = samples.where(F.col("value") > 100_000).groupBy("window_us", "service").agg(
@@ -354,7 +348,69 @@ def assembled(spark, sf_dir):
     node_names = F.array(*[F.lit(n) for n in m.NODE_METRICS])
     nodes = m.node_summary(samples.withColumn("metric", F.element_at(node_names, (F.col("metric_pos") + 1).cast("int"))),
                            ["window_us", "node"])
-    return sn.assemble(windows, live, limits, anomalies, samples, health, nodes, placement)
+    return sn.assemble(windows, live, limits, anomalies_of(live, limits), samples, health, nodes, placement)
+
+
+def assembled(spark, sf_dir):
+    """Snapshot of every 30-day window."""
+    traces = materialize(b.traces(spark, sf_dir).withColumn("window_us", tr.window_start(F.col("start_us"), b.WINDOW_US)), "traces")
+    limits = risk.deadlines(traces.where("training"))
+    samples = span_samples(spark, sf_dir)
+    return snapshot_of(traces.where(~F.col("training")), samples, limits, samples.select("window_us").distinct())
+
+
+SNAPSHOT_SCALARS = ("total_requests", "mean_response_time", "p90_response_time", "deadline_miss_rate", "sum_cpu_utilization_cores",
+                    "sum_memory_utilization_mb", "anomaly_count", "anomaly_rate")
+
+
+def snapshot_rows(snapshots):
+    """Every number of the snapshots, maps included, with the window and its phase."""
+    rows = sn.flattened(snapshots, ["window_us", "phase", "subphase"], SNAPSHOT_SCALARS)
+    return rows.withColumn("value", F.round("value", 6))
+
+
+def _cells_sql(part: str, key: str, fields: dict[str, str], source: str) -> str:
+    names = ", ".join(f"'{n}'" for n in fields)
+    values = ", ".join(f"CAST({v} AS DOUBLE)" for v in fields.values())
+    return f"SELECT window_us, '{part}' AS part, {key} AS key, unnest([{names}]) AS field, unnest([{values}]) AS value FROM {source}"
+
+
+SNAPSHOT_ROWS_SQL = f"""WITH {SPAN_SAMPLE_SQL},
+health AS (SELECT window_us, service, count(*) AS restarts, max(value) > 104000 AS oom FROM span_samples WHERE value > 100000
+  GROUP BY 1, 2),
+node_use AS (SELECT window_us, node_no, avg(value) FILTER (metric_pos = 0) AS m0, avg(value) FILTER (metric_pos = 1) AS m1,
+  avg(value) FILTER (metric_pos = 2) AS m2, avg(value) FILTER (metric_pos = 3) AS m3 FROM span_samples GROUP BY 1, 2),
+cells AS ({" UNION ALL ".join([
+    _cells_sql("window", "''", {
+        "total_requests": "coalesce(total_requests, 0)", "mean_response_time": "coalesce(r.mean_rt, 0)",
+        "p90_response_time": "coalesce(r.p90, 0)", "deadline_miss_rate": "coalesce(o.miss_rate, 0)",
+        "sum_cpu_utilization_cores": "coalesce(t.cpu, 0)", "sum_memory_utilization_mb": "coalesce(t.mem, 0)",
+        "anomaly_count": "coalesce(k, 0)", "anomaly_rate": "coalesce(k * 100.0 / total_requests, 0)"},
+        "windows w LEFT JOIN requests r USING (window_us) LEFT JOIN overall o USING (window_us) LEFT JOIN totals t "
+        "USING (window_us) LEFT JOIN found USING (window_us)"),
+    _cells_sql("patterns", "pattern", {
+        "deadline_miss_rate": "miss_rate", "mean_response_time": "mean_rt", "p90_response_time": "p90"}, "rates"),
+    _cells_sql("services", "u.service", {
+        "anomaly_count": "coalesce(f.k, 0)", "anomaly_rate": "coalesce(f.k * 100.0 / total_requests, 0)",
+        "cpu_utilization_cores": "u.cpu", "memory_utilization_mb": "u.mem", "restart_count": "restarts", "oom_killed": "oom"},
+        "service_use u LEFT JOIN requests r USING (window_us) LEFT JOIN found_by f USING (window_us, service) "
+        "LEFT JOIN health h USING (window_us, service)"),
+    _cells_sql("pod_health", "service", {"restarts": "restarts", "oom_killed": "oom"}, "health"),
+    _cells_sql("nodes", "'node-' || node_no", {
+        "cpu_utilization_pct": "m0", "memory_utilization_pct": "m1", "cpu_usage_cores": "m2", "cpu_limit_cores": "m3"},
+        "node_use"),
+    _cells_sql("placement", "'node-' || node_no || '/' || service", {"avg_pods": "count(*)"},
+               "span_samples GROUP BY window_us, node_no, service"),
+])})
+SELECT window_us, CASE WHEN even THEN 'adaptation' ELSE 'initialization' END AS phase,
+  CASE WHEN even THEN 'normal' ELSE 'collection_start' END AS subphase, part, key, field, round(value, 6) AS value
+FROM cells JOIN windows USING (window_us) WHERE value IS NOT NULL"""
+
+
+@query("a14_snapshot_maps", SNAPSHOT_ROWS_SQL)
+def snapshot_maps(spark, sf_dir):
+    """All scalars and all maps of the snapshots: patterns, services, pod health, nodes and their pods."""
+    return snapshot_rows(assembled(spark, sf_dir))
 
 
 @query("a14_snapshot", f"""WITH {SPAN_SAMPLE_SQL}

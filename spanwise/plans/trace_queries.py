@@ -18,10 +18,13 @@ def _wide(df):
     return [F.col("durations")[op].alias(op) for op in b.OPS]
 
 
+def anomalies_of(live, limits):
+    return at.primary_service(risk.past_deadline(b.attributions(live), limits), b.OP_SERVICE)
+
+
 def _anomalies(spark, sf_dir):
     live, training = b.split(spark, sf_dir)
-    limits = risk.deadlines(training)
-    return at.primary_service(risk.past_deadline(b.attributions(live), limits), b.OP_SERVICE)
+    return anomalies_of(live, risk.deadlines(training))
 
 
 @query("t1_trace_summary", f"WITH {b.SPANS_SQL} SELECT trace_id, min(start_us) AS start_us, "

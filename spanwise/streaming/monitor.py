@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanwise.operators.traces import summarize
+from spanwise.session import materialize
+from spanwise.streaming.batches import ClosedWindows
 from spanwise.streaming.windows import padded
 
 
@@ -45,3 +48,21 @@ def monitor(spans: DataFrame, limits: DataFrame, ops: Sequence[str], out: str, c
     rows = window_snapshots(spans, limits, ops, at, width_s, pad_s, late)
     return (rows.writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
+
+
+def snapshot_loop(folder: str, ops: Sequence[str], make: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], width_us: int,
+                  start_us: int, deadline_us: int, late_us: int = 5_000_000) -> ClosedWindows:
+    """The loop with whole snapshots: spans (``source`` = ``traces``, ``at_us`` the start of their trace) and metric samples
+    (``source`` = ``metrics``) are landed, and ``make`` gets the traces, the samples and the windows that closed.
+
+    Windows are laid from ``start_us``; the last is cut at the deadline. The operators are those of the batch form, so the
+    snapshots are too.
+    """
+
+    def snapshots(rows: DataFrame, windows: DataFrame) -> DataFrame:
+        spans, samples = rows.where("source = 'traces'"), rows.where("source = 'metrics'")
+        placed = spans.groupBy("trace_id").agg(F.min("window_us").alias("window_us"))
+        traces = materialize(summarize(spans, ops).join(placed, "trace_id"), "closed-traces")
+        return make(traces, samples, windows)
+
+    return ClosedWindows(folder, ["traces", "metrics"], snapshots, width_us, start_us, deadline_us, 0, late_us)

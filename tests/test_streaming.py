@@ -1,11 +1,16 @@
 """Streams over chunks of files."""
 
+import collections
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanwise.operators import ordered as od
+from spanwise.streaming import batches as ba
 from spanwise.streaming import monitor as mo
+from spanwise.streaming import slices as sl
 from spanwise.streaming import state as st
 from spanwise.streaming import windows as wi
 
@@ -57,24 +62,141 @@ PHASES = [("r", 1, "window", None, None), ("r", 2, "phase", "adaptation", "norma
 
 @pytest.mark.parametrize("cut", [1, 3, 4])
 def test_phase_takes_one_message_per_window(spark, tmp_path, cut):
-    schema = "run string, seq bigint, kind string, phase string, subphase string"
-    out = run(st.tag_phases(chunks(spark, str(tmp_path), schema, [PHASES[:cut], PHASES[cut:]])), str(tmp_path), "out")
-    got = [(r.seq, r.phase, r.subphase) for r in out.orderBy("seq").collect()]
+    tags = st.phase_tags(f"{tmp_path}/tags")
+    tags.start(chunks(spark, str(tmp_path), st.MESSAGES, [PHASES[:cut], PHASES[cut:]])).awaitTermination()
+    got = [(r.seq, r.phase, r.subphase) for r in ba.results(spark, tags.folder, st.PHASES).orderBy("seq").collect()]
     assert got == [(1, *st.INITIAL_PHASE), (4, "adaptation", "normal"), (5, "adaptation", "stabilization"),
                    (6, "adaptation", "stabilization")]
 
 
+def test_messages_of_a_hot_run_wait_in_order(spark, tmp_path):
+    """Bursts of messages, windows that find none, and another run; a queue of Python's says what is right."""
+    chance, rows, want = random.Random(4), [], []
+    for run, n in (("hot", 900), ("cold", 20)):
+        queue, current = collections.deque(), st.INITIAL_PHASE
+        for seq in range(n):
+            if chance.random() < 0.45:
+                rows.append((run, seq, "phase", "adaptation", f"p{seq}"))
+                queue.append(("adaptation", f"p{seq}"))
+            else:
+                rows.append((run, seq, "window", None, None))
+                current = queue.popleft() if queue else current
+                want.append((run, seq, *current))
+    tags = st.phase_tags(f"{tmp_path}/tags")
+    parts = [[r for r in rows if low <= r[1] < high] for low, high in ((0, 5), (5, 400), (400, 900))]
+    tags.start(chunks(spark, str(tmp_path), st.MESSAGES, parts)).awaitTermination()
+    assert sorted(map(tuple, ba.results(spark, tags.folder, st.PHASES).collect())) == sorted(want)
+
+
+def test_ranges_spread_one_key(spark):
+    rows = spark.range(200_000).withColumn("run", F.lit("hot")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored, _ = od.ranged(rows, ["run"], [F.col("id")])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in stored.groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 50_000
+
+
 @pytest.mark.parametrize("cuts", [[7], [2, 4, 5, 7], [1, 3, 7]])
 def test_batch_is_released_when_n_wait(spark, tmp_path, cuts):
-    schema = "run string, trace_id bigint, duration_seconds double, enqueued_at bigint"
     rows = [("r", 1, 3.0, 1), ("r", 2, 1.0, 2), ("r", 3, 2.0, 3), ("r", 4, 9.0, 4), ("r", 5, 1.0, 5), ("r", 6, 1.0, 6),
             ("r", 7, 0.5, 7)]
     parts = [rows[low:high] for low, high in zip([0, *cuts], cuts)]
-    out = run(st.anomaly_batches(chunks(spark, str(tmp_path), schema, parts), 3), str(tmp_path), "out")
-    got = [(r.trace_id, r.priority) for r in out.collect()]
+    released = st.anomaly_batches(f"{tmp_path}/released", 3)
+    released.start(chunks(spark, str(tmp_path), st.ANOMALIES, parts)).awaitTermination()
+    got = [(r.trace_id, r.priority) for r in ba.results(spark, released.folder, st.RELEASED).collect()]
     assert sorted(got) == sorted([(2, 1), (3, 2), (1, 3), (5, 1), (6, 2), (4, 3)])
 
 
+def plain_discarding(rows, n, every):
+    """A queue looked at when a window ends: the shortest n go, the rest is dropped."""
+    out = []
+    for run in sorted({r[0] for r in rows}):
+        waiting, mine = [], [r for r in rows if r[0] == run]
+        for slot in sorted({r[3] // every for r in mine}):
+            waiting += sorted((d, at, t) for _, t, d, at in mine if at // every == slot)
+            if len(waiting) >= n:
+                out += [(run, t, d, k + 1) for k, (d, _, t) in enumerate(sorted(waiting)[:n])]
+                waiting = []
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_backlog_is_dropped_after_a_release(spark, tmp_path, seed):
+    chance = random.Random(seed)
+    times = sorted(chance.randrange(1000) for _ in range(1500))
+    rows = [("hot" if chance.random() < 0.9 else "cold", k, float(chance.randrange(40)), at) for k, at in enumerate(times)]
+    cuts = sorted(chance.sample(range(1500), 3))
+    parts = [rows[low:high] for low, high in zip([0, *cuts], [*cuts, 1500])]
+    released = st.discarding_batches(f"{tmp_path}/released", 25, 10)
+    released.start(chunks(spark, str(tmp_path), st.ANOMALIES, parts)).awaitTermination()
+    held = ba.stored(spark, released.folder, "state", released.schema, [ba.last_batch(spark, released.folder)])
+    assert max(r["count"] for r in held.groupBy("run", "slot").count().collect()) <= 25
+    released.finish(spark, held.select("run", "trace_id", "duration_seconds", "enqueued_at").schema)
+    got = [tuple(r) for r in ba.results(spark, released.folder, st.RELEASED).collect()]
+    assert sorted(got) == plain_discarding(rows, 25, 10)
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    released = st.anomaly_batches(f"{tmp_path}/released", 2)
+    rows = spark.createDataFrame([("r", k, float(k), k) for k in range(5)], st.ANOMALIES)
+    for batch, low in ((0, 0), (1, 3), (1, 3)):
+        released.run(rows.where(F.col("trace_id").between(low, low + 2 - low // 3)), batch)
+    assert ba.results(spark, released.folder, st.RELEASED).count() == 4
+
+
+def counts(rows, windows):
+    n = rows.groupBy("window_us").agg(F.count(F.lit(1)).alias("n"))
+    return windows.join(n, "window_us", "left").select("window_us", "window_end_us", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def test_windows_close_when_all_sources_have_passed(spark, tmp_path):
+    schema = "source string, at_us bigint"
+    loop = ba.ClosedWindows(f"{tmp_path}/loop", ["a", "b"], counts, 10, 100, 135, 0, 2)
+    parts = [[("a", 101), ("a", 99), ("a", 115), ("b", 105)], [("a", 125), ("a", 110), ("b", 113)], [("b", 122), ("a", 104), ("b", 118)],
+             [("a", 134), ("b", 135)], [("a", None)]]
+    out = []
+    for batch, part in enumerate(parts):
+        for _ in range(2):  # each batch is replayed
+            loop.run(spark.createDataFrame(part, schema), batch)
+        done = ba.results(spark, loop.folder, "window_us long, window_end_us long, n long").collect()
+        out.append(sorted((r.window_us, r.n) for r in done))
+    # Window 100 closes with b at 113, window 110 with b at 122; then a at 104 is late.
+    assert out == [[], [(100, 2)], [(100, 2), (110, 4)], [(100, 2), (110, 4), (120, 2)], [(100, 2), (110, 4), (120, 2)]]
+    assert len(ba.written(spark, loop.folder, "rows")) < len(parts)
+    loop.finish(spark, spark.createDataFrame([], schema).schema)
+    done = ba.results(spark, loop.folder, "window_us long, window_end_us long, n long").collect()
+    assert max((r.window_us, r.window_end_us, r.n) for r in done) == (130, 135, 1)
+    assert [tuple(r) for r in loop.late_rows(spark).collect()] == [(100, 1)]
+
+
+def test_padded_windows_share_rows_at_their_edges(spark, tmp_path):
+    loop = ba.ClosedWindows(f"{tmp_path}/loop", ["a"], counts, 10, 0, 30, 2, 0)
+    rows = spark.createDataFrame([("a", at) for at in (-3, -2, 7, 8, 12, 13, 32, 33)], "source string, at_us bigint")
+    loop.run(rows, 0)
+    loop.finish(spark, rows.schema)
+    done = ba.results(spark, loop.folder, "window_us long, window_end_us long, n long").collect()
+    assert sorted((r.window_us, r.n) for r in done) == [(0, 4), (10, 3), (20, 1)]
+
+
+def test_slices_of_streams_equal_tables(spark, tmp_path):
+    points = [(k, "s" if k % 3 else "t", 1_000_000 * k) for k in range(0, 100, 4)]
+    spells = [(3, "none", 0, 5_000_000), (1, "s", 3_000_000, 8_000_000), (2, "s", 50_500_000, 50_900_000), (4, "t", 90_000_000, 96_000_000)]
+    end = [(None, "end", 10**9)], [(None, "end", 10**9, 10**9)]
+    schemas = "point long, s string, at_us long", "spell long, s string, lo_us long, hi_us long"
+    chunked = [chunks(spark, f"{tmp_path}/{i}", schemas[i], [rows[: len(rows) // 2], rows[len(rows) // 2 :], last]) for i, (rows, last) in enumerate(zip((points, spells), end))]
+    joined = sl.interval_slices(*chunked, "at_us", "lo_us", "hi_us", 10_000_000, on=["s"])
+    got = run(joined, str(tmp_path), "slices").where("spell IS NOT NULL").select("spell", "point").collect()
+    want = [(i, p) for i, s, lo, hi in spells for p, t, at in points if s == t and lo <= at <= hi]
+    want += [(i, None) for i, s, lo, hi in spells if not any(s == t and lo <= at <= hi for _, t, at in points)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    with pytest.raises(Exception, match="longer than"):
+        tables = spark.createDataFrame(points, schemas[0]), spark.createDataFrame(spells, schemas[1])
+        sl.interval_slices(*tables, "at_us", "lo_us", "hi_us", 5_500_000, on=["s"]).collect()
+
+
 @pytest.mark.parametrize("size", [9, 40])
 def test_loop_equals_batch(spark, tmp_path, size):
     """Windows are cut by batches, traces too; late batches may still add to a window that is open."""

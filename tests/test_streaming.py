@@ -182,9 +182,11 @@ def test_padded_windows_share_rows_at_their_edges(spark, tmp_path):
 
 
 def test_slices_of_streams_equal_tables(spark, tmp_path):
-    points = [(k, "s" if k % 3 else "t", 1_000_000 * k) for k in range(0, 100, 4)]
+    base = 10**12  # Spark's first watermark is the epoch itself
+    points = [(k, "s" if k % 3 else "t", base + 1_000_000 * k) for k in range(0, 100, 4)]
     spells = [(3, "none", 0, 5_000_000), (1, "s", 3_000_000, 8_000_000), (2, "s", 50_500_000, 50_900_000), (4, "t", 90_000_000, 96_000_000)]
-    end = [(None, "end", 10**9)], [(None, "end", 10**9, 10**9)]
+    spells = [(i, s, base + lo, base + hi) for i, s, lo, hi in spells]
+    end = [(None, "end", base + 10**9)], [(None, "end", base + 10**9, base + 10**9)]
     schemas = "point long, s string, at_us long", "spell long, s string, lo_us long, hi_us long"
     chunked = [chunks(spark, f"{tmp_path}/{i}", schemas[i], [rows[: len(rows) // 2], rows[len(rows) // 2 :], last]) for i, (rows, last) in enumerate(zip((points, spells), end))]
     joined = sl.interval_slices(*chunked, "at_us", "lo_us", "hi_us", 10_000_000, on=["s"])

@@ -7,11 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanwise.operators import intervals as intervals_of
 from spanwise.operators import metrics, risk
 from spanwise.operators.attribution import counts_by_service
 from spanwise.session import materialize
 
 
+SCALARS = ("total_requests", "mean_response_time", "p90_response_time", "deadline_miss_rate", "sum_cpu_utilization_cores",
+           "sum_memory_utilization_mb", "anomaly_count", "anomaly_rate")
+
+
 def _as_map(rows: DataFrame, by: Sequence[str], key: str, fields: Sequence[str], name: str) -> DataFrame:
     entry = F.struct(F.col(key), F.struct(*fields))
     return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
@@ -71,17 +76,64 @@ def assemble(
         parts.append(_as_map(health, keys, "service", ["restarts", "oom_killed"], "pod_health"))
     if nodes is not None or placement is not None:
         parts.append(node_map(nodes, placement, keys))
+    return _together(windows, parts, keys)
+
+
+def _together(windows: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """All parts of the given windows in one row each, and zeros where a scalar has none."""
     together = windows.withColumn("_known", F.lit(True))
     for part in parts:
         together = together.unionByName(part, allowMissingColumns=True)
     named = [c for c in together.columns if c not in keys]
     out = together.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in named]).where("_known").drop("_known")
-    zero = {c: 0 for c in ("total_requests", "mean_response_time", "p90_response_time", "deadline_miss_rate",
-                           "sum_cpu_utilization_cores", "sum_memory_utilization_mb", "anomaly_count")}
-    return out.na.fill(zero).withColumn("anomaly_rate", F.coalesce(
+    return out.na.fill({c: 0 for c in SCALARS[:-1]}).withColumn("anomaly_rate", F.coalesce(
         F.try_divide(F.col("anomaly_count") * 100.0, "total_requests"), F.lit(0.0)))
 
 
+def of_intervals(
+    intervals: DataFrame, traces: DataFrame, limits: DataFrame, samples: DataFrame, anomalies: DataFrame, lo: str, hi: str,
+    width: float,
+) -> DataFrame:
+    """A snapshot of every interval of ``intervals`` (its columns are kept), both ends included, aggregated anew.
+
+    ``traces`` (at_us, pattern, total_us), ``samples`` (at_us, node, service, metric, metric_pos, value) and ``anomalies``
+    (at_us, service) are points; total_us and value are whole numbers. Intervals may overlap in any way: totals come from
+    differences of running totals, P90 from ranks, and nothing is paired. ``width`` is near the usual interval length.
+    Intervals without traces have zeros and no patterns.
+    """
+    keys = intervals.columns
+    spans = intervals.select(lo, hi).distinct()
+    late = (F.col("total_us") > F.coalesce("threshold", F.lit(0.0))).cast("long").alias("late")
+    judged = materialize(traces.join(limits, "pattern", "left").select("at_us", "pattern", F.col("total_us").cast("long").alias("total_us"), late), "judged")
+    both = judged.unionByName(judged.withColumn("pattern", F.lit("*")))
+    totals = materialize(intervals_of.group_totals(both, spans, "at_us", lo, hi, ["pattern"], {"late": "late", "total_us": "total_us"}, width), "totals")
+    p90 = intervals_of.interval_quantiles(both, totals.select(lo, hi, "pattern"), "at_us", lo, hi, "total_us", 0.9, width, ["pattern"], "p90_response_time")
+    rates = materialize(totals.join(p90, [lo, hi, "pattern"]).withColumns({
+        "deadline_miss_rate": F.col("late") / F.col("n") * 100, "mean_response_time": F.col("total_us") / F.col("n")}), "rates")
+    whole = rates.where("pattern = '*'").select(lo, hi, F.col("n").alias("total_requests"), "mean_response_time", "p90_response_time")
+    rates = rates.where("pattern <> '*'")
+    known = samples.select("at_us", "node", "service", "metric", "metric_pos", F.col("value").cast("long").alias("value"))
+    cells = materialize(intervals_of.group_totals(
+        known, spans, "at_us", lo, hi, ["node", "service", "metric", "metric_pos"], {"value": "value"}, width), "cells")
+
+    def means(*by: str) -> DataFrame:
+        return cells.groupBy(lo, hi, *by).agg((F.sum("value") / F.sum("n")).alias("value"))
+
+    by_service = materialize(means("service", "metric", "metric_pos"), "means")
+    found = materialize(intervals_of.group_totals(anomalies, spans, "at_us", lo, hi, ["service"], {}, width, "anomaly_count"), "found")
+    placed = cells.groupBy(lo, hi, "node", "service").agg(F.sum("n").cast("double").alias("avg_pods"))
+    names = F.array(*[F.lit(n) for n in metrics.NODE_METRICS])
+    named = means("node", "metric_pos").withColumn("metric", F.element_at(names, (F.col("metric_pos") + 1).cast("int")))
+    parts = [
+        whole, risk.overall_miss_rate(rates.withColumnRenamed("deadline_miss_rate", "miss_rate"), [lo, hi]),
+        _as_map(rates, [lo, hi], "pattern", MAP_FIELDS["patterns"], "patterns"), metrics.cluster_totals(by_service, [lo, hi]),
+        found.groupBy(lo, hi).agg(F.sum("anomaly_count").alias("anomaly_count")),
+        service_map(metrics.usage_by_service(by_service, [lo, hi, "service"]), found, whole.select(lo, hi, "total_requests"), None, [lo, hi]),
+        node_map(metrics.node_summary(named, [lo, hi, "node"]), placed, [lo, hi]),
+    ]
+    return _together(spans, parts, [lo, hi]).join(intervals, [lo, hi]).select(*keys, *SCALARS, "patterns", "services", "nodes")
+
+
 MAP_FIELDS = {
     "patterns": ("deadline_miss_rate", "mean_response_time", "p90_response_time"),
     "services": ("anomaly_count", "anomaly_rate", "cpu_utilization_cores", "memory_utilization_mb", "restart_count", "oom_killed"),
@@ -91,7 +143,7 @@ MAP_FIELDS = {
 }
 
 
-def flattened(snapshots: DataFrame, keep: Sequence[str], scalars: Sequence[str]) -> DataFrame:
+def flattened(snapshots: DataFrame, keep: Sequence[str], scalars: Sequence[str] = SCALARS) -> DataFrame:
     """Every number of a snapshot as a row: ``keep``, ``part``, ``key``, ``field`` and ``value``; nulls have none.
 
     Scalars are of the part ``window``, entries of a map of the part with its name; pods of a service on a node are of the

@@ -359,13 +359,9 @@ def assembled(spark, sf_dir):
     return snapshot_of(traces.where(~F.col("training")), samples, limits, samples.select("window_us").distinct())
 
 
-SNAPSHOT_SCALARS = ("total_requests", "mean_response_time", "p90_response_time", "deadline_miss_rate", "sum_cpu_utilization_cores",
-                    "sum_memory_utilization_mb", "anomaly_count", "anomaly_rate")
-
-
 def snapshot_rows(snapshots):
     """Every number of the snapshots, maps included, with the window and its phase."""
-    rows = sn.flattened(snapshots, ["window_us", "phase", "subphase"], SNAPSHOT_SCALARS)
+    rows = sn.flattened(snapshots, ["window_us", "phase", "subphase"])
     return rows.withColumn("value", F.round("value", 6))
 
 

@@ -8,8 +8,11 @@ from spanwise import dims
 from spanwise.functions import scalars as sc
 from spanwise.operators import joins
 from spanwise.operators import metrics as m
+from spanwise.operators import risk
+from spanwise.operators import snapshot as sn
 from spanwise.plans import bindings as b
 from spanwise.plans.registry import query
+from spanwise.session import materialize
 
 SERIES = ["service", "pod"]
 COUNTERS = ["service"]
@@ -230,6 +233,64 @@ def context_window(spark, sf_dir):
     return rows.select("anomaly_id", "n", F.try_divide("v", "n").alias("mean_value"))
 
 
+def _cells_sql(part: str, key: str, fields: dict[str, str], source: str) -> str:
+    names = ", ".join(f"'{n}'" for n in fields)
+    values = ", ".join(f"CAST({v} AS DOUBLE)" for v in fields.values())
+    return f"SELECT anomaly_id, '{part}' AS part, {key} AS key, unnest([{names}]) AS field, unnest([{values}]) AS value FROM {source}"
+
+
+_NODE_FIELDS = ("cpu_utilization_pct", "memory_utilization_pct", "cpu_usage_cores", "cpu_limit_cores")
+
+
+@query("j5_context_snapshot", f"""WITH {SPELL_SQL},
+var AS (SELECT container, quantile_cont(v, 0.95) AS q FROM cents GROUP BY 1),
+limits AS (SELECT c.container, CAST(sum(v) AS DOUBLE) / count(*) AS threshold FROM cents c JOIN var USING (container) WHERE v >= q
+  GROUP BY 1),
+inside AS (SELECT anomaly_id, c.*, v > threshold AS late FROM spell s JOIN cents c
+  ON c.ts_us BETWEEN s.ts_us - 180000000 AND s.ts_us + s.length_us + 3000000 JOIN limits USING (container)),
+requests AS (SELECT anomaly_id, count(*) AS n, CAST(sum(v) AS DOUBLE) / count(*) AS mean, quantile_cont(v, 0.9) AS p90 FROM inside
+  GROUP BY 1),
+rates AS (SELECT anomaly_id, container, count(*) FILTER (late) * 100.0 / count(*) AS r, CAST(sum(v) AS DOUBLE) / count(*) AS mean,
+  quantile_cont(v, 0.9) AS p90 FROM inside GROUP BY 1, 2),
+means AS (SELECT anomaly_id, service, metric, min(metric_pos) AS pos, CAST(sum(v) AS DOUBLE) / count(*) AS mean FROM inside
+  GROUP BY 1, 2, 3),
+used AS (SELECT anomaly_id, service,
+    coalesce(arg_min(mean, pos) FILTER (metric LIKE '%cpu%' AND mean <> 0), 0) AS cpu,
+    coalesce(arg_min(mean, pos) FILTER (metric LIKE '%memory%' AND mean <> 0), 0) / 1048576 AS mem FROM means GROUP BY 1, 2),
+totals AS (SELECT anomaly_id, coalesce(sum(mean) FILTER (metric LIKE '%cpu%' AND mean > 0), 0) AS cpu,
+  coalesce(sum(mean) FILTER (metric LIKE '%memory%' AND mean > 0), 0) / 1048576 AS mem FROM means GROUP BY 1),
+others AS (SELECT s.anomaly_id, o.service, count(*) AS k FROM spell s JOIN spell o
+  ON o.ts_us BETWEEN s.ts_us - 180000000 AND s.ts_us + s.length_us + 3000000 GROUP BY 1, 2),
+found AS (SELECT anomaly_id, sum(k) AS k FROM others GROUP BY 1),
+overall AS (SELECT anomaly_id, avg(r) AS r FROM rates GROUP BY 1),
+node_use AS (SELECT anomaly_id, node, {", ".join(f"avg(v) FILTER (metric_pos = {k}) AS m{k}" for k in range(4))} FROM inside GROUP BY 1, 2),
+cells AS ({" UNION ALL ".join([
+    _cells_sql("window", "''", {
+        "total_requests": "coalesce(n, 0)", "mean_response_time": "coalesce(mean, 0)", "p90_response_time": "coalesce(p90, 0)",
+        "deadline_miss_rate": "coalesce(o.r, 0)", "sum_cpu_utilization_cores": "coalesce(t.cpu, 0)",
+        "sum_memory_utilization_mb": "coalesce(t.mem, 0)", "anomaly_count": "coalesce(k, 0)", "anomaly_rate": "coalesce(k * 100.0 / n, 0)"},
+        "spell LEFT JOIN requests USING (anomaly_id) LEFT JOIN overall o USING (anomaly_id) LEFT JOIN totals t USING (anomaly_id) "
+        "LEFT JOIN found USING (anomaly_id)"),
+    _cells_sql("patterns", "container", {"deadline_miss_rate": "r", "mean_response_time": "mean", "p90_response_time": "p90"}, "rates"),
+    _cells_sql("services", "u.service", {
+        "anomaly_count": "coalesce(f.k, 0)", "anomaly_rate": "coalesce(f.k * 100.0 / n, 0)", "cpu_utilization_cores": "u.cpu",
+        "memory_utilization_mb": "u.mem"}, "used u LEFT JOIN requests USING (anomaly_id) LEFT JOIN others f USING (anomaly_id, service)"),
+    _cells_sql("nodes", "node", {n: f"m{k}" for k, n in enumerate(_NODE_FIELDS)}, "node_use"),
+    _cells_sql("placement", "node || '/' || service", {"avg_pods": "count(*)"}, "inside GROUP BY anomaly_id, node, service"),
+])})
+SELECT anomaly_id, part, key, field, round(value, 6) AS value FROM cells WHERE value IS NOT NULL""")
+def context_snapshot(spark, sf_dir):
+    """The whole snapshot around each anomaly, from three minutes before it to three seconds behind it."""
+    ev = materialize(b.samples(spark, sf_dir).withColumn("at_us", F.col("ts_us")), "samples")
+    traces = ev.select("at_us", F.col("container").alias("pattern"), F.col("value").cast("long").alias("total_us"))
+    spells = _spells(ev).select("anomaly_id", (F.col("ts_us") - 180_000_000).alias("lo"), (
+        F.col("ts_us") + F.col("length_us") + 3_000_000).alias("hi"), F.col("ts_us").alias("at_us"), "service")
+    limits = materialize(risk.deadlines(traces), "limits")
+    rows = sn.of_intervals(spells.select("anomaly_id", "lo", "hi"), traces, limits, ev, spells.select("at_us", "service"), "lo", "hi",
+                           12 * 3_600_000_000)
+    return sn.flattened(rows, ["anomaly_id"]).withColumn("value", F.round("value", 6))
+
+
 @query("j6_evaluation_window", f"""WITH {SPELL_SQL} SELECT anomaly_id AS change_id, count(c.ts_us) AS n,
   CAST(sum(c.v) AS DOUBLE) / nullif(count(c.ts_us), 0) AS mean_value FROM spell s LEFT JOIN cents c
   ON c.ts_us BETWEEN s.ts_us + 1200000000 AND s.ts_us + 1200000000 + 1800000000 GROUP BY 1""")

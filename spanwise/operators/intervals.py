@@ -13,7 +13,7 @@ from spanwise.operators.ordered import numbered_by_range
 from spanwise.session import materialize
 
 #: Children of a node of ranks.
-FAN = 32
+FAN = 8
 
 
 def group_totals(

@@ -56,7 +56,7 @@ def assemble(
     """Snapshot rows for every row of ``windows`` (key, phase, subphase); a window without traces keeps its row.
 
     Traces, samples and anomalies are combined once, to distinct totals, means and counts, and stored; all parts come from
-    these, and meet in one aggregation by window.
+    these, and meet in one aggregation by window. Samples may be means already, a row for each service and metric.
     """
     keys = list(by)
     totals = materialize(traces.groupBy(*keys, "pattern", "total_us").agg(F.count(F.lit(1)).alias("_w")), "totals")

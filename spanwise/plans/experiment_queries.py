@@ -342,13 +342,20 @@ def snapshot_of(live, samples, limits, windows):
     windows = windows.select(
         "window_us", F.when(even, "adaptation").otherwise("initialization").alias("phase"),
         F.when(even, "normal").otherwise("collection_start").alias("subphase"))
-    health = samples.where(F.col("value") > 100_000).groupBy("window_us", "service").agg(
-        F.count(F.lit(1)).alias("restarts"), (F.max("value") > 104_000).alias("oom_killed"))
-    placement = samples.groupBy("window_us", "node", "service").agg(F.count(F.lit(1)).cast("double").alias("avg_pods"))
+    # All parts that come from samples need sums, counts and maxima only: the samples are read once.
+    over = F.col("value") > 100_000
+    cells = materialize(samples.groupBy("window_us", "node", "service", "metric", "metric_pos").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.count(F.when(over, 1)).alias("restarts"),
+        F.max("value").alias("most")), "cells")
+    health = cells.where("restarts > 0").groupBy("window_us", "service").agg(
+        F.sum("restarts").alias("restarts"), (F.max("most") > 104_000).alias("oom_killed"))
+    placement = cells.groupBy("window_us", "node", "service").agg(F.sum("n").cast("double").alias("avg_pods"))
+    mean = (F.sum("total") / F.sum("n")).alias("value")
     node_names = F.array(*[F.lit(n) for n in m.NODE_METRICS])
-    nodes = m.node_summary(samples.withColumn("metric", F.element_at(node_names, (F.col("metric_pos") + 1).cast("int"))),
-                           ["window_us", "node"])
-    return sn.assemble(windows, live, limits, anomalies_of(live, limits), samples, health, nodes, placement)
+    named = F.element_at(node_names, (F.col("metric_pos") + 1).cast("int")).alias("metric")
+    nodes = m.node_summary(cells.groupBy("window_us", "node", named).agg(mean), ["window_us", "node"])
+    means = cells.groupBy("window_us", "service", "metric").agg(F.min("metric_pos").alias("metric_pos"), mean)
+    return sn.assemble(windows, live, limits, anomalies_of(live, limits), means, health, nodes, placement)
 
 
 def assembled(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.buckets import chunk
 from spanwise.operators.joins import interval_totals
-from spanwise.operators.ordered import numbered_by_range
+from spanwise.operators.ordered import numbered_by_range, same_keys
 from spanwise.session import materialize
 
 #: Children of a node of ranks.
@@ -64,10 +64,7 @@ def interval_quantiles(
         wanted = found.select(*keys, "_asked", "_left", F.explode(digits).alias("_node"))
         leveled = ranked.withColumn("_node", F.shiftright("_rank", level * step))
         counts = interval_totals(leveled, wanted.select(*keys, "_node").distinct(), t, lo, hi, {}, width, [*on, "_node"], "_n").where("_n > 0")
-        same = F.col("w._node") == F.col("c._node")
-        for k in keys:
-            same = same & F.col(f"w.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
-        line = wanted.alias("w").join(counts.alias("c"), same).select("w.*", "c._n")
+        line = wanted.alias("w").join(counts.alias("c"), same_keys([*keys, "_node"], "w", "c")).select("w.*", "c._n")
         before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_asked").orderBy("_node").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))
         line = line.withColumn("_before", before).where("_left >= _before AND _left < _before + _n")
@@ -77,7 +74,7 @@ def interval_quantiles(
     def side(which: str) -> DataFrame:
         return values.select(*[F.col(k).alias(f"_{which}{k}") for k in keys], F.col("_asked").alias(f"_{which}"), F.col("_v").alias(f"_{which}v"))
 
-    out = intervals.alias("i").join(sides.alias("s"), _same_keys(keys, "i", "s")).select("i.*", "s._low", "s._high", "s._part")
+    out = intervals.alias("i").join(sides.alias("s"), same_keys(keys, "i", "s")).select("i.*", "s._low", "s._high", "s._part")
     for which in ("_low", "_high"):
         mine = side(which)
         cond = F.col(which) == F.col(f"_{which}")
@@ -87,9 +84,3 @@ def interval_quantiles(
     result = F.col("__lowv") + (F.col("__highv") - F.col("__lowv")) * F.col("_part")
     return out.withColumn(name, result).drop("__lowv", "__highv", "_low", "_high", "_part")
 
-
-def _same_keys(keys: Sequence[str], a: str, b: str):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`"))
-    return cond

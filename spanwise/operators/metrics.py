@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanwise.functions.buckets import chunk
 from spanwise.functions.scalars import longest_prefix
-from spanwise.operators.ordered import neighbours
+from spanwise.operators.ordered import BEFORE, UP_TO_HERE, neighbours, ranged, same_keys
 
 LOOKBACK_S = 300
 
@@ -34,36 +34,40 @@ def matching(
 
 def increase(
     samples: DataFrame, series: Sequence[str], range_s: int, value: str = "value", order: Sequence[str] = (),
-    name: str = "increase", piece_s: int | None = None,
+    name: str = "increase",
 ) -> DataFrame:
     """Counter growth over the trailing ``range_s`` seconds of every sample, corrected for resets.
 
-    A series is cut into time pieces; each piece also sees the samples up to ``range_s`` before it, so no task holds a
-    whole series.
+    The growth of a series up to each sample comes from pieces of equal size: samples are range-partitioned by series and
+    time, a piece tells its first and last value and its growth, and the pieces of a series are joined by these. A second
+    line holds for every sample also the start of its range, which takes the growth up to the next sample there, if need be
+    that of a later piece. So a dense series is spread like any other.
     """
-    piece = piece_s or max(3600, 4 * range_s)
-    if piece < range_s:
-        raise ValueError("a piece must be at least as long as the range")
-    own = F.floor(F.col("ts_s") / piece).cast("long")
-    near_end = F.col("ts_s") >= (own + 1) * piece - range_s
-    spread = samples.withColumn("_own", own).withColumn(
-        "_piece", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
-    line = Window.partitionBy(*series, "_piece").orderBy("ts_s", *order)
-    grown = spread.withColumn("_step", _step(F.col(value), F.lag(value).over(line))).withColumn(
-        "_grown", F.sum("_step").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # Every own sample also looks for the first sample of its range. Read backwards, that is the last one seen, so one
-    # growing frame serves all of them; a sliding frame would read each range again.
-    sides = F.when(F.col("_piece") == F.col("_own"), F.array(F.lit(False), F.lit(True))).otherwise(
-        F.array(F.lit(False)))
-    both = grown.withColumn("_asks", F.explode(sides)).withColumn(
+    stored, ranks = ranged(samples, series, [F.col("ts_s"), *[F.col(o) for o in order]])
+    line = Window.partitionBy(*series, "_part").orderBy(*ranks)
+    grown = stored.withColumn("_step", _step(F.col(value), F.lag(value).over(line)))
+    grown = grown.withColumn("_grown", F.sum("_step").over(line.rowsBetween(*UP_TO_HERE)))
+    pieces = Window.partitionBy(*series).orderBy("_part")
+    ends = grown.groupBy(*series, "_part").agg(
+        F.min_by(value, F.struct(*ranks)).alias("_first"), F.max_by(value, F.struct(*ranks)).alias("_last"), F.sum("_step").alias("_own"))
+    ends = ends.withColumn("_joint", _step(F.col("_first"), F.lag("_last").over(pieces))).select(
+        *series, "_part", (F.coalesce(F.sum("_own").over(pieces.rowsBetween(*BEFORE)), F.lit(0.0))
+                           + F.sum("_joint").over(pieces.rowsBetween(*UP_TO_HERE))).alias("_before"))
+    total = grown.alias("g").join(ends.alias("e"), same_keys([*series, "_part"], "g", "e")).select(
+        *[F.col(f"g.`{c}`") for c in samples.columns], (F.col("g._grown") + F.col("e._before")).alias("_total"))
+    both = total.withColumn("_asks", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
         "_at", F.when(F.col("_asks"), F.col("ts_s") - range_s + 1).otherwise(F.col("ts_s")))
-    backwards = Window.partitionBy(*series, "_piece").orderBy(
-        F.desc("_at"), "_asks", *[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.last(F.when(~F.col("_asks"), F.col("_grown")), ignorenulls=True).over(backwards)
-    return (
-        both.withColumn(name, F.col("_grown") - first).where("_asks")
-        .drop("_own", "_piece", "_step", "_grown", "_asks", "_at")
-    )
+    # A range starts before a sample at its first second. Read backwards, the first sample of a range is the last one seen.
+    asked, ranks = ranged(both, series, [F.col("_at"), ~F.col("_asks"), *[F.col(o) for o in order]])
+    backwards = Window.partitionBy(*series, "_part").orderBy(*[F.desc(r) for r in ranks]).rowsBetween(*UP_TO_HERE)
+    seen = F.when(~F.col("_asks"), F.col("_total"))
+    near = asked.withColumn("_near", F.last(seen, ignorenulls=True).over(backwards)).where("_asks")
+    later = Window.partitionBy(*series).orderBy(F.desc("_part")).rowsBetween(*BEFORE)
+    heads = asked.groupBy(*series, "_part").agg(F.min_by("_total", F.when(~F.col("_asks"), F.struct(*ranks))).alias("_head"))
+    heads = heads.select(*series, "_part", F.last("_head", ignorenulls=True).over(later).alias("_later"))
+    out = near.alias("n").join(heads.alias("h"), same_keys([*series, "_part"], "n", "h"))
+    first = F.coalesce(F.col("n._near"), F.col("h._later"))
+    return out.select(*[F.col(f"n.`{c}`") for c in samples.columns], (F.col("n._total") - first).alias(name))
 
 
 def _step(value: Column, before: Column) -> Column:
@@ -83,9 +87,9 @@ def increase_at(
 
 
 def rate(samples: DataFrame, series: Sequence[str], range_s: int, value: str = "value", order: Sequence[str] = (),
-         name: str = "rate", piece_s: int | None = None) -> DataFrame:
+         name: str = "rate") -> DataFrame:
     """Counter growth per second over the trailing range."""
-    grown = increase(samples, series, range_s, value, order, name, piece_s)
+    grown = increase(samples, series, range_s, value, order, name)
     return grown.withColumn(name, F.col(name) / F.lit(float(range_s)))
 
 

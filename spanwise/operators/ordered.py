@@ -22,7 +22,8 @@ def _with_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def _same(keys: Sequence[str], a: str, b: str) -> Column:
+def same_keys(keys: Sequence[str], a: str, b: str) -> Column:
+    """Null-safe equality of two sides' keys."""
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`"))
@@ -46,12 +47,12 @@ def numbered(
         across = Window.partitionBy(*outer).orderBy(level).rowsBetween(*BEFORE)
         totals = sizes if depth == len(levels) - 1 else sizes.groupBy(*outer, level).agg(F.sum("_size").alias("_size"))
         before = totals.select(*outer, level, F.coalesce(F.sum("_size").over(across), F.lit(0)).alias(f"_o{depth}"))
-        offsets = offsets.alias("a").join(before.alias("b"), _same([*outer, level], "a", "b")).select(
+        offsets = offsets.alias("a").join(before.alias("b"), same_keys([*outer, level], "a", "b")).select(
             "a.*", f"b._o{depth}")
         start = start + F.col(f"_o{depth}")
     offsets = offsets.select(*keys, *levels, start.alias("_offset"))
     inside = Window.partitionBy(*keys, *levels).orderBy(*order)
-    joined = rows.alias("r").join(offsets.alias("o"), _same([*keys, *levels], "r", "o")).select("r.*", "o._offset")
+    joined = rows.alias("r").join(offsets.alias("o"), same_keys([*keys, *levels], "r", "o")).select("r.*", "o._offset")
     return (
         joined.withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("long"))
         .drop("_offset", "_all", *levels)
@@ -80,7 +81,7 @@ def numbered_by_range(df: DataFrame, by: Sequence[str], order: Sequence[Column],
     across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*BEFORE)
     offsets = stored.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size")).select(
         *keys, "_part", F.coalesce(F.sum("_size").over(across), F.lit(0)).alias("_offset"))
-    joined = stored.alias("r").join(offsets.alias("o"), _same([*keys, "_part"], "r", "o")).select("r.*", "o._offset")
+    joined = stored.alias("r").join(offsets.alias("o"), same_keys([*keys, "_part"], "r", "o")).select("r.*", "o._offset")
     inside = Window.partitionBy(*keys, "_part").orderBy(*ranks)
     return joined.withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("long")).drop(
         "_offset", "_part", "_all", *ranks)
@@ -105,7 +106,7 @@ def queue_turns(line: DataFrame, by: Sequence[str], order: Sequence[Column], com
         *keys, "_part", "_al", F.coalesce(F.sum("_am").over(across), F.lit(0)).alias("_om"),
         F.coalesce(F.sum("_aw").over(across), F.lit(0)).alias("_ow"))
     parts = parts.select(*keys, "_part", "_om", "_ow", F.min(F.col("_al") + F.col("_om") - F.col("_ow")).over(across).alias("_ol"))
-    joined = local.alias("r").join(parts.alias("p"), _same([*keys, "_part"], "r", "p")).select("r.*", "p._om", "p._ow", "p._ol")
+    joined = local.alias("r").join(parts.alias("p"), same_keys([*keys, "_part"], "r", "p")).select("r.*", "p._om", "p._ow", "p._ol")
     least = F.least(F.lit(0), F.col("_ol"), F.col("_low") + F.col("_om") - F.col("_ow"))
     turn = F.when(F.col("_comes"), F.col("_om") + F.col("_m")).otherwise(F.col("_ow") + F.col("_w") + least)
     return joined.withColumn("turn", turn).select(*line.columns, "turn")
@@ -123,7 +124,7 @@ def running_sums(
         *[F.coalesce(F.sum(f"_t_{new}").over(across), F.lit(0)).alias(f"_o_{new}") for new in values],
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(*UP_TO_HERE)
-    out = rows.alias("r").join(offsets.alias("o"), _same([*keys, "_bucket"], "r", "o")).select(
+    out = rows.alias("r").join(offsets.alias("o"), same_keys([*keys, "_bucket"], "r", "o")).select(
         "r.*", *[F.col(f"o._o_{new}") for new in values]
     )
     for new, src in values.items():
@@ -151,7 +152,7 @@ def neighbours(
             step.append(shift(side).over(across).alias(side))
             near[side] = (F.coalesce(shift(packed).over(inside), F.col(side)), list(cols))
     edges = rows.groupBy(*keys, "_bucket").agg(*edge).select(*keys, "_bucket", *step)
-    out = rows.alias("r").join(edges.alias("e"), _same([*keys, "_bucket"], "r", "e")).select(
+    out = rows.alias("r").join(edges.alias("e"), same_keys([*keys, "_bucket"], "r", "e")).select(
         "r.*", *[F.col(f"e.{side}") for side in near])
     for side, (value, _) in near.items():
         out = out.withColumn(f"{side}_row", value)
@@ -177,7 +178,7 @@ def carried(
     edges = edges.select(
         *keys, "_bucket", *[F.last(f"_e_{c}", ignorenulls=True).over(across).alias(f"_c_{c}") for c in cols]
     )
-    out = rows.alias("r").join(edges.alias("e"), _same([*keys, "_bucket"], "r", "e")).select(
+    out = rows.alias("r").join(edges.alias("e"), same_keys([*keys, "_bucket"], "r", "e")).select(
         "r.*", *[F.col(f"e.`_c_{c}`") for c in cols]
     )
     filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_c_{c}")) for c in cols}

@@ -373,12 +373,9 @@ pick AS (SELECT event_id, t, (SELECT arg_min(load, start) FROM stages WHERE cloc
 SELECT event_id, t, CAST(coalesce(load, (SELECT arg_max(load, start) FROM stages)) AS BIGINT) AS load FROM pick""")
 def load_stage(spark, sf_dir):
     ev = b.samples(spark, sf_dir).select("event_id", (F.col("ts_s") - START_S).alias("t"))
-    k = F.col("id")
-    loads = F.array(F.lit(500), F.lit(1000), F.lit(2000))
-    stages = spark.range(1, 25).select((k * b.DAY_S).alias("start"),
-                                       F.element_at(loads, (k % 3 + 1).cast("int")).cast("long").alias("load"))
-    never_ends = stages.agg(F.lit(2**62).alias("start"), F.max_by("load", "start").alias("load"))
-    return joins.asof(ev, stages.unionByName(never_ends), "t", "start", ["load"], b.DAY_S, forward=True, strict=True)
+    loads = (500, 1000, 2000)
+    stages = [(k * b.DAY_S, loads[k % 3]) for k in range(1, 25)]
+    return joins.stage_at(ev, stages, "t", "load").withColumn("load", F.col("load").cast("long"))
 
 
 # --- metric aggregates ------------------------------------------------------------------------------------------

@@ -149,7 +149,7 @@ def test_counter_reset_and_pieces(spark):
     df = spark.createDataFrame(data, "series string, ts_s bigint, value double")
     out = {r.ts_s: r.increase for r in metrics.increase(df, ["series"], 60).collect()}
     assert out == {0: 0.0, 10: 3.0, 20: 5.0, 30: 8.0, 3600: 0.0, 3610: 1.0}
-    long = {r.ts_s: r.increase for r in metrics.increase(df, ["series"], 3600, piece_s=3600).collect()}
+    long = {r.ts_s: r.increase for r in metrics.increase(df, ["series"], 3600).collect()}
     assert long == {0: 0.0, 10: 3.0, 20: 5.0, 30: 8.0, 3600: 9.0, 3610: 8.0}
 
 

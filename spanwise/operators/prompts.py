@@ -11,6 +11,7 @@ from spanwise import dims
 from spanwise.functions.buckets import chunk
 from spanwise.functions.scalars import lookup
 from spanwise.functions.yaml_text import first_readable, json_to_yaml, yaml_to_json
+from spanwise.functions.yaml_writer import yaml_of
 from spanwise.operators.ordered import numbered, running_sums
 
 # Sentences and templates.
@@ -136,6 +137,11 @@ def snapshot_text(columns: Sequence[str]) -> Column:
     return text
 
 
+def snapshot_yaml(rows: DataFrame, columns: Sequence[str]) -> Column:
+    """Snapshot as YAML text in column order, with all nested maps; see ``yaml_writer`` for the layout."""
+    return yaml_of(F.struct(*columns), rows.select(*columns).schema)
+
+
 def root_cause_configs(health: DataFrame, latest: DataFrame, by: Sequence[str],
                        aliases: Mapping[str, str] = dims.CONFIG_KEY_ALIAS) -> DataFrame:
     """Per window the current configurations of its sick services, found by name or alias.

@@ -96,6 +96,73 @@ def snapshot_text(spark, sf_dir):
     return rows.select("snapshot_no", pr.snapshot_text(["total_requests", "phase", "rate", "subphase"]).alias("snapshot"))
 
 
+def _yaml_number(x: str) -> str:
+    return f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
+
+
+def _yaml_lines(pad: str, fields: dict[str, str]) -> str:
+    return " || ".join(f"'{pad}{name}: ' || {value} || chr(10)" for name, value in fields.items())
+
+
+_QUOTED_END = "chr(39) || strftime(make_timestamp(ts_s * 1000000), '%Y-%m-%dT%H:%M:%SZ') || chr(39)"
+_SNAPSHOT_FIELDS = {
+    "total_requests": "total_requests", **{c: _yaml_number(c) for c in (
+        "mean_response_time", "p90_response_time", "deadline_miss_rate", "anomaly_rate", "sum_cpu_utilization_cores",
+        "sum_memory_utilization_mb")},
+    "phase": "phase", "subphase": "subphase",
+    "collection_end_time": f"CASE WHEN snapshot_no % 4 <> 0 THEN {_QUOTED_END} ELSE 'null' END", "timestamp": _QUOTED_END}
+_NODE_FIELDS = {"cpu_usage_cores": _yaml_number("v / 1000.0"), "cpu_limit_cores": "'64.0'", "memory_usage_mb": _yaml_number("v / 10.0"),
+                "memory_limit_mb": "'4096.0'"}
+
+SNAPSHOT_YAML_SQL = b.SNAPSHOTS_SQL + f""",
+service_text AS (SELECT snapshot_no, string_agg('  ' || service || ':' || chr(10)
+    || {_yaml_lines("    ", {"cpu_utilization_cores": _yaml_number("cpu"), "memory_utilization_mb": _yaml_number("mem")})},
+    '' ORDER BY service) AS services FROM usage GROUP BY 1),
+pod_text AS (SELECT snapshot_no, node, string_agg('      ' || service || ': ' || {_yaml_number("pods")} || chr(10), '' ORDER BY service)
+  AS pods FROM pods GROUP BY 1, 2),
+node_text AS (SELECT snapshot_no, string_agg('  ' || node || ':' || chr(10) || {_yaml_lines("    ", _NODE_FIELDS)} || '    services:'
+    || chr(10) || pods, '' ORDER BY node) AS nodes FROM node_use JOIN pod_text USING (snapshot_no, node) GROUP BY 1),
+snapshot_yaml AS (SELECT snapshot_no, {_yaml_lines("", _SNAPSHOT_FIELDS)} || 'services:' || chr(10) || services || 'nodes:' || chr(10)
+  || nodes AS snapshot FROM snap JOIN service_text USING (snapshot_no) JOIN node_text USING (snapshot_no))"""
+
+
+def _snapshot_yaml(spark, sf_dir):
+    rows = b.snapshots(spark, sf_dir).join(b.snapshot_services(spark, sf_dir), "snapshot_no")
+    return rows.select("snapshot_no", pr.snapshot_yaml(rows, [*_SNAPSHOT_FIELDS, "services", "nodes"]).alias("snapshot"))
+
+
+@query("x5_snapshot_yaml", f"WITH {SNAPSHOT_YAML_SQL} SELECT snapshot_no, snapshot FROM snapshot_yaml")
+def snapshot_yaml(spark, sf_dir):
+    """Every hour's whole snapshot with its maps of services, nodes and their pods."""
+    return _snapshot_yaml(spark, sf_dir)
+
+
+_RESULT_SQL = pr.RESULT_PROMPT.replace("'", "''").split("{result}")
+
+
+@query("x4_result_message", f"""WITH {SNAPSHOT_YAML_SQL} SELECT snapshot_no, '{_RESULT_SQL[0]}' || snapshot || '{_RESULT_SQL[1]}' AS message
+  FROM snapshot_yaml""")
+def result_message(spark, sf_dir):
+    """What a configuration led to, as the message that goes back to the model."""
+    return _snapshot_yaml(spark, sf_dir).select("snapshot_no", pr.result_message(F.col("snapshot")).alias("message"))
+
+
+_REPAIR_SQL = "'" + pr.REPAIR_PROMPT.replace("'", "''").replace("{service}", "' || service || '").replace(
+    "{failed}", "' || failed || '").replace("{error}", "' || error || '") + "'"
+
+
+@query("x4_repair_message", f"""WITH failed AS (SELECT a.conv_id, a.turn, 'srv-' || a.conv_id AS service, a.text AS failed, e.text AS error
+  FROM conversations a JOIN conversations e ON e.conv_id = a.conv_id AND e.turn = a.turn + 1 WHERE a.role = 'assistant')
+SELECT conv_id, turn, {_REPAIR_SQL} AS message FROM failed""")
+def repair_message(spark, sf_dir):
+    """Every assistant turn stands for a configuration that failed, the turn behind it for the error it met."""
+    turns = b.table(spark, sf_dir, "conversations")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("error"))
+    failed = turns.where(F.col("role") == "assistant").join(after, ["conv_id", "turn"])
+    service = F.concat(F.lit("srv-"), F.col("conv_id").cast("string"))
+    return failed.select("conv_id", "turn", pr.repair_message(service, F.col("text"), F.col("error")).alias("message"))
+
+
 # Each assistant turn, whole, as a YAML block in one of four wrappings.
 RESPONSES_SQL = """responses AS (SELECT conv_id, turn, 'note: |2-' || chr(10) || '  '
   || replace(text, chr(10), chr(10) || '  ') AS body FROM conversations WHERE role = 'assistant')"""

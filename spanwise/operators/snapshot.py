@@ -22,13 +22,6 @@ def _as_map(rows: DataFrame, by: Sequence[str], key: str, fields: Sequence[str],
     return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
 
 
-def pattern_map(traces: DataFrame, rates: DataFrame, by: Sequence[str], weight: str | None = None) -> DataFrame:
-    """Per window a map from pattern to miss rate, mean and P90."""
-    keys = [*by, "pattern"]
-    rows = rates.join(risk.p90(traces, keys, weight), keys).withColumnRenamed("miss_rate", "deadline_miss_rate")
-    return _as_map(rows, by, "pattern", ["deadline_miss_rate", "mean_response_time", "p90_response_time"], "patterns")
-
-
 def service_map(usage: DataFrame, anomalies: DataFrame, requests: DataFrame, health: DataFrame | None,
                 by: Sequence[str]) -> DataFrame:
     """Per window a map from measured service to usage, anomalies (counted per service) and health.
@@ -63,14 +56,18 @@ def assemble(
     means = materialize(samples.groupBy(*keys, "service", "metric").agg(
         F.min("metric_pos").alias("metric_pos"), F.avg("value").alias("value")), "means")
     found = materialize(counts_by_service(anomalies, keys), "found")
-    requests = totals.groupBy(*keys).agg(F.sum("_w").alias("total_requests"), (
-        F.sum(F.col("total_us") * F.col("_w")) / F.sum("_w")).alias("mean_response_time"))
-    rates = risk.miss_rates(totals, limits, [*keys, "pattern"], "_w")
+    # The whole window takes part as one more pattern, so that quantiles and means are taken once.
+    both = totals.unionByName(totals.withColumn("pattern", F.lit("*")))
+    rates = risk.miss_rates(both, limits, [*keys, "pattern"], "_w").join(risk.p90(both, [*keys, "pattern"], "_w"), [*keys, "pattern"])
+    rates = materialize(rates.withColumnRenamed("miss_rate", "deadline_miss_rate"), "rates")
+    whole = rates.where("pattern = '*'").select(*keys, "total_requests", "mean_response_time", "p90_response_time")
+    rates = rates.where("pattern <> '*'")
     usage = metrics.usage_by_service(means, [*keys, "service"])
     parts = [
-        requests, risk.p90(totals, keys, "_w"), risk.overall_miss_rate(rates, keys), pattern_map(totals, rates, keys, "_w"),
+        whole, risk.overall_miss_rate(rates.withColumnRenamed("deadline_miss_rate", "miss_rate"), keys),
+        _as_map(rates, keys, "pattern", MAP_FIELDS["patterns"], "patterns"),
         metrics.cluster_totals(means, keys), found.groupBy(*keys).agg(F.sum("anomaly_count").alias("anomaly_count")),
-        service_map(usage, found, requests, health, keys),
+        service_map(usage, found, whole.select(*keys, "total_requests"), health, keys),
     ]
     if health is not None:
         parts.append(_as_map(health, keys, "service", ["restarts", "oom_killed"], "pod_health"))

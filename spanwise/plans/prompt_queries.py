@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanwise import dims
 from spanwise.operators import configs as cf
 from spanwise.operators import prompts as pr
 from spanwise.plans import bindings as b
@@ -65,7 +66,7 @@ def root_cause_configs(spark, sf_dir):
 
 @query("x4_prompt_assembly")
 def prompt_assembly(spark, sf_dir):
-    """One prompt per sick service and hour, with the placement, health and configuration texts of its hour."""
+    """One prompt per sick service and hour, with all rules and the placement, health, configuration and snapshot texts."""
     docs = cf.latest_config(b.config_docs(spark, sf_dir))
     health = _health(spark, sf_dir)
     texts = (
@@ -73,16 +74,15 @@ def prompt_assembly(spark, sf_dir):
         .join(_health_maps(spark, sf_dir).select("snapshot_no", pr.root_cause_text(F.col("pod_health")).alias(
             "root_cause")), "snapshot_no")
         .join(pr.root_cause_configs(health, docs, ["snapshot_no"], ALIASES), "snapshot_no")
-        .join(b.snapshots(spark, sf_dir).select("snapshot_no", pr.snapshot_text(
-            ["timestamp", "total_requests", "mean_response_time", "anomaly_rate", "phase"]).alias("snapshot")),
-              "snapshot_no")
+        .join(_snapshot_yaml(spark, sf_dir), "snapshot_no")
     )
+    rules = cf.constraint_text(dims.bounds_table(spark).withColumn("scope", F.lit("all")), ["scope"])
     alias = F.lit("none")
     for service, key in ALIASES.items():
         alias = F.when(F.col("service") == service, F.lit(key)).otherwise(alias)
     anomalies = health.where(F.col("oom_killed")).select(
         "snapshot_no", alias.alias("service"), F.col("restarts").cast("double").alias("duration_seconds"),
-        F.lit("Respect valid Knative autoscaling parameter values.").alias("constraints")).join(texts, "snapshot_no")
+        F.lit("all").alias("scope")).join(F.broadcast(rules), "scope").join(texts, "snapshot_no")
     return pr.anomaly_prompts(anomalies, docs).select("snapshot_no", "service", "prompt")
 
 

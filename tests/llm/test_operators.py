@@ -215,6 +215,46 @@ def test_toxicity_of_neutral_mentions(spark):
     assert abs(a - b) < 0.3 * abs(c - d) and a < 0.5
 
 
+def test_toxic_words_of_long_texts_teach(spark):
+    """The word that tells has the largest hash bucket of a text of 100,000 words."""
+    filler = sorted((f"w{k}" for k in range(100_000)), key=lambda w: toxicity.bucket(w.encode()))
+    top = toxicity.bucket(filler[-1].encode())
+    told = next(w for w in (f"zz{k}" for k in range(10**7)) if toxicity.bucket(w.encode()) > top)
+    rows = [(k, " ".join(filler) + (f" {told}" if k % 2 else ""), k % 2) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    probe = spark.createDataFrame([(1, f"a {told}"), (2, "a b")], "doc_id long, text string")
+    a, b = (r.score for r in toxicity.scored(probe, df, df).orderBy("doc_id").collect())
+    assert a > 0.6 > b
+
+
+def test_swap_penalty_matches_rewritten_texts():
+    chance = random.Random(4)
+    names = [t for kind in toxicity.IDENTITY_TERMS for t in kind]
+    pool = names[:12] + ["met", "today", "you", "scum"]
+    buckets = sorted({toxicity.bucket(w.encode()) for w in pool[3:]})  # some terms have no weight
+    column = {b: k for k, b in enumerate(buckets)}
+    lines = [[chance.choice(pool) for _ in range(chance.choice([1, 3, 8, 20]))] for _ in range(60)]
+    rows = [{toxicity.bucket(w) for w in toxicity.distinct_words(" ".join(line))} for line in lines]
+    penalty = toxicity.swap_penalty(rows, column)
+    for _ in range(5):
+        w = [chance.uniform(-2, 2) for _ in buckets]
+        score = lambda line: sum(w[column[b]] for b in {toxicity.bucket(x.encode()) for x in line} if b in column)
+        want = 0.0
+        for line in lines:
+            for kind in toxicity.IDENTITY_TERMS:
+                for a in set(line) & set(kind):
+                    for b in set(kind) - {a}:
+                        want += (score([b if x == a else x for x in line]) - score(line)) ** 2
+        got = sum(penalty[i, j] * w[i] * w[j] for i in range(len(w)) for j in range(len(w)))
+        assert abs(got - want) < 1e-6 * max(want, 1)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic IS NOT NULL").collect()}
+    found = [r for r in QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.01").where("held_out").collect() if r.doc_id in toxic]
+    assert found and sum(r.predicted == toxic[r.doc_id] for r in found) >= 0.9 * len(found)
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (None, 0), (3, None), (5, 0), (5, 1)], "doc_id long, toxic int")
     assert all(0 <= r.score <= 1 for r in toxicity.scored(odd, odd, labels).collect())

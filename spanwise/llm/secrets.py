@@ -1,10 +1,15 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Three kinds are secrets by themselves: ``assign``, ``access`` and ``hex``. Three weaker kinds (``ident``: account or key
-names, ``weak``: unlabelled mixed strings, ``endpoint``: addresses) say little alone. They are reported only where a
-complementary part lies in the same scope (text between blank lines) at most ``reach`` characters away. The parts of one
-document never leave its row: spans of a kind are in order, so the interval join finds the neighbours of a part by binary
-search in the arrays, without a shuffle and without pairs.
+names, ``weak``: unlabelled mixed strings, ``endpoint``: addresses) say little alone. They are reported only where their
+complement lies in the same scope (text between blank lines) at most ``reach`` characters away: an ``ident`` beside a secret
+part (``assign``, ``hex``, ``weak``), a ``weak`` string beside an access identifier (``access``, ``ident``), an ``endpoint``
+beside both. A ``weak`` string inside an address is part of the address and no candidate. The parts of one document never
+leave its row: spans of a kind are in order, so the interval join finds the neighbours of a part by binary search in the
+arrays, without a shuffle and without pairs.
+
+Whatever a lambda reads besides its element is bound to a lambda variable first (``_bound``): an expression or a column that
+the optimizer writes into a lambda would be computed again for each element.
 """
 
 from __future__ import annotations
@@ -26,56 +31,75 @@ KINDS = (*BASE, "ident", "weak", "endpoint")
 REACH = 200
 #: Shortest value of an assignment.
 VALUE = 12
-_CHUNK = 256
+_CHUNK = 64
+#: Characters of a block that redaction cuts its pieces from.
+_BLOCK = 1024
 _SPANS = "array<struct<start:int,end:int,scope:int>>"
 
 
-def _total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _bound(values: dict[str, Column], body) -> Column:
+    """``body`` of the values, each computed once."""
+    row = F.struct(*(v.alias(k) for k, v in values.items()))
+    return F.get(F.transform(F.array(row), lambda r: body(*(r[k] for k in values))), F.lit(0))
+
+
+def _folded(a: Column, start: int, step) -> Column:
+    return F.aggregate(a, F.lit(start), step)
+
+
+def _running(values: Column, start: int, step) -> Column:
+    """For each number the fold of those before it, by chunks: work n x chunk instead of n x n."""
+
+    def chunked(v: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int"))
+        return F.transform(places, lambda k: F.slice(v, k * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def spread(chunks: Column, folds: Column) -> Column:
+        def inside(chunk: Column, k: Column) -> Column:
+            first = _folded(F.slice(folds, F.lit(1), k), start, step)
+            return _bound({"c": chunk, "f": first}, lambda c, f: F.transform(
+                c, lambda _, j: F.aggregate(F.slice(c, F.lit(1), j), f, step)
+            ))
+
+        return F.flatten(F.transform(chunks, inside))
+
+    folds = lambda chunks: F.transform(chunks, lambda c: _folded(c, start, step))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(_bound({"v": values}, lambda v: _bound(
+        {"c": chunked(v)}, lambda c: _bound({"c": c, "f": folds(c)}, spread)
+    )))
 
 
 def _before(sizes: Column) -> Column:
-    """Exclusive running totals, by chunks: work n x chunk instead of n x n."""
-    n = F.size(sizes)
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / _CHUNK).cast("int")), lambda k: F.slice(sizes, k * _CHUNK + 1, F.lit(_CHUNK))
-    )
-    sums = F.transform(chunks, _total)
+    """Exclusive running totals."""
+    return _running(sizes, 0, lambda s, x: s + x)
 
-    def inside(chunk: Column, k: Column) -> Column:
-        base = _total(F.slice(sums, F.lit(1), k))
-        return F.transform(chunk, lambda _, j: base + _total(F.slice(chunk, F.lit(1), j)))
 
-    return F.flatten(F.transform(chunks, inside))
+def _spans_of(hits: Column, gaps: Column, good) -> Column:
+    """Spans of the matches from what lies between them, those that fail ``good`` left out."""
 
+    def spans(h: Column, g: Column, n: Column, b: Column) -> Column:
+        matches = F.transform(h, lambda x, i: F.struct(
+            (F.get(b, i) + F.get(g, i)).alias("start"), (F.get(b, i) + F.get(g, i) + F.get(n, i)).alias("end"), x.alias("hit")
+        ))
+        kept = F.filter(matches, lambda s: good(s["hit"])) if good else matches
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("scope")))
 
-def _spans_of(k: str, good) -> Column:
-    """Spans of the matches ``__h_k`` from what lies before them, those that fail ``good`` left out."""
-    before, gap, length = (F.col(f"__{x}_{k}") for x in "bgn")
-    matches = F.transform(f"__h_{k}", lambda x, i: F.struct(
-        (F.get(before, i) + F.get(gap, i)).alias("start"), (F.get(before, i) + F.get(gap, i) + F.get(length, i)).alias("end"), x.alias("hit")
-    ))
-    kept = F.filter(matches, lambda s: good(s["hit"])) if good else matches
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("scope")))
+    # Before match i lie the gaps up to i and the matches up to i - 1.
+    lengths = F.transform(hits, lambda x: F.length(x))
+    return _bound({"h": hits, "g": gaps, "n": lengths}, lambda h, g, n: _bound({
+        "h": h, "g": g, "n": n, "b": _before(F.zip_with(F.slice(g, F.lit(1), F.size(n)), n, lambda x, y: x + y))
+    }, spans))
 
 
 def _with_spans(df: DataFrame, found: dict[str, tuple[str, Column | None]]) -> DataFrame:
-    """A column of spans for each name: pattern and, where given, a condition on the matches (column ``hits``)."""
+    """A column of spans for each name: pattern and, where given, a condition on the matches."""
     empty = F.array().cast(_SPANS)
     df = df.withColumns({f"__h_{k}": F.regexp_extract_all("__text", F.lit(p), F.lit(0)) for k, (p, _) in found.items()})
+    gaps = {k: F.transform(F.split("__text", p, -1), lambda x: F.length(x)) for k, (p, _) in found.items()}
     df = df.withColumns({
-        f"__g_{k}": F.when(F.size(f"__h_{k}") > 0, F.transform(F.split("__text", p, -1), lambda x: F.length(x))) for k, (p, _) in found.items()
-    })
-    df = df.withColumns({
-        f"__n_{k}": F.when(F.size(f"__h_{k}") > 0, F.transform(f"__h_{k}", lambda x: F.length(x))) for k in found
+        k: F.when(F.size(f"__h_{k}") > 0, _spans_of(F.col(f"__h_{k}"), gaps[k], good)).otherwise(empty) for k, (_, good) in found.items()
     })
-    # Before match i lie the gaps up to i and the matches up to i - 1.
-    df = df.withColumns({
-        f"__b_{k}": F.when(F.size(f"__h_{k}") > 0, _before(F.zip_with(F.slice(f"__g_{k}", F.lit(1), F.size(f"__n_{k}")), f"__n_{k}", lambda a, b: a + b)))
-        for k in found
-    })
-    df = df.withColumns({k: F.when(F.size(f"__h_{k}") > 0, _spans_of(k, good)).otherwise(empty) for k, (_, good) in found.items()})
-    return df.drop(*(f"__{x}_{k}" for x in "hgnb" for k in found))
+    return df.drop(*(f"__h_{k}" for k in found))
 
 
 def _up_to(starts: Column, x: Column) -> Column:
@@ -86,39 +110,62 @@ def _up_to(starts: Column, x: Column) -> Column:
     ).otherwise(at))
 
 
-def _near(part: Column, others: str, reach: int) -> Column:
-    """Whether a span of ``others`` lies in the part's scope, at most ``reach`` characters from it and outside it.
+class _Spans:
+    """The spans of a kind and their starts, as lambda variables."""
 
-    Text is no complement of itself: a span that overlaps the part does not count. Spans of a kind do not overlap, so of
-    those before the part only the last two can be the nearest outside, and the first that starts at or after its end.
-    """
-    spans, starts = F.col(others), F.col(f"__s_{others}")
-    at = _up_to(starts, part["start"])
+    def __init__(self, spans: Column, starts: Column):
+        self.spans, self.starts = spans, starts
 
-    def close(o: Column) -> Column:
-        return F.coalesce(
-            (o["scope"] == part["scope"]) & (o["end"] + reach >= part["start"]) & (o["start"] <= part["end"] + reach)
-            & ((o["end"] <= part["start"]) | (o["start"] >= part["end"])), F.lit(False)
-        )
+    def near(self, part: Column, reach: int) -> Column:
+        """Whether a span lies in the part's scope, at most ``reach`` characters from it and outside it.
+
+        Text is no complement of itself: a span that overlaps the part does not count. Spans of a kind do not overlap, so of
+        those before the part only the last two can be the nearest outside, and the first that starts at or after its end.
+        """
 
-    after = _up_to(starts, part["end"] - 1)
-    return close(F.get(spans, at - 1)) | close(F.get(spans, at - 2)) | close(F.get(spans, after))
+        def close(o: Column) -> Column:
+            return F.coalesce(
+                (o["scope"] == part["scope"]) & (o["end"] + reach >= part["start"]) & (o["start"] <= part["end"] + reach)
+                & ((o["end"] <= part["start"]) | (o["start"] >= part["end"])), F.lit(False)
+            )
 
+        at, after = _up_to(self.starts, part["start"]), _up_to(self.starts, part["end"] - 1)
+        around = F.array(F.get(self.spans, at - 1), F.get(self.spans, at - 2), F.get(self.spans, after))
+        return F.exists(around, close)
 
-def _overlaps(part: Column, others: str) -> Column:
-    spans, starts = F.col(others), F.col(f"__s_{others}")
-    at = _up_to(starts, part["start"])
-    return F.coalesce(F.get(spans, at - 1)["end"] > part["start"], F.lit(False)) | F.coalesce(
-        F.get(spans, at)["start"] < part["end"], F.lit(False)
-    )
+    def overlaps(self, part: Column) -> Column:
+        at = _up_to(self.starts, part["start"])
+        return F.coalesce(F.get(self.spans, at - 1)["end"] > part["start"], F.lit(False)) | F.coalesce(
+            F.get(self.spans, at)["start"] < part["end"], F.lit(False)
+        )
 
 
 def _either(checks: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, checks)
 
 
-def _linked(k: str, others: tuple[str, ...], reach: int) -> Column:
-    return F.filter(k, lambda p: _either([_near(p, o, reach) for o in others]))
+def _kept(k: str, others: tuple[str, ...], keep) -> Column:
+    """The spans of ``k`` for which ``keep`` of the span and the other kinds' spans holds."""
+    values = {f"{x}_{o}": F.col(o) if x == "s" else F.transform(o, lambda s: s["start"]) for o in others for x in "sb"}
+
+    def body(own: Column, *given: Column) -> Column:
+        kinds = {o: _Spans(given[2 * n], given[2 * n + 1]) for n, o in enumerate(others)}
+        return F.filter(own, lambda p: keep(p, kinds))
+
+    return F.when(F.size(k) > 0, _bound({"own": F.col(k), **values}, body)).otherwise(F.col(k))
+
+
+def _linked(reach: int) -> dict[str, Column]:
+    """The weak parts whose complement co-occurs."""
+    identifiers, parts = ("access", "ident"), ("assign", "hex", "weak")
+
+    def beside(*groups: tuple[str, ...]):
+        return lambda p, kinds: reduce(lambda a, b: a & b, [_either([kinds[o].near(p, reach) for o in g]) for g in groups])
+
+    return {
+        "ident": _kept("ident", parts, beside(parts)), "weak": _kept("weak", identifiers, beside(identifiers)),
+        "endpoint": _kept("endpoint", identifiers + parts, beside(identifiers, parts)),
+    }
 
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
@@ -126,7 +173,9 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     Columns of these names are replaced. The base kinds hold leftmost non-overlapping matches, each kind by itself. A null
     text is an empty one and holds nothing. Rows are handled one by one, so repeated rows give repeated results; one very
-    long text costs its own row only. A linked weak part may overlap other weak parts, but no base span.
+    long text costs its own row only, in nearly linear time. A linked weak part may overlap other weak parts, but no base
+    span; a ``weak`` string that overlaps an address is dropped. Whether a part is linked does not depend on whether its
+    complements are linked themselves.
     """
     df = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     df = _with_spans(df, {
@@ -139,26 +188,19 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     })
     some_weak = F.size("ident") + F.size("weak") + F.size("endpoint") > 0
     # Scopes are numbered by the blank lines before them; a text without weak parts needs none.
-    df = df.withColumn("__part", F.when(some_weak, F.transform(F.split("__text", "\n[ \t\r]*\n", -1), lambda x: F.length(x))))
-    df = df.withColumn("__blank", F.when(some_weak, F.transform(
-        F.regexp_extract_all("__text", F.lit("\n[ \t\r]*\n"), F.lit(0)), lambda x: F.length(x)
-    )))
-    df = df.withColumn("__breaks", F.when(F.size("__blank") > 0, F.zip_with(
-        _before(F.zip_with(F.slice("__part", F.lit(1), F.size("__blank")), "__blank", lambda a, b: a + b)),
-        F.slice("__part", F.lit(1), F.size("__blank")), lambda a, b: a + b,
-    )).otherwise(F.array().cast("array<int>")))
-    df = df.withColumns({k: F.when(some_weak, F.transform(k, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), _up_to(F.col("__breaks"), s["start"]).alias("scope")
+    blank = "\n[ \t\r]*\n"
+    df = df.withColumn("__blank", F.when(some_weak, F.regexp_extract_all("__text", F.lit(blank), F.lit(0))))
+    between = F.transform(F.split("__text", blank, -1), lambda x: F.length(x))
+    breaks = _bound({"h": F.transform("__blank", lambda x: F.length(x)), "g": between}, lambda h, g: F.zip_with(
+        _before(F.zip_with(F.slice(g, F.lit(1), F.size(h)), h, lambda a, b: a + b)), F.slice(g, F.lit(1), F.size(h)), lambda a, b: a + b
+    ))
+    df = df.withColumn("__breaks", F.when(F.size("__blank") > 0, breaks).otherwise(F.array().cast("array<int>")))
+    df = df.withColumns({k: F.when(some_weak, _bound({"own": F.col(k), "at": F.col("__breaks")}, lambda own, at: F.transform(
+        own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _up_to(at, s["start"]).alias("scope"))
     ))).otherwise(F.col(k)) for k in KINDS})
-    df = df.withColumns({f"__s_{k}": F.transform(k, lambda s: s["start"]) for k in KINDS})
-    free = {k: F.filter(k, lambda p: ~_either([_overlaps(p, b) for b in BASE])) for k in KINDS[3:]}
-    df = df.withColumns({k: F.when(F.size(k) > 0, v).otherwise(F.col(k)) for k, v in free.items()})
-    df = df.withColumns({f"__s_{k}": F.transform(k, lambda s: s["start"]) for k in KINDS[3:]})
-    complements = {"ident": ("assign", "hex", "weak"), "weak": ("access", "ident", "endpoint"), "endpoint": ("assign", "hex", "weak")}
-    linked = {f"__l_{k}": F.when(F.size(k) > 0, _linked(k, others, reach)).otherwise(F.col(k)) for k, others in complements.items()}
-    df = df.withColumns(linked)
-    df = df.withColumns({k: F.col(f"__l_{k}") for k in complements})
-    return df.drop("__text", "__part", "__blank", "__breaks", *(f"__s_{k}" for k in KINDS), *linked)
+    free = lambda p, kinds: ~_either([o.overlaps(p) for o in kinds.values()])
+    df = df.withColumns({k: _kept(k, (*BASE, "endpoint") if k == "weak" else BASE, free) for k in KINDS[3:]})
+    return df.withColumns(_linked(reach)).drop("__text", "__blank", "__breaks")
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -180,29 +222,36 @@ def redacted(docs: DataFrame, mark: str = "[secret]", reach: int = REACH) -> Dat
     """
     found = scan(docs.withColumn("__row", F.struct("*")), reach)
     spans = F.array_sort(F.flatten(F.array(*(F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS))))
-    # What is left lies between the furthest end so far and the next start. The running state keeps a bounded tail: text
-    # pieces are cut out afterwards by their borders.
-    found = found.select("__row", spans.alias("__spans"))
-    merged = F.aggregate(
-        "__spans",
-        F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end")),
-        lambda a, s: F.when(a["start"] < 0, F.struct(a["done"].alias("done"), s["start"].alias("start"), s["end"].alias("end")))
-        .when(s["start"] <= a["end"], F.struct(a["done"].alias("done"), a["start"].alias("start"), F.greatest(a["end"], s["end"]).alias("end")))
-        .otherwise(F.struct(
-            F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))).alias("done"),
-            s["start"].alias("start"), s["end"].alias("end"),
-        )),
-        lambda a: F.concat(a["done"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end")))),
-    )
-    found = found.withColumn("__runs", F.when(F.size("__spans") > 0, merged)).withColumn("__t", F.col("__row.text"))
-    pieces = F.transform("__runs", lambda r, i: F.substring(
-        F.col("__t"), F.coalesce(F.get(F.col("__runs"), i - 1)["end"], F.lit(0)) + 1,
-        r["start"] - F.coalesce(F.get(F.col("__runs"), i - 1)["end"], F.lit(0)),
-    ))
-    tail = F.substring(F.col("__t"), F.element_at("__runs", -1)["end"] + 1, F.length("__t"))
-    text = F.when(F.col("__runs").isNull(), F.col("__t")).otherwise(F.concat(
-        F.array_join(F.transform(pieces, lambda p: F.concat(p, F.lit(mark))), ""), tail
-    ))
+    found = found.select("__row", spans.alias("__spans")).withColumn("__t", F.col("__row.text").cast("string"))
+    text = F.when(F.size("__spans") > 0, _without("__t", "__spans", mark)).otherwise(F.col("__t"))
     found = found.select("__row", text.alias("__new"))
     columns = [F.col("__new").alias(c) if c == "text" else F.length("__new").cast("long").alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in docs.columns]
     return found.select(columns)
+
+
+def _without(text: str, spans: str, mark: str) -> Column:
+    """The text with ``mark`` for each run of overlapping or adjoining spans; the spans are in order."""
+
+    def runs(s: Column, e: Column) -> Column:
+        # A run starts where a span starts after the furthest end before it; that end closes the run before.
+        with_ends = F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), F.get(e, i).alias("last")))
+        return F.filter(with_ends, lambda x: x["start"] > x["last"])
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        """Characters a to b, from the blocks that hold them."""
+        places = F.sequence(F.floor(a / _BLOCK).cast("int"), F.floor((b - 1) / _BLOCK).cast("int"))
+        parts = F.transform(places, lambda k: F.substring(
+            F.get(blocks, k), F.greatest(a - k * _BLOCK, F.lit(0)) + 1, F.least(b - k * _BLOCK, F.lit(_BLOCK)) - F.greatest(a - k * _BLOCK, F.lit(0))
+        ))
+        return F.when(b > a, F.array_join(parts, "")).otherwise(F.lit(""))
+
+    def joined(r: Column, blocks: Column, last: Column, size: Column) -> Column:
+        # Before a run lies what follows the end of the run before it, from 0 for the first.
+        before = F.transform(r, lambda x: cut(blocks, F.greatest(x["last"], F.lit(0)), x["start"]))
+        return F.concat(F.array_join(F.transform(before, lambda p: F.concat(p, F.lit(mark))), ""), cut(blocks, last, size))
+
+    ends = _running(F.transform(spans, lambda s: s["end"]), -1, lambda m, x: F.greatest(m, x))
+    return _bound({"s": F.col(spans), "e": ends}, lambda s, e: _bound({
+        "r": runs(s, e), "b": F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0)),
+        "last": F.array_max(F.transform(s, lambda x: x["end"])), "size": F.length(text),
+    }, joined))

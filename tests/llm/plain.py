@@ -21,6 +21,46 @@ def base_spans(text):
     return sorted(spans)
 
 
+IDENT = re.compile(r"""(?i:client_?id|access_?key(?:_?id)?|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.A)
+ENDPOINT = re.compile(r"""https?://[^ \t\n\x0b\f\r"'<>]{4,}|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}""", re.A)
+
+
+def linked_spans(text, reach=200):
+    """Spans by kind: base ones, and the weak ones beside their complements, every pair looked at."""
+    found = {kind: [] for kind in ("assign", "access", "hex")}
+    for start, k, end in base_spans(text):
+        found[("assign", "access", "hex")[k]].append((start, end))
+    base = [s for spans in found.values() for s in spans]
+    meet = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    free = lambda spans, others: [s for s in spans if not any(meet(s, o) for o in others)]
+    every = {"ident": [m.span() for m in IDENT.finditer(text)], "endpoint": [m.span() for m in ENDPOINT.finditer(text)]}
+    every["weak"] = [
+        m.span() for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text) if all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]"))
+    ]
+    every = {k: free(v, base + every["endpoint"] if k == "weak" else base) for k, v in every.items()}
+    breaks = [m.end() for m in re.finditer("\n[ \t\r]*\n", text)]
+    scope = lambda s: sum(b <= s[0] for b in breaks)
+
+    def near(a, others):
+        return any(scope(a) == scope(b) and not meet(a, b) and b[1] + reach >= a[0] and b[0] <= a[1] + reach for b in others)
+
+    identifiers, parts = found["access"] + every["ident"], found["assign"] + found["hex"] + every["weak"]
+    found["ident"] = [s for s in every["ident"] if near(s, parts)]
+    found["weak"] = [s for s in every["weak"] if near(s, identifiers)]
+    found["endpoint"] = [s for s in every["endpoint"] if near(s, identifiers) and near(s, parts)]
+    return found
+
+
+def masked(text, spans, mark="[secret]"):
+    out, at, held = [], 0, None
+    for start, end in sorted(spans):
+        if held is None or start > held:
+            out.append(text[at:start] + mark)
+            held = end
+        at = held = max(held, end)
+    return "".join(out) + text[at:]
+
+
 def secrets_row(text):
     spans = base_spans(text)
     kinds = ("assign", "access", "hex")

@@ -34,6 +34,8 @@ VALUE = 12
 _CHUNK = 64
 #: Characters of a block that redaction cuts its pieces from.
 _BLOCK = 1024
+#: Steps of a binary search in an array of any length, the widest first.
+_STEPS = f"array({', '.join(str(1 << k) for k in range(30, -1, -1))})"
 _SPANS = "array<struct<start:int,end:int,scope:int>>"
 
 
@@ -104,9 +106,8 @@ def _with_spans(df: DataFrame, found: dict[str, tuple[str, Column | None]]) -> D
 
 def _up_to(starts: Column, x: Column) -> Column:
     """How many of the ascending numbers are at most ``x``, by binary search."""
-    steps = F.array(*(F.lit(1 << k) for k in range(26, -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        (at + step <= F.size(starts)) & (F.get(starts, at + step - 1) <= x), at + step
+    return F.aggregate(F.expr(_STEPS), F.lit(0), lambda at, step: F.when(
+        (step <= F.size(starts) - at) & (F.get(starts, at + step - 1) <= x), at + step
     ).otherwise(at))
 
 
@@ -130,8 +131,8 @@ class _Spans:
             )
 
         at, after = _up_to(self.starts, part["start"]), _up_to(self.starts, part["end"] - 1)
-        around = F.array(F.get(self.spans, at - 1), F.get(self.spans, at - 2), F.get(self.spans, after))
-        return F.exists(around, close)
+        around = _bound({"at": at}, lambda x: F.array(F.get(self.spans, x - 1), F.get(self.spans, x - 2)))
+        return F.exists(around, close) | close(F.get(self.spans, after))
 
     def overlaps(self, part: Column) -> Column:
         at = _up_to(self.starts, part["start"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from itertools import chain
 
 import ahocorasick
@@ -29,6 +30,8 @@ PRE_TOKEN_ASCII = re.compile(
 
 #: Pre-tokens and pairs a worker remembers, and the longest pre-token that it remembers.
 KEPT, KEPT_CHARS, KEPT_PAIRS = 150_000, 48, 400_000
+#: Bytes of a pre-token from which on its matches and entries are kept in flat arrays, not listed.
+LONG = 4096
 
 
 def _byte_letters() -> dict[str, int]:
@@ -119,16 +122,15 @@ class Encoder:
         if whole is not None:
             return [self.id[whole]]
         n = len(data)
-        # By end in reversed order; of the entries that end at one place the longest is found first, so it is put last.
-        longest = dict(list(self.search.iter(data[::-1].decode("latin-1")))[::-1])
+        longest = self._longest(data[::-1].decode("latin-1"))
         length, shorter, stand = self.length, self.shorter, self.stand
-        dead: set[int] = set()
-        out: list[int] = []
+        dead = bytearray(n + 1)
+        out = [] if n < LONG else array("i")
         at, before, entry = 0, -1, longest[n - 1]
         while at < n:
             while entry >= 0:
                 end = at + length[entry]
-                if end not in dead and (before < 0 or stand(before, entry)):
+                if not dead[end] and (before < 0 or stand(before, entry)):
                     break
                 entry = shorter[entry]
             if entry >= 0:
@@ -136,12 +138,24 @@ class Encoder:
                 at, before = end, entry
                 entry = longest[n - 1 - at] if at < n else -1
             else:
-                dead.add(at)
+                dead[at] = 1
                 entry = out.pop()
                 at -= length[entry]
                 before = out[-1] if out else -1
         return [self.id[e] for e in out]
 
+    def _longest(self, backwards: str):
+        """The longest entry that starts at each place, by its last place in the reversed bytes."""
+        # Of the entries that end at one place the longest is found first.
+        found = self.search.iter(backwards)
+        if len(backwards) < LONG:
+            return dict(list(found)[::-1])
+        longest = array("i", [-1]) * len(backwards)
+        for end, entry in found:
+            if longest[end] < 0:
+                longest[end] = entry
+        return longest
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
         known = self.known.__getitem__

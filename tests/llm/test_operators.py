@@ -2,6 +2,7 @@
 
 import random
 import re
+import subprocess
 import sys
 import time
 from pathlib import Path
@@ -360,6 +361,25 @@ def test_bpe_on_hard_texts():
     assert decoder.decode([99, 10**6, -1]) == decoder.decode([99])
 
 
+def test_a_pre_token_of_many_megabytes_stays_within_memory():
+    code = (
+        "import resource, sys; from spanwise.llm import bpe; v = bpe.Vocabulary.read(sys.argv[1]); e = bpe.Encoder(v); d = bpe.Decoder(v)\n"
+        "text = '=' * 20_000_000; ids = e.encode(text); assert d.decode(ids) == text\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)"
+    )
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code, VOCABULARY], cwd=root, capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout.split()[-1]) < 1024
+
+
+def test_long_pre_tokens_match_library():
+    library = Tokenizer.from_file(VOCABULARY)
+    encoder = bpe.Encoder(bpe.Vocabulary.read(VOCABULARY))
+    chance = random.Random(19)
+    for text in ["=" * 50_001, "".join(chance.choice("abeinrst") for _ in range(30_000)), "".join(chance.choice("=-*é") for _ in range(20_000))]:
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_edges(spark, odd, none):
     assert all(r.decoded == (r.text or "") for r in bpe.tokenized(odd, VOCABULARY).collect())
     assert bpe.tokenized(none, VOCABULARY).count() == 0

@@ -133,7 +133,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_passage_dedup")
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, paragraphs and whole texts as units too; the query above has the grains of its SQL counterpart."""
+    """Whole texts as units too."""
     return substrings.repeated_units(table(spark, sf_dir, "documents"), grains=substrings.GRAINS + substrings.WHOLES)
 
 
@@ -203,18 +203,38 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLES["op9_substring_dedup"] = r"""
+#: White space, stops, marks inside sentences and letters of scripts without spaces, as character classes.
+BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+STOP, MARK = ".!?。！？．｡", ",;:，、；：､"
+DENSE = (
+    r"\x{e00}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
+    r"\x{f900}-\x{faff}\x{ff66}-\x{ff9f}\x{20000}-\x{3ffff}"
+)
+PARAGRAPH = rf"(?s).+?(?:\n[ \t\r]*\n[{BLANK}]*|$)"
+
+
+def _cut_sql(grain: int, pattern: str) -> str:
+    return f"SELECT doc_id, {grain} AS grain, regexp_extract_all(text, '{pattern}') AS l FROM documents WHERE text IS NOT NULL"
+
+
+def _until(marks: str) -> str:
+    return f"[^{marks}]*[{marks}]+|[^{marks}]+$"
+
+
+ORACLES["op9_substring_dedup"] = rf"""
 WITH u AS (
   SELECT doc_id, grain, unnest(l) AS unit, generate_subscripts(l, 1) AS i FROM (
-    SELECT doc_id, 1 AS grain, regexp_extract_all(text, '[^\n.!?]*[\n.!?]+|[^\n.!?]+$') AS l FROM documents WHERE text IS NOT NULL
-    UNION ALL SELECT doc_id, 2, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+$') FROM documents WHERE text IS NOT NULL
-    UNION ALL SELECT doc_id, 3, regexp_extract_all(text, '[^\n.!?,;:]*[\n.!?,;:]+|[^\n.!?,;:]+$') FROM documents WHERE text IS NOT NULL)
+    {_cut_sql(1, _until(r"\n"))}
+    UNION ALL {_cut_sql(2, PARAGRAPH)}
+    UNION ALL {_cut_sql(3, _until(r"\n" + STOP))}
+    UNION ALL {_cut_sql(4, _until(STOP))}
+    UNION ALL {_cut_sql(5, _until(r"\n" + STOP + MARK))})
 ), o AS (
   SELECT doc_id, grain, unit, CAST(sum(length(unit)) OVER (PARTITION BY doc_id, grain ORDER BY i) AS INTEGER) AS "end",
-    trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM u
+    trim(regexp_replace(lower(unit), '[{BLANK}]+', ' ', 'g')) AS norm FROM u
 ), g AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, norm, "end" - length(regexp_replace(unit, '^\s+', '')) ORDER BY grain) AS nth
-  FROM o WHERE len(string_split(norm, ' ')) >= 6
+  SELECT *, row_number() OVER (PARTITION BY doc_id, norm, "end" - length(regexp_replace(unit, '^[{BLANK}]+', '')) ORDER BY grain) AS nth
+  FROM o WHERE len(string_split(norm, ' ')) >= 6 OR length(regexp_replace(unit, '[^{DENSE}]+', '', 'g')) >= 20
 ), k AS (SELECT doc_id, CAST("end" - length(unit) AS INTEGER) AS start, "end", norm FROM g WHERE nth = 1),
 r AS (
   SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM k

@@ -12,21 +12,22 @@ from pyspark.sql import functions as F
 
 from spanwise.session import materialize
 
-#: Units of three grains, each tiling the text: sentences cut at line ends, sentences across lines, clauses. A passage pasted
-#: into running text is cut off in the middle of a sentence at both ends, and lines may be broken anew; finer grains reach
-#: what the first one cannot.
-GRAINS = (
+#: Whole lines, and paragraphs between blank lines, each tiling the text. They hold short sentences, lists and shouted text,
+#: none of whose sentences has words enough by itself.
+LINES = (
+    re.compile(r"[^\n]*\n+|[^\n]+\Z"),
+    re.compile(r".+?(?:\n[ \t\r]*\n\s*|\Z)", re.S),
+)
+#: Finer units: sentences cut at line ends, sentences across lines, clauses. A passage pasted into running text is cut off in
+#: the middle of a sentence at both ends, and lines may be broken anew; these reach what lines cannot.
+PIECES = (
     re.compile(r"[^\n.!?。！？．｡]*[\n.!?。！？．｡]+|[^\n.!?。！？．｡]+\Z"),
     re.compile(r"[^.!?。！？．｡]*[.!?。！？．｡]+|[^.!?。！？．｡]+\Z"),
     re.compile(r"[^\n.!?。！？．｡,;:，、；：､]*[\n.!?。！？．｡,;:，、；：､]+|[^\n.!?。！？．｡,;:，、；：､]+\Z"),
 )
-#: Units that no stop cuts: lines, paragraphs between blank lines, whole texts. They hold short sentences, lists and shouted
-#: text, none of whose sentences has words enough by itself.
-WHOLES = (
-    re.compile(r"[^\n]*\n+|[^\n]+\Z"),
-    re.compile(r".+?(?:\n[ \t\r]*\n\s*|\Z)", re.S),
-    re.compile(r".+", re.S),
-)
+GRAINS = LINES + PIECES
+#: Texts without any cut.
+WHOLES = (re.compile(r".+", re.S),)
 #: Units of fewer words are common speech, not copied passages.
 MIN_WORDS = 6
 #: Scripts without spaces have no such words; so many of their letters make a unit too.
@@ -64,9 +65,9 @@ def _units(min_words: int, grains: tuple[re.Pattern, ...]):
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, grains: tuple[re.Pattern, ...] = GRAINS) -> DataFrame:
     """Units to remove: ``doc_id``, ``start``, ``end`` (code points of the original), ``kept_doc_id``, ``kept_start``.
 
-    A unit is a sentence, within a line or across lines, or a clause (see ``GRAINS``); with ``WHOLES`` among the grains also a
-    line, a paragraph or a text. Reported spans may hold one another; a unit is compared lower-cased, white space aside. Of equal units the one of the smallest doc_id stays, within a document the first; documents without an
-    id come last. Null and empty texts, and
+    A unit is a line, a paragraph, a sentence, within a line or across lines, or a clause (see ``GRAINS``); with ``WHOLES``
+    among the grains also a text. Reported spans may hold one another; a unit is compared lower-cased, white space aside. Of
+    equal units the one of the smallest doc_id stays, within a document the first; documents without an id come last. Null and empty texts, and
     texts of fewer than six words and fewer than 20 letters of a script without spaces, have no units. Rows that repeat an id count as one document: equal units at equal
     offsets in them are one occurrence. Digests have 128 bits. Grouping counts before it shuffles, and the join back is on
     digests that occur more than once, so one very common unit is spread by adaptive skew handling.

@@ -1,5 +1,6 @@
 """Each training-data operator against a plain version, and its edge cases."""
 
+import pickle
 import random
 import re
 import subprocess
@@ -7,6 +8,7 @@ import sys
 import time
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -571,3 +573,28 @@ def test_pipeline_keeps_what_a_plain_version_keeps(spark):
     untouched = {r.doc_id for r in secrets.redacted(clean).collect() if r.text == kept[r.doc_id]}
     for d in want & untouched:
         assert left[d].n_tokens == len(library.encode(kept[d] or "", add_special_tokens=False).ids)
+
+
+def split_words(text):
+    return decontaminate.fold(text.encode()).split()
+
+
+def test_pattern_tables_are_flat():
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    words = [letters[rng.integers(0, 26, k)].tobytes().decode() for k in rng.integers(3, 9, 40_000)]
+    items = [(str(k), " ".join(words[j] for j in rng.integers(0, len(words), 200))) for k in range(800)]
+    items += [("again", items[3][1]), (None, "only here and nowhere else"), ("one", "single"), ("none", None)]
+    known = decontaminate.patterns(items)
+    size = sum(len(text or "") for _, text in items)
+    assert len(pickle.dumps(known, protocol=5)) < 16 * size
+    ours, owners, spans = split_words("x y " + items[3][1] + " z only here and nowhere else single"), set(), []
+    for table in known.tables:
+        table.search(known.text, ours, 0, spans, owners)
+    assert {known.names[k] for k in owners} == {"3", "again", "one"}
+    assert sorted(spans) == [(2, 202), (203, 208), (208, 209)]
+    long = [("long", " ".join(f"w{k}" for k in range(600)))]
+    wide = decontaminate.patterns(long, 400)
+    spans = []
+    wide.tables[0].search(wide.text, split_words("a " * 700 + long[0][1] + " b"), 0, spans, set())
+    assert spans == [(700, 1300)]

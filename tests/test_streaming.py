@@ -199,6 +199,55 @@ def test_slices_of_streams_equal_tables(spark, tmp_path):
         sl.interval_slices(*tables, "at_us", "lo_us", "hi_us", 5_500_000, on=["s"]).collect()
 
 
+def slice_rows(points, spells):
+    return ([("points", at, s, k, None, None) for k, s, at in points]
+            + [("intervals", lo, s, None, k, hi) for k, s, lo, hi in spells])
+
+
+def test_closed_slices_equal_tables(spark, tmp_path):
+    """Points and intervals of three services in four batches, each replayed; some rows twice, some without service."""
+    chance, names = random.Random(5), ["s", "t", None]
+    points = [(k, chance.choice(names), chance.randrange(1000)) for k in range(300)]
+    spells = [(k, chance.choice([*names, "gone"]), lo, lo + chance.randrange(90)) for k, lo in enumerate(chance.choices(range(1000), k=120))]
+    points, spells = points + points[:9], spells + spells[:5] + [(200, "s", 500, None)]
+    loop = sl.ClosedSlices(f"{tmp_path}/loop", ["point"], ["spell"], "hi_us", 100, 20, ["s"], 3)
+    schema = "source string, at_us long, s string, point long, spell long, hi_us long"
+    rows = slice_rows(points, spells)
+    for batch, low in enumerate(range(0, 1000, 250)):
+        part = [r for r in rows if low <= r[1] < low + 250]
+        for _ in range(2):
+            loop.run(spark.createDataFrame(part, schema), batch)
+        held = ba.stored(spark, loop.folder, "held", schema, [batch]).agg(F.min("at_us")).first()[0]
+        assert held >= low + 250 - 150  # of what has passed, only what may still be needed
+    loop.finish(spark, spark.createDataFrame([], schema).schema)
+    want = []
+    for k, s, lo, hi in spells:
+        inside = [p for p, t, at in points if s is not None and s == t and hi is not None and lo <= at <= hi]
+        want += [(k, s, p) for p in inside or [None]]
+    got = [(r.spell, r.s, r.point) for r in ba.results(spark, loop.folder).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    late = [("points", 10, "s", 999, None, None), ("intervals", 990, "s", None, 998, 1200)]
+    with pytest.raises(Exception, match="longer than"):
+        sl.ClosedSlices(f"{tmp_path}/other", ["point"], ["spell"], "hi_us", 100, 20, ["s"]).run(spark.createDataFrame(late, schema), 0)
+
+
+def test_a_point_meets_only_the_intervals_of_its_cell(spark, tmp_path):
+    """Of a day with 4,000 points and 4,000 short intervals the join looks at pairs in cells, not at all of the day."""
+    day = 86_400
+    points = spark.range(4000).select(F.lit("points").alias("source"), (F.col("id") * 20).alias("at_us"), F.col("id").alias("point"))
+    spells = spark.range(4000).select(F.lit("intervals").alias("source"), (F.col("id") * 20 + 5).alias("at_us"), F.col("id").alias("spell"),
+                                      (F.col("id") * 20 + 25).alias("hi_us"))
+    loop = sl.ClosedSlices(f"{tmp_path}/loop", ["point"], ["spell"], "hi_us", day, 100)
+    rows = points.unionByName(spells, allowMissingColumns=True)
+    near = loop._pairs(rows.where("source = 'points'"), rows.where("source = 'intervals'"))
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "_cell" in join and "_piece" in join
+    loop.finish(spark, rows.schema)
+    loop.run(rows, 1, True)
+    assert ba.results(spark, loop.folder).where("point = spell + 1").count() == 3999
+
+
 @pytest.mark.parametrize("size", [9, 40])
 def test_loop_equals_batch(spark, tmp_path, size):
     """Windows are cut by batches, traces too; late batches may still add to a window that is open."""

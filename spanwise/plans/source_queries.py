@@ -131,15 +131,15 @@ def snapshot_append(spark, sf_dir):
   CASE WHEN s_suppkey % 4 = 0 THEN -1 - s_suppkey ELSE s_suppkey END AS seq, s_suppkey % 7 AS replicas,
   s_name AS owner FROM supplier""")
 def versioned_configs(spark, sf_dir):
-    """Suppliers as configuration files in a folder per service and version."""
+    """Suppliers as versions of configuration files in a folder per service."""
     folder = scratch_path(spark, "config-files")
     key = F.col("s_suppkey")
     text = F.concat(F.lit("kind: Deployment\nmetadata:\n  name: "), F.col("s_name").cast("string"),
                     F.lit("\nspec:\n  replicas: "), (key % 7).cast("string"))
     seq = F.when(key % 4 == 0, -1 - key).otherwise(key)
     files = b.table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("srv-"), F.col("s_nationkey").cast("string")).alias("service"), seq.alias("seq"), text.alias("v"))
-    files.repartition("service").write.partitionBy("service", "seq").text(folder)
+        F.concat(F.lit("srv-"), F.col("s_nationkey").cast("string")).alias("service"), seq.alias("seq"), text.alias("text"))
+    configs.write_configs(files, folder)
     docs = configs.read_configs(spark, folder, glob="*.txt")
     return docs.select("service", "seq", F.try_variant_get("doc", "$.spec.replicas", "bigint").alias("replicas"),
                        F.try_variant_get("doc", "$.metadata.name", "string").alias("owner"))

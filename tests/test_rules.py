@@ -385,3 +385,16 @@ def test_config_files(spark, tmp_path):
 def test_missing_snapshots_are_an_error(spark, tmp_path):
     with pytest.raises(Exception):
         src_snapshots.read_snapshots(spark, f"{tmp_path}/none.json").count()
+
+
+def test_many_versions_take_few_files(spark, tmp_path):
+    rows = [(f"s{k % 3}", k - 5, f"kind: A\nsize: {k}\n---\nsize: -1") for k in range(600)]
+    rows += [("s0", 1000, "kind: A"), ("s0", 1000, "size: 7"), ("s7", None, "size: 8"), (None, 3, "size: 9"), ("s2", 2000, None), ("s2", 2001, "a: [")]
+    src_configs.write_configs(spark.createDataFrame(rows, "service string, seq long, text string"), f"{tmp_path}/c")
+    assert len(list(tmp_path.glob("c/*/*.txt"))) < 60
+    size = F.try_variant_get("doc", "$.size", "int")
+    got = [(r.service, r.seq, r.size) for r in src_configs.read_configs(spark, f"{tmp_path}/c", "*.txt").select(
+        "service", "seq", size.alias("size")).collect()]
+    want = [(f"s{k % 3}", k - 5, k) for k in range(600)]
+    want += [("s0", 1000, 7), ("s7", -1, 8), ("__HIVE_DEFAULT_PARTITION__", 3, 9), ("s2", 2000, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

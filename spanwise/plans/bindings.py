@@ -247,9 +247,10 @@ node_use AS (SELECT snapshot_no, node, sum(v) AS v FROM pods GROUP BY 1, 2)"""
 def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as configuration versions of their brand; Service, Deployment and ConfigMap take turns.
 
-    Every fifth version has no application time.
+    Every fifth version has no application time. A part is a few bytes and its document costs a hundred times that to build
+    and read, so rows are dealt over as many tasks as a shuffle has, whatever the size of the file.
     """
-    part = table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     size = F.col("p_size").cast("string")
     note = "autoscaling.knative.dev/"
     notes = F.create_map(

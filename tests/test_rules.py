@@ -14,6 +14,7 @@ from spanwise.operators import islands as isl
 from spanwise.operators import joins, metrics, ordered, prompts, risk
 from spanwise.operators import traces as tr
 from spanwise.operators.quantiles import quantiles, tail_mean
+from spanwise.plans import bindings
 from spanwise.functions.buckets import chunk, log_bucket
 from spanwise.sources import configs as src_configs
 from spanwise.sources import metrics as src_metrics
@@ -398,3 +399,11 @@ def test_many_versions_take_few_files(spark, tmp_path):
     want = [(f"s{k % 3}", k - 5, k) for k in range(600)]
     want += [("s0", 1000, 7), ("s7", -1, 8), ("__HIVE_DEFAULT_PARTITION__", 3, 9), ("s2", 2000, None)]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_documents_of_a_small_file_are_dealt_over_all_tasks(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"),
+                            (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    docs = cf.with_params(bindings.config_docs(spark, str(tmp_path)))
+    tasks = docs.groupBy(F.spark_partition_id()).agg(F.sum(F.size("params"))).count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))

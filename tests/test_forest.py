@@ -1,5 +1,7 @@
 """Properties of the forests and of the contributions."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -113,3 +115,25 @@ def test_rows_without_key_stay_on_both_paths(spark):
     key = lambda r: r.trace_id
     a, b = (sorted(m.score(rows).collect(), key=key) for m in (near, far))
     assert [(r.trace_id, repr(r.score)) for r in a] == [(r.trace_id, repr(r.score)) for r in b] and len(a) == 300
+
+
+def test_walk_of_many_rows_is_plain_and_small():
+    """Depths equal a walk node by node, and the walk of a batch does not hold arrays of rows by trees."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 50, (20_000, 4)).astype(float)
+    x[7, 1] = np.nan
+    samples = np.stack([rng.choice(np.arange(8, len(x)), 256, replace=False) for _ in range(60)])
+    trees = fo.Trees(fo.grow_trees(x, samples, rng))
+    tracemalloc.start()
+    got = trees.mean_depth(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6_000_000  # 20,000 rows by 60 trees are 9.6 MB for each array of longs
+    for i in (0, 7, 511, 512, 19_999):
+        depths = []
+        for t in range(trees.count):
+            at = 0
+            while (f := trees.feature[t, at]) >= 0:
+                at = trees.lower[t, at] if x[i, f] <= trees.cut[t, at] else trees.upper[t, at]
+            depths.append(trees.path[t, at])
+        assert got[i] == np.mean(depths)

@@ -248,6 +248,35 @@ def test_a_point_meets_only_the_intervals_of_its_cell(spark, tmp_path):
     assert ba.results(spark, loop.folder).where("point = spell + 1").count() == 3999
 
 
+def test_pairs_of_slices_are_not_stored(spark, tmp_path):
+    """300 points inside 300 intervals: 90,000 pairs are given out, and a batch writes no more rows than came."""
+    chance = random.Random(8)
+    points = [(k, "s" if k < 300 else chance.choice(["t", None]), 500 + k % 40) for k in range(340)]
+    spells = [(k, "s", 400 + k % 90, 560 + k % 7) for k in range(300)]
+    spells += [(300 + k, chance.choice(["t", "gone", None]), lo, lo + chance.randrange(-2, 60)) for k, lo in enumerate(chance.choices(range(450, 600), k=60))]
+    spells += spells[-5:] + [(400, "t", 500, None)]
+    schema = "source string, at_us long, s string, point long, spell long, hi_us long"
+    rows = slice_rows(points, spells)
+    loop = sl.LandedSlices(f"{tmp_path}/loop", ["point"], ["spell"], "hi_us", 200, 20, ["s"], 3)
+    parts = [[r for r in rows if low <= r[1] < low + 80] for low in range(400, 640, 80)]
+    for batch, part in enumerate(parts):
+        for _ in range(2):
+            loop.run(spark.createDataFrame(part, schema), batch)
+        if batch == 1:
+            late = [("points", 380, "s", 999, None, None)]
+            parts[2] += late
+    loop.finish(spark, spark.createDataFrame([], schema).schema)
+    want = []
+    for k, s, lo, hi in spells:
+        inside = [p for p, t, at in points if s is not None and s == t and hi is not None and lo <= at <= hi]
+        want += [(k, s, p) for p in inside or [None]]
+    got = [(r.spell, r.s, r.point) for r in loop.slices(spark).collect()]
+    assert len(got) > 90_000 and sorted(got, key=repr) == sorted(want, key=repr)
+    stored = sum(spark.read.parquet(ba.numbered_path(loop.folder, kind, k)).count() for kind in ("out", "landed", "held")
+                 for k in ba.written(spark, loop.folder, kind))
+    assert stored <= 2 * len(rows)
+
+
 @pytest.mark.parametrize("size", [9, 40])
 def test_loop_equals_batch(spark, tmp_path, size):
     """Windows are cut by batches, traces too; late batches may still add to a window that is open."""

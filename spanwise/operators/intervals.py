@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwise.functions.buckets import chunk
 from spanwise.operators.joins import interval_totals
-from spanwise.operators.ordered import numbered_by_range, same_keys
+from spanwise.operators.ordered import BEFORE, numbered_by_range, ranged, same_keys
 from spanwise.session import materialize
 
 #: Children of a node of ranks.
 FAN = 8
+#: Runs of equal size that all values are cut into, in their order.
+RUNS = 32
+#: Interval ends whose totals a task holds at a time, and questions that meet a run's points in one task.
+ENDS, ASKS = 2048, 250_000
 
 
 def group_totals(
@@ -84,3 +90,182 @@ def interval_quantiles(
     result = F.col("__lowv") + (F.col("__highv") - F.col("__lowv")) * F.col("_part")
     return out.withColumn(name, result).drop("__lowv", "__highv", "_low", "_high", "_part")
 
+
+def slot_totals(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, ones: Sequence[str], slots: int,
+                adds: Sequence[str] = (), value: str | None = None, sums: int = 0) -> DataFrame:
+    """Counts and sums of many small groups inside each of the distinct intervals ``spans``, as arrays, both ends included.
+
+    A point names the slots it counts in (``ones``, below ``slots``) and those its ``value`` is added to (``adds``, below
+    ``sums``); null is none. Points and interval ends lie in one line of time, cut by ranges. A task counts from the start
+    of its range, a row a range tells what lies before it, and an interval is the difference of its two ends: one row of
+    small numbers an end, however many groups and overlaps there are. Sum integers. Added are ``_n``, ``_v`` of each end
+    (``_low``, ``_high``), to be subtracted by ``inside``.
+    """
+    kept = [*ones, *adds] if value is None else [*ones, *adds, value]
+    names = {c: f"_p{k}" for k, c in enumerate(kept)}
+    line = points.where(F.col(t).isNotNull()).select(F.col(t).cast("long").alias("_t"), F.lit(1).alias("_kind"), *[F.col(c).alias(n) for c, n in names.items()])
+    ends = spans.select(F.col(lo).alias("_a"), F.col(hi).alias("_b"), F.explode(F.array(
+        F.struct(F.col(lo).cast("long").alias("_t"), F.lit(0).alias("_kind")), F.struct(F.col(hi).cast("long").alias("_t"), F.lit(2).alias("_kind")))).alias("_e"))
+    line = line.unionByName(ends.select("_a", "_b", "_e.*"), allowMissingColumns=True)
+    tie = F.xxhash64(*names.values(), "_a", "_b")
+    stored, ranks = ranged(line, [], [F.col("_t"), F.col("_kind"), tie])
+    own, added, v = [names[c] for c in ones], [names[c] for c in adds], None if value is None else names[value]
+
+    def totals(cols: list[str], measure) -> DataFrame:
+        spread = stored.where("_kind = 1").select("_part", F.explode(F.array(*cols)).alias("_slot"), *([v] if v else []))
+        return spread.where("_slot IS NOT NULL").groupBy("_part", "_slot").agg(measure.alias("_x"))
+
+    tables = [totals(own, F.count(F.lit(1))).withColumn("_sum", F.lit(False))]
+    if added:
+        tables.append(totals(added, F.coalesce(F.sum(v), F.lit(0).cast("long"))).withColumn("_sum", F.lit(True)))
+    per = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    parts = stored.select("_part").distinct()
+    # One row a range and slot: what earlier ranges hold, also for ranges without such a point.
+    groups = parts.crossJoin(per.select("_slot", "_sum").distinct()).join(per, ["_part", "_slot", "_sum"], "left")
+    before = F.coalesce(F.sum("_x").over(Window.partitionBy("_slot", "_sum").orderBy("_part").rowsBetween(*BEFORE)), F.lit(0))
+    start = groups.select("_part", F.struct("_slot", "_sum", before.alias("_x")).alias("_s")).groupBy("_part").agg(F.collect_list("_s").alias("_s"))
+
+    def array_of(sum_: bool, n: int):
+        held = F.map_from_entries(F.transform(F.filter("_s", lambda s: s["_sum"] == sum_), lambda s: F.struct(s["_slot"], s["_x"])))
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at(held, k), F.lit(0).cast("long"))) if n else F.array().cast("array<long>")
+
+    start = materialize(parts.join(start, "_part", "left").withColumn("_s", F.coalesce("_s", F.array().cast(start.schema["_s"].dataType))).select(
+        "_part", array_of(False, slots).alias("_n0"), array_of(True, sums).alias("_v0")), "starts")
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(ranks, kind="stable", ignore_index=True)
+        is_end = (rows["_kind"] != 1).to_numpy()
+        at = np.flatnonzero(is_end)
+        seen = np.cumsum(is_end)
+        n, s = np.zeros(slots, dtype=np.int64), np.zeros(sums, dtype=np.int64)
+        counts, totals_ = [], []
+        amounts = rows[v].fillna(0).to_numpy().astype(np.int64) if v else None
+        first = 0
+        for k in range(0, len(at), ENDS):
+            some = at[k:k + ENDS]
+            here = slice(first, some[-1] + 1)
+            first = some[-1] + 1
+
+            def grown(cols, width, weights):
+                out = np.zeros((len(some) + 1, width), dtype=np.int64)
+                for c in cols:
+                    slot = rows[c].to_numpy()[here]
+                    known = ~pd.isna(slot) & ~is_end[here]
+                    np.add.at(out, (seen[here][known] - k, slot[known].astype(np.int64)), 1 if weights is None else weights[here][known])
+                return np.cumsum(out[:-1], axis=0)
+
+            grew = grown(own, slots, None) + n
+            n = grew[-1]
+            counts.extend(grew)
+            grew = grown(added, sums, amounts) + s
+            s = grew[-1]
+            totals_.extend(grew)
+        found = rows.loc[at, ["_a", "_b", "_kind", "_part"]].reset_index(drop=True)
+        return found.assign(_n=pd.Series(counts, dtype=object), _v=pd.Series(totals_, dtype=object))
+
+    at_ends = stored.groupBy("_part").applyInPandas(counted, "_a long, _b long, _kind int, _part int, _n array<int>, _v array<long>")
+    at_ends = at_ends.join(F.broadcast(start), "_part")
+    low, high = (at_ends.where(f"_kind = {k}").select(
+        F.col("_a").alias(lo), F.col("_b").alias(hi), *[F.col(c).alias(f"{c}_{side}") for c in ("_n", "_n0", "_v", "_v0")])
+        for k, side in ((0, "low"), (2, "high")))
+    return low.join(high, [lo, hi])
+
+
+#: Columns of ``slot_totals`` for one kind of number.
+def sides(kind: str) -> list[str]:
+    return [f"{c}_{side}" for side in ("low", "high") for c in (kind, f"{kind}0")]
+
+
+def inside(rows: pd.DataFrame, kind: str, backwards: np.ndarray) -> np.ndarray:
+    """Numbers inside each interval, a row each, from both ends; zeros for an interval that ends before it starts."""
+    low, low0, high, high0 = (np.stack(rows[c].to_numpy()).astype(np.int64) for c in sides(kind))
+    out = high + high0 - low - low0
+    out[backwards] = 0
+    return out
+
+
+def smallest(t: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place, in the order of values, of the k-th smallest (from 0) of the points with lo <= t <= hi, for each question.
+
+    Points come in the order of ``t``; ``order`` are their places by value. Bit by bit from the top, points are parted by
+    the bit and each question follows its rank, all questions at once.
+    """
+    i, j, k = np.searchsorted(t, lo, "left"), np.searchsorted(t, hi, "right"), k.copy()
+    found, line = np.zeros(len(k), dtype=np.int64), order
+    for bit in reversed(range(max(1, int(len(t)).bit_length()))):
+        one = (line >> bit) & 1
+        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        zi, zj = zeros[i], zeros[j]
+        up = k >= zj - zi
+        k = np.where(up, k - (zj - zi), k)
+        found |= up.astype(np.int64) << bit
+        i, j = np.where(up, zeros[-1] + i - zi, zi), np.where(up, zeros[-1] + j - zj, zj)
+        line = np.concatenate([line[one == 0], line[one == 1]])
+    return found
+
+
+def group_quantiles(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, code: str, codes: int, value: str, prob: float,
+                    runs: int = RUNS, asks: int = ASKS) -> DataFrame:
+    """Linearly interpolated quantiles inside each of the distinct intervals ``spans``, as the array ``_q``.
+
+    ``code`` numbers the groups of points; the array has the quantile of each, and last that of all points, null where there
+    are none. All values are numbered in their order and cut into ``runs`` runs of equal size. Counts of points by group and
+    run inside an interval (``slot_totals``) tell the run of a rank; the run's points then meet its questions, at most
+    ``asks`` of them in a task. A point is written a few times and an interval a few times for each group, however much
+    intervals overlap.
+    """
+    known = points.where(F.col(value).isNotNull()).select(F.col(t).cast("long").alias("_t"), F.col(code).cast("int").alias("_code"), F.col(value).cast("double").alias("_x"))
+    rank = numbered_by_range(known.where("_t IS NOT NULL"), [], [F.col("_x"), F.col("_t"), F.col("_code")], "_rank")
+    ranked = materialize(rank.withColumn("_rank", F.col("_rank") - 1), "ranked")
+    size = -(-max(1, ranked.agg(F.max("_rank")).first()[0] or 0) // runs) + 1
+    ranked = ranked.withColumn("_run", F.floor(F.col("_rank") / size).cast("int"))
+    counts = slot_totals(ranked.withColumn("_slot", F.col("_code") * runs + F.col("_run")), spans, "_t", lo, hi, ["_slot"], codes * runs)
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if rows.empty:
+                continue
+            a, b = rows[lo].to_numpy(), rows[hi].to_numpy()
+            n = inside(rows, "_n", b < a).reshape(len(rows), codes, runs)
+            n = np.concatenate([n, n.sum(axis=1, keepdims=True)], axis=1)
+            upto = np.cumsum(n, axis=2)
+            total = upto[:, :, -1]
+            at = (total - 1) * prob
+            low = np.floor(at).astype(np.int64)
+            for side, want in ((0, low), (1, np.minimum(low + 1, total - 1))):
+                who, which = np.nonzero(total > 0)
+                want_, cum = want[who, which], upto[who, which]
+                run = (cum <= want_[:, None]).sum(axis=1)
+                left = want_ - np.where(run > 0, cum[np.arange(len(run)), np.maximum(run - 1, 0)], 0)
+                yield pd.DataFrame({"_a": a[who], "_b": b[who], "_code": which.astype(np.int32), "_side": np.int32(side), "_run": run.astype(np.int32),
+                                    "_left": left, "_share": (at - low)[who, which]})
+
+    schema = "_a long, _b long, _code int, _side int, _run int, _left long, _share double"
+    questions = materialize(counts.select(lo, hi, *sides("_n")).mapInPandas(asked, schema), "questions")
+    deals = questions.groupBy("_run").agg(F.ceil(F.count(F.lit(1)) / asks).cast("int").alias("_deals"))
+    dealt = questions.join(F.broadcast(deals), "_run").withColumn("_deal", F.pmod(F.xxhash64("_a", "_b"), F.col("_deals")).cast("int"))
+    copies = ranked.join(F.broadcast(deals), "_run").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)))
+
+    def answered(theirs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        theirs = theirs.sort_values("_t", kind="stable")
+        value_of = np.full(len(rows), np.nan)
+        for c in rows["_code"].unique():
+            mine = theirs if c == codes else theirs[theirs["_code"] == c]
+            place = np.argsort(mine["_rank"].to_numpy(), kind="stable")
+            order = np.empty(len(mine), dtype=np.int64)
+            order[place] = np.arange(len(mine))
+            who = (rows["_code"] == c).to_numpy()
+            some = rows[who]
+            found = smallest(mine["_t"].to_numpy(), order, some["_a"].to_numpy(), some["_b"].to_numpy(), some["_left"].to_numpy())
+            value_of[who] = mine["_x"].to_numpy()[place][found]
+        return rows[["_a", "_b", "_code", "_side", "_share"]].assign(_x=value_of)
+
+    answers = copies.select("_run", "_deal", "_t", "_code", "_rank", "_x").groupBy("_run", "_deal").cogroup(
+        dealt.select("_run", "_deal", "_a", "_b", "_code", "_side", "_left", "_share").groupBy("_run", "_deal")).applyInPandas(
+        answered, "_a long, _b long, _code int, _side int, _share double, _x double")
+
+    def quantile(c: int):
+        low, high = (F.max(F.when((F.col("_code") == c) & (F.col("_side") == side), F.col("_x"))) for side in (0, 1))
+        return low + (high - low) * F.max(F.when(F.col("_code") == c, F.col("_share")))
+
+    return answers.groupBy(F.col("_a").alias(lo), F.col("_b").alias(hi)).agg(F.array(*[quantile(c) for c in range(codes + 1)]).alias("_q"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanwise import session
 from spanwise.operators import intervals as iv
 from spanwise.operators import joins
 from spanwise.operators import metrics
@@ -92,3 +93,49 @@ def test_stage_at(spark):
     got = {r.t: r.load for r in joins.stage_at(df, [(20, 2), (10, 1)], "t", "load").collect()}
     assert got == {0: 1, 9: 1, 10: 2, 25: 2, None: None}
     assert "Exchange" not in joins.stage_at(df, [(10, 1)], "t", "load")._jdf.queryExecution().toString()
+
+
+def test_slots_inside_intervals(spark, many_ranges):
+    """Counts and sums by slot from both ends: equal instants, empty and backward intervals, points without a slot or value."""
+    chance = random.Random(4)
+    points = [(chance.randrange(60), chance.choice([0, 1, 2, None]), chance.choice([0, 1, None]), chance.choice([None, 5, 10**10])) for _ in range(300)]
+    spans = sorted({(lo, lo + chance.randrange(-3, 40)) for lo in chance.choices(range(-10, 70), k=80)})
+    p, s = spark.createDataFrame(points, "t long, a int, b int, v long"), spark.createDataFrame(spans, "lo long, hi long")
+    rows = iv.slot_totals(p, s, "t", "lo", "hi", ["a"], 3, ["b"], "v", 2).toPandas()
+    backwards = (rows.hi < rows.lo).to_numpy()
+    n, v = iv.inside(rows, "_n", backwards), iv.inside(rows, "_v", backwards)
+    assert sorted(zip(rows.lo, rows.hi)) == spans
+    for k, (lo, hi) in enumerate(zip(rows.lo, rows.hi)):
+        within = [r for r in points if lo <= r[0] <= hi]
+        assert n[k].tolist() == [sum(r[1] == j for r in within) for j in range(3)]
+        assert v[k].tolist() == [sum(r[3] or 0 for r in within if r[2] == j) for j in range(2)]
+
+
+@pytest.mark.parametrize("runs, asks", [(1, 1000), (5, 7)])
+def test_quantiles_by_group_and_of_all(spark, runs, asks):
+    chance = random.Random(5)
+    points = [(chance.randrange(50), chance.randrange(3), chance.choice([None, 0, 1, chance.randrange(10**6)])) for _ in range(250)]
+    spans = sorted({(lo, lo + chance.randrange(-2, 30)) for lo in chance.choices(range(-10, 60), k=40)})
+    p, s = spark.createDataFrame(points, "t long, c int, v long"), spark.createDataFrame(spans, "lo long, hi long")
+    got = {(r.lo, r.hi): r._q for r in iv.group_quantiles(p, s, "t", "lo", "hi", "c", 3, "v", 0.9, runs, asks).collect()}
+    for lo, hi in spans:
+        values = [[v for t, c, v in points if lo <= t <= hi and v is not None and own in (c, 3)] for own in range(4)]
+        want = [float(np.quantile(x, 0.9)) if x else None for x in values]
+        assert got.get((lo, hi), [None] * 4) == [x if x is None else pytest.approx(x) for x in want]
+
+
+def test_interval_snapshots_write_little(spark, tmp_path, monkeypatch):
+    """Of 400 overlapping intervals the parts that are stored take a row or two an interval and group, not one for each digit
+    of a rank, node, service and metric."""
+    chance = random.Random(3)
+    spans = spark.createDataFrame([(k, 10 * k, 10 * k + 900) for k in range(400)], "id long, lo long, hi long")
+    traces = spark.createDataFrame([(chance.randrange(5000), chance.choice("pq"), chance.randrange(10**6)) for _ in range(1500)],
+                                   "at_us long, pattern string, total_us long")
+    samples = spark.createDataFrame([(chance.randrange(5000), f"n{chance.randrange(5)}", f"s{chance.randrange(5)}", "cpu", k % 4, 1.0) for k in range(1500)],
+                                    "at_us long, node string, service string, metric string, metric_pos int, value double")
+    found = spark.createDataFrame([(5, "s1")], "at_us long, service string")
+    limits = spark.createDataFrame([("p", 50.0)], "pattern string, threshold double")
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    assert sn.of_intervals(spans, traces, limits, samples, found, "lo", "hi", 900).count() == 400
+    stored = sum(spark.read.parquet(str(d)).count() for d in tmp_path.iterdir())
+    assert stored < 400 * 20 + 6 * 3000

@@ -277,6 +277,23 @@ def test_pairs_of_slices_are_not_stored(spark, tmp_path):
     assert stored <= 2 * len(rows)
 
 
+def test_pairs_of_a_point_come_together(spark, tmp_path):
+    """Rows are given out point by point in time, not interval by interval: a point's columns change once for all its intervals."""
+    chance = random.Random(3)
+    points = [(k, chance.choice("st"), chance.randrange(400)) for k in range(200)]
+    spells = [(k, chance.choice("st"), lo, lo + chance.randrange(150)) for k, lo in enumerate(chance.choices(range(400), k=200))]
+    rows = spark.createDataFrame(slice_rows(points, spells), "source string, at_us long, s string, point long, spell long, hi_us long")
+    for on in ([], ["s"]):
+        loop = sl.LandedSlices(f"{tmp_path}/loop{len(on)}", ["point"], ["spell"], "hi_us", 200, 50, on)
+        kept = rows if on else rows.drop("s")
+        loop.run(kept, 0)
+        loop.finish(spark, kept.schema)
+        got = loop.slices(spark).where("point IS NOT NULL").select("*", F.spark_partition_id().alias("task")).collect()
+        assert len(got) > 2000
+        turns = [(r.task, r.point) for r, before in zip(got, [None, *got]) if before is None or (r.task, r.point) != (before.task, before.point)]
+        assert len(turns) == len(set(turns)) == len({r.point for r in got})
+
+
 @pytest.mark.parametrize("size", [9, 40])
 def test_loop_equals_batch(spark, tmp_path, size):
     """Windows are cut by batches, traces too; late batches may still add to a window that is open."""

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from spanwise.session import materialize
 FAN = 8
 #: Runs of equal size that all values are cut into, in their order.
 RUNS = 32
+#: Points of a run at most: there are more runs where ``RUNS`` would be larger.
+POINTS = 1 << 20
 #: Interval ends whose totals a task holds at a time, and questions that meet a run's points in one task.
 ENDS, ASKS = 2048, 250_000
 
@@ -132,43 +136,68 @@ def slot_totals(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: str, o
     start = materialize(parts.join(start, "_part", "left").withColumn("_s", F.coalesce("_s", F.array().cast(start.schema["_s"].dataType))).select(
         "_part", array_of(False, slots).alias("_n0"), array_of(True, sums).alias("_v0")), "starts")
 
-    def counted(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ranks, kind="stable", ignore_index=True)
-        is_end = (rows["_kind"] != 1).to_numpy()
-        at = np.flatnonzero(is_end)
-        seen = np.cumsum(is_end)
-        n, s = np.zeros(slots, dtype=np.int64), np.zeros(sums, dtype=np.int64)
-        counts, totals_ = [], []
-        amounts = rows[v].fillna(0).to_numpy().astype(np.int64) if v else None
-        first = 0
-        for k in range(0, len(at), ENDS):
-            some = at[k:k + ENDS]
-            here = slice(first, some[-1] + 1)
-            first = some[-1] + 1
-
-            def grown(cols, width, weights):
-                out = np.zeros((len(some) + 1, width), dtype=np.int64)
-                for c in cols:
-                    slot = rows[c].to_numpy()[here]
-                    known = ~pd.isna(slot) & ~is_end[here]
-                    np.add.at(out, (seen[here][known] - k, slot[known].astype(np.int64)), 1 if weights is None else weights[here][known])
-                return np.cumsum(out[:-1], axis=0)
-
-            grew = grown(own, slots, None) + n
-            n = grew[-1]
-            counts.extend(grew)
-            grew = grown(added, sums, amounts) + s
-            s = grew[-1]
-            totals_.extend(grew)
-        found = rows.loc[at, ["_a", "_b", "_kind", "_part"]].reset_index(drop=True)
-        return found.assign(_n=pd.Series(counts, dtype=object), _v=pd.Series(totals_, dtype=object))
-
-    at_ends = stored.groupBy("_part").applyInPandas(counted, "_a long, _b long, _kind int, _part int, _n array<int>, _v array<long>")
-    at_ends = at_ends.join(F.broadcast(start), "_part")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Totals at each end since the start of its range. Rows come range by range, in their order, a batch at a time."""
+        now, n, s = None, None, None
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            parts, kinds = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "_kind"))
+            slot_of = {c: pc.fill_null(rows.column(c), -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in {*own, *added}}
+            amounts = pc.fill_null(rows.column(v), 0).to_numpy(zero_copy_only=False).astype(np.int64) if v else None
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for begin, stop in zip(cuts, cuts[1:]):
+                if parts[begin] != now:
+                    now, n, s = parts[begin], np.zeros(slots, dtype=np.int64), np.zeros(sums, dtype=np.int64)
+                is_end = kinds[begin:stop] != 1
+                at = begin + np.flatnonzero(is_end)
+                first = begin
+                for k in range(0, max(1, len(at)), ENDS):
+                    some = at[k:k + ENDS]
+                    # Behind the last end of a batch there may be points that count for the next one.
+                    here = slice(first, stop if k + ENDS >= len(at) else some[-1] + 1)
+                    first = here.stop
+                    ends = kinds[here] != 1
+                    place = np.cumsum(ends)
+
+                    def grown(cols, width, weights):
+                        out = np.zeros((len(some) + 1) * width, dtype=np.int64)
+                        for c in cols:
+                            slot = slot_of[c][here]
+                            known = (slot >= 0) & ~ends
+                            np.add.at(out, place[known] * width + slot[known], 1 if weights is None else weights[here][known])
+                        return np.cumsum(out.reshape(-1, width), axis=0) if width else out.reshape(len(some) + 1, 0)
+
+                    counts, totals_ = grown(own, slots, None) + n, grown(added, sums, amounts) + s
+                    n, s = counts[-1], totals_[-1]
+                    if not len(some):
+                        continue
+
+                    def lists(numbers, kind):
+                        return pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * numbers.shape[1], pa.array(numbers[:-1].ravel().astype(kind)))
+
+                    columns = [rows.column(c).take(pa.array(some)) for c in ("_a", "_b", "_kind", "_part")]
+                    yield pa.RecordBatch.from_arrays([*columns, lists(counts, np.int32), lists(totals_, np.int64)],
+                                                     ["_a", "_b", "_kind", "_part", "_n", "_v"])
+
+    # Ranges follow the order, so sorted rows come range by range.
+    in_order = stored.repartition("_part").sortWithinPartitions(*ranks).select("_part", "_kind", "_a", "_b", *names.values())
+    at_ends = in_order.mapInArrow(counted, "_a long, _b long, _kind int, _part int, _n array<int>, _v array<long>")
     low, high = (at_ends.where(f"_kind = {k}").select(
-        F.col("_a").alias(lo), F.col("_b").alias(hi), *[F.col(c).alias(f"{c}_{side}") for c in ("_n", "_n0", "_v", "_v0")])
+        F.col("_a").alias(lo), F.col("_b").alias(hi), *[F.col(c).alias(f"{c}_{side}") for c in ("_part", "_n", "_v")])
         for k, side in ((0, "low"), (2, "high")))
-    return low.join(high, [lo, hi])
+    rows = low.join(high, [lo, hi])
+    for side in ("low", "high"):
+        named = start.select(*[F.col(c).alias(f"{c}_{side}") for c in ("_part", "_n0", "_v0")])
+        rows = rows.join(F.broadcast(named), f"_part_{side}")
+    return rows.drop("_part_low", "_part_high")
+
+
+def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows, a few at a time: wide rows are unfolded to many numbers each."""
+    for rows in batches:
+        for k in range(0, len(rows), ENDS):
+            yield rows.iloc[k:k + ENDS]
 
 
 #: Columns of ``slot_totals`` for one kind of number.
@@ -192,15 +221,17 @@ def smallest(t: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, k
     """
     i, j, k = np.searchsorted(t, lo, "left"), np.searchsorted(t, hi, "right"), k.copy()
     found, line = np.zeros(len(k), dtype=np.int64), order
+    zeros = np.zeros(len(t) + 1, dtype=order.dtype)
     for bit in reversed(range(max(1, int(len(t)).bit_length()))):
-        one = (line >> bit) & 1
-        zeros = np.concatenate([[0], np.cumsum(1 - one)])
+        one = ((line >> bit) & 1).astype(bool)
+        np.cumsum(~one, out=zeros[1:])
         zi, zj = zeros[i], zeros[j]
         up = k >= zj - zi
         k = np.where(up, k - (zj - zi), k)
         found |= up.astype(np.int64) << bit
-        i, j = np.where(up, zeros[-1] + i - zi, zi), np.where(up, zeros[-1] + j - zj, zj)
-        line = np.concatenate([line[one == 0], line[one == 1]])
+        last = int(zeros[-1])
+        i, j = np.where(up, last + i - zi, zi), np.where(up, last + j - zj, zj)
+        line = np.concatenate([line[~one], line[one]])
     return found
 
 
@@ -209,22 +240,22 @@ def group_quantiles(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: st
     """Linearly interpolated quantiles inside each of the distinct intervals ``spans``, as the array ``_q``.
 
     ``code`` numbers the groups of points; the array has the quantile of each, and last that of all points, null where there
-    are none. All values are numbered in their order and cut into ``runs`` runs of equal size. Counts of points by group and
-    run inside an interval (``slot_totals``) tell the run of a rank; the run's points then meet its questions, at most
-    ``asks`` of them in a task. A point is written a few times and an interval a few times for each group, however much
-    intervals overlap.
+    are none. All values are numbered in their order and cut into ``runs`` runs of equal size, or into more of ``POINTS``.
+    Counts of points by group and run inside an interval (``slot_totals``) tell the run of a rank; the run's points then meet
+    its questions, at most ``asks`` of them in a task. A point is written a few times and an interval a few times for each
+    group, however much intervals overlap.
     """
     known = points.where(F.col(value).isNotNull()).select(F.col(t).cast("long").alias("_t"), F.col(code).cast("int").alias("_code"), F.col(value).cast("double").alias("_x"))
     rank = numbered_by_range(known.where("_t IS NOT NULL"), [], [F.col("_x"), F.col("_t"), F.col("_code")], "_rank")
     ranked = materialize(rank.withColumn("_rank", F.col("_rank") - 1), "ranked")
-    size = -(-max(1, ranked.agg(F.max("_rank")).first()[0] or 0) // runs) + 1
+    last = max(1, ranked.agg(F.max("_rank")).first()[0] or 0)
+    runs = max(runs, -(-last // POINTS))
+    size = -(-last // runs) + 1
     ranked = ranked.withColumn("_run", F.floor(F.col("_rank") / size).cast("int"))
     counts = slot_totals(ranked.withColumn("_slot", F.col("_code") * runs + F.col("_run")), spans, "_t", lo, hi, ["_slot"], codes * runs)
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if rows.empty:
-                continue
+        for rows in pieces(batches):
             a, b = rows[lo].to_numpy(), rows[hi].to_numpy()
             n = inside(rows, "_n", b < a).reshape(len(rows), codes, runs)
             n = np.concatenate([n, n.sum(axis=1, keepdims=True)], axis=1)
@@ -246,22 +277,24 @@ def group_quantiles(points: DataFrame, spans: DataFrame, t: str, lo: str, hi: st
     dealt = questions.join(F.broadcast(deals), "_run").withColumn("_deal", F.pmod(F.xxhash64("_a", "_b"), F.col("_deals")).cast("int"))
     copies = ranked.join(F.broadcast(deals), "_run").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)))
 
-    def answered(theirs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        theirs = theirs.sort_values("_t", kind="stable")
-        value_of = np.full(len(rows), np.nan)
-        for c in rows["_code"].unique():
-            mine = theirs if c == codes else theirs[theirs["_code"] == c]
-            place = np.argsort(mine["_rank"].to_numpy(), kind="stable")
-            order = np.empty(len(mine), dtype=np.int64)
-            order[place] = np.arange(len(mine))
-            who = (rows["_code"] == c).to_numpy()
-            some = rows[who]
-            found = smallest(mine["_t"].to_numpy(), order, some["_a"].to_numpy(), some["_b"].to_numpy(), some["_left"].to_numpy())
-            value_of[who] = mine["_x"].to_numpy()[place][found]
-        return rows[["_a", "_b", "_code", "_side", "_share"]].assign(_x=value_of)
+    def answered(theirs: pa.Table, questions_: pa.Table) -> pa.Table:
+        t = theirs.column("_t").to_numpy()
+        by_time = np.argsort(t, kind="stable").astype(np.int32)
+        t = t[by_time]
+        a, b, left, code_of = (questions_.column(c).to_numpy() for c in ("_a", "_b", "_left", "_code"))
+        value_of = np.full(len(a), np.nan)
+        for c in np.unique(code_of):
+            mine = by_time if c == codes else by_time[theirs.column("_code").to_numpy()[by_time] == c]
+            place = np.argsort(theirs.column("_rank").to_numpy()[mine], kind="stable").astype(np.int32)
+            order = np.empty(len(mine), dtype=np.int32)
+            order[place] = np.arange(len(mine), dtype=np.int32)
+            who = code_of == c
+            found = smallest(t if c == codes else theirs.column("_t").to_numpy()[mine], order, a[who], b[who], left[who])
+            value_of[who] = theirs.column("_x").to_numpy()[mine[place[found]]]
+        return questions_.select(["_a", "_b", "_code", "_side", "_share"]).append_column("_x", pa.array(value_of))
 
     answers = copies.select("_run", "_deal", "_t", "_code", "_rank", "_x").groupBy("_run", "_deal").cogroup(
-        dealt.select("_run", "_deal", "_a", "_b", "_code", "_side", "_left", "_share").groupBy("_run", "_deal")).applyInPandas(
+        dealt.select("_run", "_deal", "_a", "_b", "_code", "_side", "_left", "_share").groupBy("_run", "_deal")).applyInArrow(
         answered, "_a long, _b long, _code int, _side int, _share double, _x double")
 
     def quantile(c: int):

@@ -157,9 +157,7 @@ def of_intervals(
     mb = 1024 * 1024
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if rows.empty:
-                continue
+        for rows in intervals_of.pieces(batches):
             none = rows[hi].to_numpy() < rows[lo].to_numpy()
             n, v = intervals_of.inside(rows, "_n", none), intervals_of.inside(rows, "_v", none)
             empty = np.full(n_patterns + 1, np.nan)

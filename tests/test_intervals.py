@@ -111,6 +111,41 @@ def test_slots_inside_intervals(spark, many_ranges):
         assert v[k].tolist() == [sum(r[3] or 0 for r in within if r[2] == j) for j in range(2)]
 
 
+def test_a_task_holds_no_whole_range(spark):
+    """Ends are counted batch by batch, also where a range of time goes on in the next one or has points behind its last end."""
+    chance = random.Random(6)
+    points = [(chance.randrange(300), chance.choice([0, 1, None]), chance.choice([None, 3, -10**15])) for _ in range(500)]
+    spans = sorted({(lo, lo + chance.randrange(-3, 200)) for lo in chance.choices(range(-10, 310), k=60)})
+    p, s = spark.createDataFrame(points, "t long, a int, v long"), spark.createDataFrame(spans, "lo long, hi long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = iv.slot_totals(p, s, "t", "lo", "hi", ["a"], 2, ["a"], "v", 2)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+        rows = found.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    backwards = (rows.hi < rows.lo).to_numpy()
+    n, v = iv.inside(rows, "_n", backwards), iv.inside(rows, "_v", backwards)
+    assert sorted(zip(rows.lo, rows.hi)) == spans
+    for k, (lo, hi) in enumerate(zip(rows.lo, rows.hi)):
+        within = [r for r in points if lo <= r[0] <= hi]
+        assert n[k].tolist() == [sum(r[1] == j for r in within) for j in range(2)]
+        assert v[k].tolist() == [sum(r[2] or 0 for r in within if r[1] == j) for j in range(2)]
+
+
+def test_runs_have_a_largest_size(spark, tmp_path, monkeypatch):
+    """Many points are cut into more runs, so that a task holds no fixed share of the table."""
+    monkeypatch.setattr(iv, "POINTS", 40)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    p = spark.createDataFrame([(k, k % 2, k * 37 % 400) for k in range(400)], "t long, c int, v long")
+    s = spark.createDataFrame([(k * 10, k * 10 + 150) for k in range(25)], "lo long, hi long")
+    got = {(r.lo, r.hi): r._q[2] for r in iv.group_quantiles(p, s, "t", "lo", "hi", "c", 2, "v", 0.9, 2).collect()}
+    asked = [spark.read.parquet(str(d)) for d in tmp_path.glob("questions-*")]
+    assert asked[0].agg(F.max("_run")).first()[0] > 5
+    for (lo, hi), q in got.items():
+        assert q == pytest.approx(float(np.quantile([k * 37 % 400 for k in range(400) if lo <= k <= hi], 0.9)))
+
+
 @pytest.mark.parametrize("runs, asks", [(1, 1000), (5, 7)])
 def test_quantiles_by_group_and_of_all(spark, runs, asks):
     chance = random.Random(5)
